@@ -27,7 +27,15 @@ _WORD = r"\p{L}\p{N}_"
 _URL = rf"(?:\G|(?<![{_WORD}]))[{_WORD}]++://{URL_TAIL}"
 _HANDLE_OR_URL = f"{HANDLE_OR_TAG}|{_URL}"
 # One pass blanks handles, URLs, runs of punctuation and any other non-word character.
-_NON_PLAIN = f"{_HANDLE_OR_URL}|{PUNCTUATION}+|[^{_WORD} ]"
+_MARKS = f"{PUNCTUATION}+|[^{_WORD} ]"
+
+
+def _replace(col: Column | str, with_url: str, without_url: str, by: str) -> Column:
+    """Replace a pattern; texts without any URL take the cheaper form of it."""
+    text = F.col(col) if isinstance(col, str) else col
+    return F.when(text.contains("://"), F.regexp_replace(text, with_url, by)).otherwise(
+        F.regexp_replace(text, without_url, by)
+    )
 
 
 @lru_cache(maxsize=1)
@@ -59,27 +67,31 @@ def _accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return source, "".join(b for _, b in mapped), tuple(multi)
 
 
-def strip_accents(col: Column | str) -> Column:
+def strip_accents(col: Column | str, origin: Column | str | None = None) -> Column:
     """Remove combining marks, also those inside composed characters (``ñ`` -> ``n``).
 
     Works character by character: letters stored as separate parts other than
     combining marks (decomposed Hangul) are not joined.
+
+    Text of ASCII only is left alone. When ``col`` is a long expression, give as
+    ``origin`` the column it is made from, so the test does not evaluate it again.
     """
     text = F.col(col) if isinstance(col, str) else col
     source, target, multi = _accent_table()
     spelled = reduce(lambda c, m: F.replace(c, F.lit(m[0]), F.lit(m[1])), multi, text)
-    ascii_only = F.octet_length(text) == F.char_length(text)
+    tested = text if origin is None else origin
+    ascii_only = F.octet_length(tested) == F.char_length(tested)
     return F.when(ascii_only, text).otherwise(F.translate(spelled, source, target))
 
 
 def strip_handles_urls(col: Column | str) -> Column:
     """Delete handles, tags and URLs, leaving everything else."""
-    return F.regexp_replace(col, _HANDLE_OR_URL, "")
+    return _replace(col, _HANDLE_OR_URL, HANDLE_OR_TAG, "")
 
 
 def _plain(col: Column | str) -> Column:
-    blanked = F.regexp_replace(col, _NON_PLAIN, " ")
-    return F.lower(strip_accents(F.translate(blanked, "0123456789", "")))
+    blanked = _replace(col, f"{_HANDLE_OR_URL}|{_MARKS}", f"{HANDLE_OR_TAG}|{_MARKS}", " ")
+    return F.lower(strip_accents(F.translate(blanked, "0123456789", ""), origin=col))
 
 
 def normalize_text(col: Column | str) -> Column:
@@ -113,14 +125,14 @@ def tokens(col: Column | str, stopwords: Sequence[str] = ()) -> Column:
 
 def tokens_edge_trim(col: Column | str, stopwords: Sequence[str] = ()) -> Column:
     """Earlier tokeniser: only token edges are trimmed, inner marks and digits stay."""
-    plain = strip_accents(F.lower(strip_handles_urls(col)))
+    plain = strip_accents(F.lower(strip_handles_urls(col)), origin=col)
     trimmed = F.transform(split_words(plain), lambda w: F.btrim(w, F.lit(EDGE_CHARS)))
     return F.array_distinct(F.filter(trimmed, lambda w: is_counted(w, stopwords)))
 
 
 def tokens_alpha(col: Column | str, shortest: int = 5, longest: int = 40) -> Column:
     """Runs of letters within a length range, in order, duplicates kept."""
-    plain = strip_accents(F.lower(col))
+    plain = strip_accents(F.lower(col), origin=col)
     runs = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{Nl}\p{No}_]+"), 0)
     return F.filter(
         runs,
@@ -154,6 +166,22 @@ def contains_keyword(col: Column | str, keyword: str, literal: bool = False) ->
     return text.rlike(keyword)
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def keyword_sql(col: str, keyword: str) -> str:
+    """``contains_keyword`` as SQL text.
+
+    Expressions over many keywords are built as one text: composing them column by
+    column costs seconds before a job even starts.
+    """
+    if _REGEX_SIGNS.search(keyword):
+        return f"`{col}` RLIKE {sql_text(keyword)}"
+    return f"contains(`{col}`, {sql_text(keyword)})"
+
+
 def any_keyword(col: Column | str, keywords: Sequence[str], first: int | None = None) -> Column:
     """True where the text holds at least one of the (first) keywords."""
     tests = [contains_keyword(col, k) for k in list(keywords)[:first]]

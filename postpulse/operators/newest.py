@@ -1,4 +1,4 @@
-"""Newest N rows without gathering N rows of every partition in one task."""
+"""Newest N rows without gathering them, or N rows of every partition, in one task."""
 
 from __future__ import annotations
 
@@ -11,22 +11,27 @@ DIRECT_LIMIT = 1_000
 
 
 def newest(df: DataFrame, n: int, by: str) -> DataFrame:
-    """The ``n`` rows with the highest ``by`` (a number that grows as posts arrive).
+    """The ``n`` rows with the highest ``by``, an id that grows as posts arrive.
 
-    A plain sort and limit sends up to ``n`` rows of every partition to a single
-    task. For a large ``n`` the range of ``by`` is therefore counted in slices
-    first, and only rows from the slice holding the n-th newest onwards are sorted.
-    The bound is a scalar subquery on ``by``, so it also skips Parquet row groups.
-    Uneven slices cost time, never rows: the last step is always the exact limit.
+    A plain sort and limit sends up to ``n`` whole rows of every partition to one
+    task, and everything after it runs in that task. For a large ``n`` only ids are
+    looked at: they are counted in slices of their range, the n-th newest id is
+    picked from the slices that matter, and the rows are then a plain filter on it,
+    which skips Parquet row groups and keeps the scan's partitions (no order).
+
+    Uneven slices cost time, never rows. Ids are unique; should some repeat, rows
+    equal to the last one are all kept.
     """
-    if n > DIRECT_LIMIT:
-        df = df.where(F.col(by) >= _lower_bound(df, n, by).scalar())
-    return df.orderBy(F.desc(by)).limit(n)
+    if n <= DIRECT_LIMIT:
+        return df.orderBy(F.desc(by)).limit(n)
+    ids = df.select(F.col(by).cast("long").alias("id"))
+    near = ids.where(F.col("id") >= _lower_bound(ids, n).scalar())
+    last = near.orderBy(F.desc("id")).limit(n).agg(F.min("id"))
+    return df.where(F.col(by) >= last.scalar())
 
 
-def _lower_bound(df: DataFrame, n: int, by: str) -> DataFrame:
-    """One value: the lowest ``by`` of the slice that completes the newest ``n``."""
-    ids = df.select(F.col(by).cast("long").alias("id"))
+def _lower_bound(ids: DataFrame, n: int) -> DataFrame:
+    """One value: the lowest id of the slice that completes the newest ``n``."""
     span = ids.agg(F.struct(F.min("id").alias("lo"), F.max("id").alias("hi"))).scalar()
     width = F.greatest((span["hi"] - span["lo"]) / SLICES, F.lit(1.0))
     slices = (
@@ -35,5 +40,4 @@ def _lower_bound(df: DataFrame, n: int, by: str) -> DataFrame:
     )
     # At most SLICES + 1 rows reach this window.
     from_newest = slices.withColumn("seen", F.sum("n").over(W.orderBy(F.desc("slice"))))
-    reached = F.min(F.when(F.col("seen") - F.col("n") < n, F.col("lowest")))
-    return from_newest.agg(reached)
+    return from_newest.agg(F.min(F.when(F.col("seen") - F.col("n") < n, F.col("lowest"))))

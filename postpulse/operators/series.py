@@ -15,16 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from postpulse.functions.posts import minute
-from postpulse.functions.text import contains_keyword
+from postpulse.functions.text import keyword_sql, sql_text
 
 ALL = "All"
 EVERYONE = "everyone"
 
-# Up to this many series are counted as columns of one aggregate, which keeps the
-# shuffle at one row per minute and partition. More are counted as rows.
-WIDE_LIMIT = 64
-
-
 def series_names(keywords: Sequence[str]) -> list[str]:
     return [ALL, *(k for k in dict.fromkeys(keywords) if k != ALL)]
 
@@ -37,25 +32,31 @@ def match_keywords(
     A post counts for every keyword it contains. ``always`` adds names that every
     post matches.
     """
-    hits = [F.lit(a) for a in always]
-    hits += [F.when(contains_keyword(text, k), F.lit(k)) for k in dict.fromkeys(keywords)]
-    return df.withColumn(name, F.explode(F.array_compact(F.array(*hits))))
+    hits = [sql_text(a) for a in always]
+    hits += [
+        f"CASE WHEN {keyword_sql(text, k)} THEN {sql_text(k)} END"
+        for k in dict.fromkeys(keywords)
+    ]
+    return df.withColumn(name, F.expr(f"explode(array_compact(array({', '.join(hits)})))"))
 
 
-def count_matches(keywords: Sequence[str], text="tweet", prefix="n") -> list[Column]:
-    """``count(*)`` and one conditional count per keyword, named by position."""
-    counts = [F.count(F.lit(1))]
-    counts += [F.count_if(contains_keyword(text, k)) for k in series_names(keywords)[1:]]
-    return [c.alias(f"{prefix}{i}") for i, c in enumerate(counts)]
+def count_matches(keywords: Sequence[str], text="tweet", among: str = "TRUE") -> Column:
+    """Array of counts, in the order of ``series_names``: posts, then posts per keyword.
 
+    ``among`` is a SQL condition on the posts to count.
+    """
+    tests = [keyword_sql(text, k) for k in series_names(keywords)[1:]]
+    counts = [f"count(CASE WHEN {among} THEN 1 END)"]
+    counts += [f"count(CASE WHEN {among} AND {t} THEN 1 END)" for t in tests]
+    return F.expr(f"array({', '.join(counts)})")
 
-def unpivot_counts(df: DataFrame, keywords: Sequence[str], *keep: str, prefix="n") -> DataFrame:
-    """Columns of ``count_matches`` -> rows ``(series, n)``."""
-    rows = [
-        F.struct(F.lit(name).alias("series"), F.col(f"{prefix}{i}").alias("n"))
-        for i, name in enumerate(series_names(keywords))
-    ]
-    return df.select(*keep, F.inline(F.array(*rows)))
+
+def unpivot_counts(df: DataFrame, keywords: Sequence[str], *keep: str, counts="counts"):
+    """Array of ``count_matches`` -> rows ``(series, n)``."""
+    names = ", ".join(sql_text(name) for name in series_names(keywords))
+    return df.select(*keep, F.posexplode(counts).alias("_pos", "n")).select(
+        *keep, F.expr(f"element_at(array({names}), _pos + 1)").alias("series"), "n"
+    )
 
 
 def zero_fill(counts: DataFrame, index: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -75,18 +76,20 @@ def zero_fill(counts: DataFrame, index: DataFrame, names: Sequence[str]) -> Data
 def trim_edges(counts: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
     """Remove the first and the last bucket of each series.
 
-    The ends come from an aggregate joined back, so no series has to be sorted or
-    held in one task. Works on counts, never on posts.
+    The window runs over buckets, never over posts, so the rows of one series are
+    bounded by the length of time covered. A single series (``by=()``) is not
+    gathered at all: its ends are two values looked up first.
     """
     by = list(by)
     if not by:
         ends = counts.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
         return counts.where((F.col("ts") > ends["lo"]) & (F.col("ts") < ends["hi"]))
-    ends = counts.groupBy(*by).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    return (
-        counts.join(ends, by)
-        .where((F.col("ts") > F.col("_lo")) & (F.col("ts") < F.col("_hi")))
-        .select(counts.columns)
+    series = W.partitionBy(*by)
+    marked = counts.select(
+        "*", F.min("ts").over(series).alias("_lo"), F.max("ts").over(series).alias("_hi")
+    )
+    return marked.where((F.col("ts") > F.col("_lo")) & (F.col("ts") < F.col("_hi"))).select(
+        counts.columns
     )
 
 
@@ -120,48 +123,37 @@ def keyword_series(
     if edge not in ("series", "global"):
         raise ValueError("edge must be 'series' or 'global'")
     by = ["audience"] if audiences else []
-    names = series_names(keywords)
     timed = df.where(F.col(ts).isNotNull())
     if audiences:
         groups = [F.when(cond, F.lit(name)) for name, cond in audiences.items()]
-        timed = timed.select(
-            F.explode(F.array_compact(F.array(*groups))).alias("audience"), ts, text
-        )
-    bucket = minute(ts).alias("ts")
-    if len(names) > WIDE_LIMIT:
-        hits = match_keywords(timed, names[1:], text, "series", always=[ALL])
-        counts = hits.groupBy(*by, "series", bucket).agg(F.count(F.lit(1)).alias("n"))
-        index = trim_edges(counts.where(F.col("series") == ALL).select(*by, "ts"), by)
-        kept = trim_edges(counts, [*by, "series"]) if edge == "series" else counts
-        return zero_fill(kept, index, names)
-
-    # Every keyword has a column in each minute's row, so zeros come for free.
-    wide = timed.groupBy(*by, bucket).agg(*count_matches(keywords, text))
-    cells = unpivot_counts(wide, keywords, *by, "ts")
-    # ``ends`` has at most one row per audience and name, both given as Python
-    # lists above, so broadcasting it is safe at any data size.
-    cells = cells.join(F.broadcast(_ends(wide, names, by)), [*by, "series"])
+        timed = timed.select(F.array_compact(F.array(*groups)).alias("audience"), ts, text)
+        timed = timed.withColumn("audience", F.explode("audience"))
+
+    # The only pass over the posts. Counts are added up per partition before the
+    # shuffle, so a busy minute arrives as one row per partition. Each minute's row
+    # counts every keyword, so zeros come for free.
+    minutes = timed.groupBy(*by, minute(ts).alias("ts")).agg(
+        count_matches(keywords, text).alias("counts")
+    )
+    cells = unpivot_counts(minutes, keywords, *by, "ts")
+    # Each series has a cell in every observed minute, so its outer ends are those of
+    # ``All``. The window runs over minutes, not posts.
+    series = W.partitionBy(*by, "series")
+    seen = F.when(F.col("n") > 0, F.col("ts"))
+    first, last = (F.min("ts").over(series), F.max("ts").over(series))
+    own_first, own_last = (F.min(seen).over(series), F.max(seen).over(series))
+    cells = cells.select(
+        "*", first.alias("_first"), last.alias("_last"),
+        own_first.alias("_own_first"), own_last.alias("_own_last"),
+    )
     n = F.col("n")
     if edge == "series":
-        own_end = (F.col("ts") == F.col("lo")) | (F.col("ts") == F.col("hi"))
+        own_end = F.col("ts").isin(F.col("_own_first"), F.col("_own_last"))
         n = F.when(own_end, F.lit(0)).otherwise(n)
-    inside = (F.col("ts") > F.col("first")) & (F.col("ts") < F.col("last"))
+    inside = (F.col("ts") > F.col("_first")) & (F.col("ts") < F.col("_last"))
     return cells.where(inside).select(*by, "series", "ts", n.cast("long").alias("n"))
 
 
-def _ends(wide: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Outer ends and each series' own ends: (audience, first, last, series, lo, hi)."""
-    seen = [F.when(F.col(f"n{i}") > 0, F.col("ts")) for i in range(len(names))]
-    rows = [
-        F.struct(F.lit(name).alias("series"), F.min(s).alias("lo"), F.max(s).alias("hi"))
-        for name, s in zip(names, seen)
-    ]
-    ends = wide.groupBy(*by).agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.array(*rows).alias("ends")
-    )
-    return ends.select(*by, "first", "last", F.inline("ends"))
-
-
 def roster_series(
     df: DataFrame, roster: DataFrame, keywords: Sequence[str], on="screenName", **options
 ) -> DataFrame:
@@ -190,12 +182,11 @@ def roster_matrix(
     """
     listed = roster.select(F.col(handle).alias("_handle")).distinct()
     marked = df.select(ts, text, on).join(listed, F.col(on) == F.col("_handle"), "left")
-    is_listed = F.col("_handle").isNotNull()
-    names = series_names(keywords)[1:]
-    return marked.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("ts")).agg(
-        F.count_if(is_listed).alias(ALL),
-        *[F.count_if(is_listed & contains_keyword(text, k)).alias(k) for k in names],
+    counts = marked.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("ts")).agg(
+        count_matches(keywords, text, among="_handle IS NOT NULL").alias("counts")
     )
+    names = series_names(keywords)
+    return counts.select("ts", *[F.col("counts")[i].alias(k) for i, k in enumerate(names)])
 
 
 def keyword_totals(series: DataFrame) -> DataFrame:
@@ -207,9 +198,9 @@ def keyword_totals(series: DataFrame) -> DataFrame:
 def keyword_doc_counts(df: DataFrame, keywords: Sequence[str], text="tweet") -> DataFrame:
     """(series, n): posts containing each keyword, zeros kept, nothing trimmed.
 
-    One global aggregate with a column per keyword, turned into rows at the end.
+    One global aggregate with a count per keyword, turned into rows at the end.
     """
-    counts = unpivot_counts(df.agg(*count_matches(keywords, text)), keywords)
+    counts = unpivot_counts(df.agg(count_matches(keywords, text).alias("counts")), keywords)
     return counts.where(F.col("series") != ALL).withColumnRenamed("series", "keyword")
 
 

@@ -405,9 +405,9 @@ def oracle_sql() -> dict[str, str]:
         + [f"SELECT {lit(k)}, ts, n{i} FROM w" for i, k in enumerate(TRACK)])
     sql["closed_minutes"] = f"""WITH {POSTS}, w AS (
           SELECT date_trunc('minute', "dateTweet") AS ts, count(*) AS n, {counts}
-          FROM posts GROUP BY ALL
+          FROM posts GROUP BY 1
           HAVING date_trunc('minute', "dateTweet") + INTERVAL 1 MINUTE
-              <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+              <= (SELECT max("dateTweet") FROM posts) - INTERVAL 10 MINUTE)
         {rows}"""
     sql["update_series"] = updated(UPDATE)
     sql["series_change"] = updated("""

@@ -69,15 +69,22 @@ def dashboard(
     marked = mark_listed(df.select(ts, text, on), rosters, on)
     audiences = {EVERYONE: F.lit(True), **{name: F.col(f"in_{name}") for name in rosters}}
     series = keyword_series(marked, keywords, ts, text, edge, audiences)
-    points = _charted(series, list(keywords)[:CHARTED]).select(
-        "audience", F.lit("series").alias("part"), F.col("series").alias("name"), "ts", "n"
+    # Points and totals in one aggregate, so the posts are not counted once for each.
+    grouped = series.groupingSets(
+        [["audience", "series", "ts"], ["audience", "series"]], "audience", "series", "ts"
+    ).agg(F.grouping("ts").alias("is_total"), F.sum("n").alias("n"))
+    total = F.col("is_total") == 1
+    is_point = ~total & F.col("series").isin([ALL, *list(keywords)[:CHARTED]])
+    is_weight = (
+        total & (F.col("audience") != EVERYONE) & (F.col("series") != ALL) & (F.col("n") > 0)
     )
-    no_time = F.lit(None).cast("timestamp").alias("ts")
-    listed = keyword_weights(series.where(F.col("audience") != EVERYONE)).select(
-        "audience", F.lit("weight").alias("part"), F.col("series").alias("name"), no_time, "n"
+    activity = grouped.where(is_point | is_weight).select(
+        "audience",
+        F.when(total, F.lit("weight")).otherwise(F.lit("series")).alias("part"),
+        F.col("series").alias("name"), "ts", "n",
     )
     everyone = word_weights(df, words, stopwords, text).select(
         F.lit(EVERYONE).alias("audience"), F.lit("weight").alias("part"),
-        F.col("word").alias("name"), no_time, "n",
+        F.col("word").alias("name"), F.lit(None).cast("timestamp").alias("ts"), "n",
     )
-    return points.unionByName(listed).unionByName(everyone)
+    return activity.unionByName(everyone)

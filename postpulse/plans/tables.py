@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.sources.lists import roster_handles
+from postpulse.sources.posts import spread_small
 
 
 class Tables:
@@ -23,7 +24,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents").withColumnRenamed("text", "tweet")
+        return spread_small(self.table("documents")).withColumnRenamed("text", "tweet")
 
     @cached_property
     def events(self) -> DataFrame:

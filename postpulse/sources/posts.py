@@ -14,6 +14,8 @@ from postpulse.operators.filters import between_dates, by_language, ingest_filte
 from postpulse.operators.newest import newest
 from postpulse.schemas import RAW
 
+SPREAD_BELOW = 1024**3
+
 
 def scan_posts(
     df: DataFrame,
@@ -35,9 +37,22 @@ def scan_posts(
     return df if fields is None else df.select(*fields)
 
 
+def spread_small(df: DataFrame, below: int = SPREAD_BELOW) -> DataFrame:
+    """Give a small scan as many tasks as there are cores.
+
+    A file is read by at most one task per row group, too few to share the text work
+    of a small input. Inputs of ``below`` bytes or more have plenty of row groups
+    and are never shuffled here.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_posts(spark: SparkSession, path: str, **options) -> DataFrame:
     """``scan_posts`` over a Parquet folder of stored posts."""
-    return scan_posts(spark.read.parquet(path), **options)
+    return scan_posts(spread_small(spark.read.parquet(path)), **options)
 
 
 def select_authors(df: DataFrame) -> DataFrame:

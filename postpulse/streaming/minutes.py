@@ -22,7 +22,7 @@ def minute_stream(
     counted = (
         posts.withWatermark(ts, delay)
         .groupBy(F.window(ts, "1 minute").alias("_minute"))
-        .agg(*count_matches(keywords, text))
+        .agg(count_matches(keywords, text).alias("counts"))
         .withColumn("ts", F.col("_minute.start"))
     )
     return unpivot_counts(counted, keywords, "ts").select("series", "ts", "n")

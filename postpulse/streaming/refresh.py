@@ -45,10 +45,11 @@ def refresh_once(
     """
     before = _version(spark, f"{state}/series", SERIES, version - 1)
     series = keyword_series(snapshot, keywords, ts, text, edge)
-    changed = series_change(before, series).first()["changed"]
     update_series(before, series, keep).write.mode("overwrite").parquet(
         f"{state}/series/v={version}"
     )
+    after = _version(spark, f"{state}/series", SERIES, version)
+    changed = series_change(before, after).first()["changed"]
     weights = (
         word_weights(snapshot, words, stopwords, text)
         if changed

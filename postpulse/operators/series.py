@@ -126,8 +126,8 @@ def keyword_series(
     timed = df.where(F.col(ts).isNotNull())
     if audiences:
         groups = [F.when(cond, F.lit(name)) for name, cond in audiences.items()]
-        timed = timed.select(F.array_compact(F.array(*groups)).alias("audience"), ts, text)
-        timed = timed.withColumn("audience", F.explode("audience"))
+        member_of = F.array_compact(F.array(*groups))
+        timed = timed.select(F.explode(member_of).alias("audience"), ts, text)
 
     # The only pass over the posts. Counts are added up per partition before the
     # shuffle, so a busy minute arrives as one row per partition. Each minute's row

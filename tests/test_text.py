@@ -1,0 +1,174 @@
+import random
+import re
+import sys
+import unicodedata
+
+import pytest
+from conftest import rows
+
+from postpulse.constants import KEYWORDS
+from postpulse.functions import text as tx
+
+PUNCT = set("!¡\"#$%&'()*+,-./:;<=>?¿@[\\]^_`{|}~")
+URL_CHARS = set(
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    "-:@;?&=/%+.*!'(),$_{}^~[]`#|"
+)
+A_TO_Z = {chr(c) for c in range(ord("A"), ord("z") + 1)}
+
+
+def is_word(char):
+    return char == "_" or unicodedata.category(char)[0] in "LN"
+
+
+def no_marks(text):
+    kept = (c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    return unicodedata.normalize("NFC", "".join(kept))
+
+
+def scan(text, with_punctuation):
+    """Blank (or drop) handles, tags, URLs and punctuation by walking over the text."""
+    out, i = [], 0
+    while i < len(text):
+        end = i
+        if text[i] in "@#":
+            end = i + 1
+            while end < len(text) and text[end] in A_TO_Z:
+                end += 1
+            end = end if end > i + 1 else i
+        if end == i and is_word(text[i]):
+            j = i
+            while j < len(text) and is_word(text[j]):
+                j += 1
+            if text[j:j + 3] == "://" and text[j + 3:j + 4] and text[j + 3] in URL_CHARS:
+                end = j + 3
+                while end < len(text) and text[end] in URL_CHARS:
+                    end += 1
+        if end == i and with_punctuation:
+            while end < len(text) and text[end] in PUNCT:
+                end += 1
+        if end > i:
+            out.append(" " if with_punctuation else "")
+            i = end
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def expected_plain(text):
+    words = "".join(c if is_word(c) else " " for c in scan(text, True))
+    words = "".join(c for c in words if c not in "0123456789")
+    return no_marks(re.sub(" +", " ", words)).lower()
+
+
+def expected_tokens(text, stops=()):
+    return sorted(set(expected_plain(text).split()) - {"rt", *stops})
+
+
+@pytest.fixture(scope="module")
+def random_texts():
+    rng = random.Random(7)
+    parts = list("abzAZñÑáÉüßçİΣ019__@@##:/.,;!¡¿?'\"()[]{}^`~|\\ \n\t") + [
+        "://", "http://", "https://t.co/Ab1", "#piñera", "@user", "RT ", "  ", "é", " ",
+        " ", "²", "½", "😀", "中文", "й", "x_y", ".@", "a://", "rt",
+    ]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+
+
+def column(spark, texts, expr):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, tweet string")
+    return [r[0] for r in df.orderBy("i").select(expr).collect()]
+
+
+CRAFTED = {
+    "RT @user123: #piñera #PiñeraRenuncia https://t.co/AbC?x=1&y=[2]#f hola, ¿Qué? ñandú":
+        ["hola", "nandu", "nera", "nerarenuncia", "que", "rt"],
+    "@24HorasTVN 1973 año_2019 ÁÉÍ straße": ["aei", "ano", "horastvn", "straße"],
+    "ñhttp://x.cl/a b": ["b"],
+    "#a #b,c ##d # e@f.cl": ["c", "cl", "d", "e"],
+    "": [],
+}
+
+
+def test_words_of_crafted_texts(spark):
+    found = column(spark, CRAFTED, tx.words_of("tweet"))
+    assert [sorted(w for w in ws if w) for ws in found] == list(CRAFTED.values())
+
+
+def test_normalized_text_of_random_texts(spark, random_texts):
+    found = column(spark, random_texts, tx.normalize_text("tweet"))
+    assert found == [expected_plain(t) for t in random_texts]
+
+
+def test_tokens_of_random_texts(spark, random_texts):
+    found = column(spark, random_texts, tx.tokens("tweet", ["user", "a"]))
+    assert [sorted(f) for f in found] == [expected_tokens(t, ["user", "a"]) for t in random_texts]
+
+
+def test_combining_mark_splits_a_word_and_null_stays_null(spark):
+    found = column(spark, ["cafe\u0301s ya", None], tx.normalize_text("tweet"))
+    assert found == ["cafe s ya", None]
+
+
+def test_strip_handles_urls_of_random_texts(spark, random_texts):
+    found = column(spark, random_texts, tx.strip_handles_urls("tweet"))
+    assert found == [scan(t, False) for t in random_texts]
+
+
+def test_strip_accents_of_every_character(spark):
+    chars = [
+        chr(c) for c in range(sys.maxunicode + 1)
+        if not 0xD800 <= c < 0xE000 and no_marks(chr(c)) != chr(c)
+    ]
+    found = column(spark, [f"a{c}b" for c in chars], tx.strip_accents("tweet"))
+    assert found == [f"a{no_marks(c)}b" for c in chars]
+
+
+def test_hashtags(spark):
+    texts = ["#a #b,c ##d # e@f.cl", "#x\u00a0#y\u2003#x\n#z", "none", None]
+    found = column(spark, texts, tx.hashtags("tweet"))
+    assert found == [["", "#d", "a", "b,c"], ["x", "y", "z"], [], None]
+
+
+def test_edge_trim_tokens_of_random_texts(spark, random_texts):
+    found = column(spark, random_texts, tx.tokens_edge_trim("tweet", ["a"]))
+    for text, got in zip(random_texts, found):
+        words = (no_marks(w).strip('",.:;?¿-()[]<>!¡“”|*/\\=+&$% ')
+                 for w in scan(text, False).lower().split())
+        assert sorted(got) == sorted(set(words) - {"a", "", "rt"}), repr(text)
+
+
+def test_alpha_tokens_of_random_texts(spark, random_texts):
+    found = column(spark, random_texts, tx.tokens_alpha("tweet", 2, 4))
+    for text, got in zip(random_texts, found):
+        runs = re.findall(r"[^\W\d]+", no_marks(text.lower()))
+        assert got == [r for r in runs if 2 <= len(r) <= 4 and r[0] != "_"], repr(text)
+
+
+def test_keyword_search_is_case_sensitive_substring_or_pattern(spark):
+    texts = ["las redes", "Red", "a.b", "axb", None]
+    assert column(spark, texts, tx.contains_keyword("tweet", "red")) == [
+        True, False, False, False, None]
+    assert column(spark, texts, tx.contains_keyword("tweet", "a.b")) == [
+        False, False, True, True, None]
+    assert column(spark, texts, tx.contains_keyword("tweet", "a.b", literal=True)) == [
+        False, False, True, False, None]
+
+
+@pytest.mark.parametrize("keyword", ["it's", 'a"b', r"\d+", "a\\.b", "x|y", "por qué", "$"])
+def test_keyword_sql_equals_column_form(spark, keyword):
+    texts = ["it's", 'a"b', "12", "a.b", "y", "y por qué no", "cost $", "a\\b"]
+    df = spark.createDataFrame([(t,) for t in texts], "tweet string")
+    both = df.selectExpr(tx.keyword_sql("tweet", keyword)).collect()
+    assert both == df.select(tx.contains_keyword("tweet", keyword)).collect()
+
+
+def test_keyword_list():
+    assert len(KEYWORDS) == 90 and KEYWORDS[0] == "educacion" and KEYWORDS[-1] == "desperto"
+
+
+def test_any_keyword_first(spark):
+    df = spark.createDataFrame([("uno",), ("dos",), ("tres",)], "tweet string")
+    assert rows(df.where(tx.any_keyword("tweet", ["uno", "dos", "tres"], first=2))) == [
+        ("dos",), ("uno",)]

@@ -9,13 +9,20 @@ from postpulse.constants import NEWS_TIME_FORMAT, POST_TIME_FORMAT
 from postpulse.functions.text import strip_first
 
 
-def full_text() -> Column:
-    """Untruncated text of a raw post; a repost never falls back to the outer text."""
-    repost = F.col("retweeted_status")
+def full_text(post: str | None = None) -> Column:
+    """Untruncated text of a raw post; a repost never falls back to the outer text.
+
+    ``post`` names the struct column holding it; without one its fields are columns.
+    """
+    def part(path: str) -> Column:
+        return F.col(f"{post}.{path}" if post else path)
+
     return F.when(
-        repost.isNotNull(),
-        F.coalesce(F.col("retweeted_status.extended_tweet.full_text"), repost["text"]),
-    ).otherwise(F.coalesce(F.col("extended_tweet.full_text"), F.col("text")))
+        part("retweeted_status").isNotNull(),
+        F.coalesce(
+            part("retweeted_status.extended_tweet.full_text"), part("retweeted_status.text")
+        ),
+    ).otherwise(F.coalesce(part("extended_tweet.full_text"), part("text")))
 
 
 def parse_post_time(col: Column | str) -> Column:

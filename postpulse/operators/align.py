@@ -9,10 +9,16 @@ from postpulse.constants import HISTOGRAM_BINS
 
 
 def _range(posts: DataFrame, x: str) -> Column:
-    """Lowest and highest value; a single value gets half a unit on each side."""
-    lo, hi = F.min(x).cast("double"), F.max(x).cast("double")
-    pad = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0))
-    return posts.agg(F.struct((lo - pad).alias("lo"), (hi + pad).alias("hi"))).scalar()
+    """First and last value, and the ends of the bins, looked up in one aggregate.
+
+    The bins of a single value reach half a unit to each side of it.
+    """
+    first, last = F.min(x), F.max(x)
+    pad = F.when(first == last, F.lit(0.5)).otherwise(F.lit(0.0))
+    return posts.agg(F.struct(
+        first.alias("first"), last.alias("last"),
+        (first - pad).alias("lo"), (last + pad).alias("hi"),
+    )).scalar()
 
 
 def _bin_of(x: Column, span: Column, bins: int) -> Column:
@@ -48,9 +54,9 @@ def align_news(
     posts: DataFrame, news: DataFrame, bins: int = HISTOGRAM_BINS, x="epoch"
 ) -> DataFrame:
     """Articles published within the range of post times, with their bin and its posts."""
-    ends = posts.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    shown = news.where(F.col(x).between(ends["lo"], ends["hi"]))
-    placed = shown.withColumn("bin", _bin_of(F.col(x), _range(posts, x), bins))
+    span = _range(posts, x)
+    shown = news.where(F.col(x).between(span["first"], span["last"]))
+    placed = shown.withColumn("bin", _bin_of(F.col(x), span, bins))
     histogram = time_histogram(posts, bins, x).select("bin", F.col("n").alias("posts"))
     # The histogram has exactly ``bins`` rows.
     return placed.join(F.broadcast(histogram), "bin")

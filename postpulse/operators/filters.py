@@ -51,10 +51,11 @@ def ingest_filter(
     text: Column | str = "text",
     lon: Column | str = "lon",
     lat: Column | str = "lat",
+    lang: str = "lang",
 ) -> DataFrame:
     """Live filter: (inside the box or a tracked word) and an accepted language."""
     tracked = F.coalesce(any_keyword(text, track), F.lit(False))
-    return df.where((in_box(lon, lat, *box) | tracked) & F.col("lang").isin(list(langs)))
+    return df.where((in_box(lon, lat, *box) | tracked) & F.col(lang).isin(list(langs)))
 
 
 def between_dates(df: DataFrame, since=None, until=None, ts="dateTweet") -> DataFrame:
@@ -96,31 +97,34 @@ REQUIRED_USER_KEYS = (
 )
 
 
+def with_post(df: DataFrame, col: str = "value") -> DataFrame:
+    """Add ``_post``: the JSON text parsed with the raw schema."""
+    return df.withColumn("_post", F.from_json(col, RAW))
+
+
+def with_missing(df: DataFrame, col: str = "value") -> DataFrame:
+    """Add ``missing``: the parts without which the parsed post cannot be stored.
+
+    Parsing turns absent keys into nulls, so key names are looked up in the JSON.
+    """
+    none = F.array().cast("array<string>")
+    keys = F.json_object_keys(F.get_json_object(F.col(col), "$.user"))
+    absent = F.array_except(F.array(*map(F.lit, REQUIRED_USER_KEYS)), F.coalesce(keys, none))
+    missing = F.concat(
+        F.transform(absent, lambda k: F.concat(F.lit("user."), k)),
+        F.when(full_text("_post").isNull(), F.array(F.lit("text"))).otherwise(none),
+        F.when(parse_post_time("_post.created_at").isNull(), F.array(F.lit("created_at")))
+        .otherwise(none),
+    )
+    return df.withColumn("missing", missing)
+
+
 def split_rejects(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Raw JSON lines -> (good, rejects).
 
     Rejected: not JSON, no usable text or time, or a required author key absent.
-    Parsing turns absent keys into nulls, so key names are looked up in the JSON.
     ``rejects`` carries the JSON and the missing parts.
     """
-    raw = F.col(col)
-    post = F.from_json(raw, RAW)
-    checked = df.withColumn("_post", post).select("*", "_post.*")
-    user_keys = F.coalesce(
-        F.json_object_keys(F.get_json_object(raw, "$.user")), F.array().cast("array<string>")
-    )
-    missing = F.concat(
-        F.transform(
-            F.array_except(F.array(*map(F.lit, REQUIRED_USER_KEYS)), user_keys),
-            lambda k: F.concat(F.lit("user."), k),
-        ),
-        F.when(full_text().isNull(), F.array(F.lit("text"))).otherwise(
-            F.array().cast("array<string>")
-        ),
-        F.when(
-            parse_post_time("created_at").isNull(), F.array(F.lit("created_at"))
-        ).otherwise(F.array().cast("array<string>")),
-    )
-    judged = checked.withColumn("missing", missing).select(*df.columns, "missing")
+    judged = with_missing(with_post(df, col), col).drop("_post")
     good = judged.where(F.size("missing") == 0).drop("missing")
     return good, judged.where(F.size("missing") > 0)

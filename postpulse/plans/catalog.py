@@ -25,6 +25,7 @@ from postpulse.plans.tables import Tables, as_posts, feed_text, plain, position
 from postpulse.sources import captures, lists, posts as source, sinks
 from postpulse.streaming.ingest import ingest_stream
 from postpulse.streaming.minutes import minute_stream
+from postpulse.streaming.refresh import refresh_once
 
 # Words that occur in the test tables, then the library's own up to 50.
 TRACK = ["que", "the", "de", "on", "red", "migaja"]
@@ -157,7 +158,7 @@ def captures_by_name(t: Tables) -> DataFrame:
 @query("K2")
 def stored_by_day(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "posts")
-    sinks.write_posts(t.posts.select("ingest_id", "dateTweet", "tweet"), path, salt=4)
+    sinks.write_posts(t.posts.select("ingest_id", "dateTweet", "tweet"), path)
     days = filters.between_dates(t.spark.read.parquet(path), SINCE, UNTIL)
     return days.where(F.col("day").between(SINCE, UNTIL)).select("ingest_id", "day", "tweet")
 
@@ -559,6 +560,24 @@ def series_change(t: Tables) -> DataFrame:
     )
 
 
+def _refreshed(t: Tables, part: str) -> DataFrame:
+    state = shared_dir(t.spark, "state")
+    early = filters.between_dates(t.posts, until=REFRESH_AT)
+    for version, snapshot in enumerate((early, t.posts)):
+        refresh_once(t.spark, snapshot, state, version, TRACK, STOPWORDS)
+    return t.spark.read.parquet(f"{state}/{part}/v=1")
+
+
+@query("R3", "R5")
+def refreshed_series(t: Tables) -> DataFrame:
+    return _refreshed(t, "series")
+
+
+@query("R6")
+def refreshed_words(t: Tables) -> DataFrame:
+    return _refreshed(t, "words")
+
+
 # ---- reports ---------------------------------------------------------------
 
 @query("G1")

@@ -410,6 +410,9 @@ def oracle_sql() -> dict[str, str]:
               <= (SELECT max("dateTweet") FROM posts) - INTERVAL 10 MINUTE)
         {rows}"""
     sql["update_series"] = updated(UPDATE)
+    sql["refreshed_series"] = updated(UPDATE)
+    sql["refreshed_words"] = f"""WITH {POSTS} SELECT * FROM ({frequency('posts', 'tweet')})
+        ORDER BY n DESC, word LIMIT {TOP_WORDS}"""
     sql["series_change"] = updated("""
         SELECT max(new.ts) > (SELECT max(ts) FROM old WHERE series = 'All') AS changed,
           max(new.ts) AS last FROM new WHERE series = 'All'""")

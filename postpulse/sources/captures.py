@@ -12,15 +12,15 @@ from postpulse.schemas import CAPTURE, capture_column, capture_header
 
 # Quotes are doubled inside quoted text, and text may span lines.
 _FORMAT = {"header": "true", "quote": '"', "escape": '"'}
-_READ = {**_FORMAT, "multiLine": "true"}
-_WRITE = {
+READ = {**_FORMAT, "multiLine": "true"}
+WRITE = {
     **_FORMAT, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """One capture with the standard header."""
-    return spark.read.options(**_READ).schema(CAPTURE).csv(path)
+    return spark.read.options(**READ).schema(CAPTURE).csv(path)
 
 
 def _headers(spark: SparkSession, path: str) -> list:
@@ -59,7 +59,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
         schema = T.StructType(
             [T.StructField(n, known.get(n, T.StringType())) for n in names]
         )
-        parts.append(spark.read.options(**_READ).schema(schema).csv(files))
+        parts.append(spark.read.options(**READ).schema(schema).csv(files))
     if not parts:
         return spark.createDataFrame([], CAPTURE)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -87,13 +87,13 @@ def capture_file(df: DataFrame) -> DataFrame:
 
 def write_capture(df: DataFrame, path: str) -> None:
     """Append capture rows; every file gets the header once."""
-    capture_file(df).write.mode("append").options(**_WRITE).csv(path)
+    capture_file(df).write.mode("append").options(**WRITE).csv(path)
 
 
 def stream_capture(df: DataFrame, path: str, checkpoint: str, **trigger):
     """Append capture rows of a stream; exactly once through the file sink."""
     return (
-        capture_file(df).writeStream.format("csv").options(**_WRITE)
+        capture_file(df).writeStream.format("csv").options(**WRITE)
         .option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
@@ -104,4 +104,4 @@ def write_combined(df: DataFrame, path: str) -> None:
 
     Written in parallel as many files; nothing is forced through one task.
     """
-    capture_file(df).write.mode("overwrite").options(**_WRITE).csv(path)
+    capture_file(df).write.mode("overwrite").options(**WRITE).csv(path)

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from postpulse.constants import CHARTED
 from postpulse.functions.posts import full_text
 from postpulse.functions.text import any_keyword
-from postpulse.operators.filters import between_dates, by_language, ingest_filter
+from postpulse.operators.filters import between_dates, by_language, ingest_filter, with_post
 from postpulse.operators.newest import newest
-from postpulse.schemas import RAW
 
 SPREAD_BELOW = 1024**3
 
@@ -102,18 +101,16 @@ def stream_posts(
     files_per_batch: int = 1000,
 ) -> DataFrame:
     """Raw posts of the feed folder that pass the live filter."""
-    lines = stream_lines(spark, path, files_per_batch)
-    return live_filter(lines, box, langs, track).select("_post.*")
+    parsed = with_post(stream_lines(spark, path, files_per_batch))
+    return live_filter(parsed, box, langs, track).select("_post.*")
 
 
 def live_filter(
-    lines: DataFrame, box: Sequence[float], langs: Sequence[str], track: Sequence[str]
+    parsed: DataFrame, box: Sequence[float], langs: Sequence[str], track: Sequence[str]
 ) -> DataFrame:
-    """JSON lines (column ``value``) that pass the live filter, with the parsed ``_post``."""
-    parsed = lines.withColumn("_post", F.from_json("value", RAW))
-    view = parsed.select("value", "_post", "_post.*")
-    point = F.col("coordinates.coordinates")
+    """Parsed feed lines (column ``_post``) that pass the live filter."""
+    point = F.col("_post.coordinates.coordinates")
     return ingest_filter(
-        view, box, langs, track,
-        text=full_text(), lon=F.get(point, F.lit(0)), lat=F.get(point, F.lit(1)),
-    ).select("value", "_post")
+        parsed, box, langs, track, text=full_text("_post"), lang="_post.lang",
+        lon=F.get(point, F.lit(0)), lat=F.get(point, F.lit(1)),
+    )

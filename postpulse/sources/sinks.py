@@ -11,18 +11,14 @@ def by_day(df: DataFrame, ts="dateTweet") -> DataFrame:
     return df.withColumn("day", F.to_date(ts))
 
 
-def write_posts(df: DataFrame, path: str, ts="dateTweet", salt: int = 1) -> None:
+def write_posts(df: DataFrame, path: str, ts="dateTweet") -> None:
     """Append stored posts, one folder per day.
 
-    Rows are gathered by day before writing to avoid one small file per task and
-    day. ``salt`` spreads each day over that many tasks, for days that hold a large
-    share of all posts; a task writes several files when its rows exceed the limit.
+    Rows are gathered by day, so a day is not scattered over one small file per task.
+    The rebalance hint lets Spark split a day that holds a large share of all posts
+    into several tasks and join small ones.
     """
-    rows = by_day(df, ts).withColumn("_salt", F.floor(F.rand() * salt))
-    (
-        rows.repartition("day", "_salt").drop("_salt").write.mode("append")
-        .option("maxRecordsPerFile", 5_000_000).partitionBy("day").parquet(path)
-    )
+    by_day(df, ts).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def append_posts(stream: DataFrame, path: str, checkpoint: str, ts="dateTweet", **trigger):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postpulse.constants import REFRESH
-from postpulse.operators.filters import split_rejects
-from postpulse.operators.project import capture_row, flatten_post, parse_posts_json
-from postpulse.sources.captures import capture_file, _WRITE
+from postpulse.operators.filters import with_missing, with_post
+from postpulse.operators.project import capture_row, flatten_post
+from postpulse.sources.captures import WRITE, capture_file
 from postpulse.sources.posts import live_filter
 from postpulse.sources.sinks import by_day
 
@@ -33,30 +33,32 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Store every post of a stream of JSON lines (column ``value``).
 
-    Each micro-batch is read once and written to three folders. Bad posts go to
+    Each micro-batch is read and parsed once and written to three folders. Bad posts go to
     ``rejects`` and never stop the stream. A batch overwrites its own subfolder
     ``batch=<id>``, so a batch repeated after a failure leaves no duplicates.
 
     ``live`` is (box, languages, tracked words); without it every post is taken.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        judged = with_missing(batch).persist()
         try:
-            good, bad = split_rejects(batch)
-            raw = parse_posts_json(good, "value")
             target = f"batch={batch_id}"
+            raw = judged.where(F.size("missing") == 0).select("_post.*")
             by_day(flatten_post(raw, tz)).write.mode("overwrite").partitionBy("day").parquet(
                 f"{posts}/{target}"
             )
-            capture_file(capture_row(raw, tz)).write.mode("overwrite").options(**_WRITE).csv(
+            capture_file(capture_row(raw, tz)).write.mode("overwrite").options(**WRITE).csv(
                 f"{captures}/{target}"
             )
-            bad.write.mode("overwrite").json(f"{rejects}/{target}")
+            judged.where(F.size("missing") > 0).select("value", "missing").write.mode(
+                "overwrite"
+            ).json(f"{rejects}/{target}")
         finally:
-            batch.unpersist()
+            judged.unpersist()
 
-    taken = live_filter(lines, *live) if live else lines
+    parsed = with_post(lines.where(F.col("value") != ""))
+    taken = live_filter(parsed, *live) if live else parsed
     return (
-        taken.select("value").where(F.col("value") != "").writeStream.foreachBatch(store)
+        taken.select("value", "_post").writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(**refresh_trigger(period)).start()
     )

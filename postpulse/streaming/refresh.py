@@ -71,7 +71,8 @@ def refresh_stream(
     """Refresh whenever ``feed`` brings new posts.
 
     ``snapshot`` gives the newest stored posts; a moving newest-N is not an
-    append-only aggregate, so series and words are recomputed from it.
+    append-only aggregate, so series and words are recomputed from it. On a large
+    store let it read recent ``day`` folders only, since it runs at every refresh.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -37,10 +37,7 @@ PUNCTUATION = r"""[!¡"#$%&'()*+,\-./:;<=>?¿@\[\\\]^_`{|}~]"""
 EDGE_CHARS = '",.:;?¿-()[]<>!¡“”|*/\\=+&$% '
 
 # Every character that separates words when text is split on whitespace.
-WHITESPACE = (
-    r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+WHITESPACE = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]+"
 
 # Tokens never counted, besides the stop words.
 NEVER_TOKENS = ("", "rt")

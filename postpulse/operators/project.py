@@ -24,8 +24,12 @@ def parse_posts_json(df: DataFrame, col: str, schema=RAW) -> DataFrame:
     return parsed.select(*others, "_post.*")
 
 
-def flatten_post(df: DataFrame, tz: str | None = None) -> DataFrame:
-    """Raw post -> the stored fields, times in UTC unless ``tz`` is given."""
+def flatten_post(df: DataFrame, tz: str | None = None, with_id: bool = False) -> DataFrame:
+    """Raw post -> the stored fields, times in UTC unless ``tz`` is given.
+
+    ``with_id`` adds ``ingest_id``: the post's own id, which grows with time, so
+    "the newest N" of a store can be read by it.
+    """
     text = full_text()
     fields = {
         "dateTweet": to_local_time(parse_post_time("created_at"), tz),
@@ -39,7 +43,10 @@ def flatten_post(df: DataFrame, tz: str | None = None) -> DataFrame:
         "geoEnabled": F.col("user.geo_enabled"),
         "hash_tags": hashtags(text),
     }
-    return df.select(*[fields[f.name].alias(f.name) for f in STORED.fields])
+    columns = [fields[f.name].alias(f.name) for f in STORED.fields]
+    if with_id:
+        columns.append(F.col("id").alias("ingest_id"))
+    return df.select(*columns)
 
 
 def capture_row(df: DataFrame, tz: str | None = None) -> DataFrame:

@@ -43,6 +43,7 @@ def spread_small(df: DataFrame, below: int = SPREAD_BELOW) -> DataFrame:
     of a small input. Inputs of ``below`` bytes or more have plenty of row groups
     and are never shuffled here.
     """
+    # The optimiser's size of a plain scan: the bytes of its files, known without a job.
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= below:
         return df

@@ -44,7 +44,7 @@ def ingest_stream(
         try:
             target = f"batch={batch_id}"
             raw = judged.where(F.size("missing") == 0).select("_post.*")
-            by_day(flatten_post(raw, tz)).write.mode("overwrite").partitionBy("day").parquet(
+            by_day(flatten_post(raw, tz, with_id=True)).write.mode("overwrite").partitionBy("day").parquet(
                 f"{posts}/{target}"
             )
             capture_file(capture_row(raw, tz)).write.mode("overwrite").options(**WRITE).csv(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from postpulse.operators.project import capture_row, flatten_post, parse_posts_json
 from postpulse.operators.series import count_matches, keyword_series, unpivot_counts
-from postpulse.plans.report import word_weights
+from postpulse.plans.report import dashboard, word_weights
 from postpulse.sources.captures import read_captures, stream_capture
-from postpulse.sources.posts import newest, stream_lines, stream_posts
+from postpulse.operators.newest import newest
+from postpulse.sources.posts import read_posts, stream_lines, stream_posts
 from postpulse.sources.sinks import append_posts
 from postpulse.streaming.ingest import ingest_stream, refresh_trigger
 from postpulse.streaming.minutes import minute_stream
@@ -65,6 +66,27 @@ def test_ingest_survives_bad_posts_and_restarts(spark, tmp_path):
         ("dos", "[]"), ("tres", "[]"), ("uno #a", '["a"]')]
 
 
+def test_feed_to_dashboard(spark, tmp_path):
+    """What a user does: ingest, read the newest posts, show the dashboard."""
+    posts = [
+        raw(id=i, text=f"una red {i}", created_at=f"Thu Oct 24 14:{i:02d}:39 +0000 2019",
+            user={**raw()["user"], "screen_name": "n" if i % 2 else "other"})
+        for i in range(30)
+    ]
+    feed(tmp_path / "feed", "1.json", *posts)
+    ingest(spark, tmp_path)
+    newest_posts = read_posts(
+        spark, str(tmp_path / "posts"), fields=["dateTweet", "tweet", "screenName"], limit=20)
+    roster = spark.createDataFrame([("n",)], "handle string")
+    board = dashboard(newest_posts, ["red", "metro"], {"press": roster}, ["una"])
+    points = board.where("part = 'series' and name = 'All'")
+    assert points.where("audience = 'everyone'").count() == 18
+    assert points.where("audience = 'press'").count() == 8
+    # Every press post says "red", so its own ends are the outer minutes, cut once.
+    assert rows(board.where("part = 'weight'"), "audience", "name", "n") == [
+        ("everyone", "red", 20), ("press", "red", 8)]
+
+
 def test_repeated_batch_leaves_no_duplicates(spark, tmp_path):
     feed(tmp_path / "feed", "1.json", raw(text="uno"))
     ingest(spark, tmp_path)

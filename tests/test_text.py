@@ -70,8 +70,9 @@ def expected_tokens(text, stops=()):
 def random_texts():
     rng = random.Random(7)
     parts = list("abzAZñÑáÉüßçİΣ019__@@##:/.,;!¡¿?'\"()[]{}^`~|\\ \n\t") + [
-        "://", "http://", "https://t.co/Ab1", "#piñera", "@user", "RT ", "  ", "é", " ",
-        " ", "²", "½", "😀", "中文", "й", "x_y", ".@", "a://", "rt",
+        "://", "http://", "https://t.co/Ab1", "#piñera", "@user", "RT ", "  ", "e\u0301",
+        "\u00a0", "\u2003", "\u3000", "\u200b", "\x1c", "\x85", "\x0b", "\u00b2", "\u00bd",
+        "\U0001f600", "中文", "й", "x_y", ".@", "a://", "rt",
     ]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -35,14 +36,17 @@ def ingest_stream(
 
     Each micro-batch is read and parsed once and written to three folders. Bad posts go to
     ``rejects`` and never stop the stream. A batch overwrites its own subfolder
-    ``batch=<id>``, so a batch repeated after a failure leaves no duplicates.
+    ``feed=<checkpoint>/batch=<id>``, so a batch repeated after a failure leaves no
+    duplicates, and streams with checkpoints of their own can share the folders.
 
     ``live`` is (box, languages, tracked words); without it every post is taken.
     """
+    feed = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def store(batch: DataFrame, batch_id: int) -> None:
         judged = with_missing(batch).persist()
         try:
-            target = f"batch={batch_id}"
+            target = f"feed={feed}/batch={batch_id}"
             raw = judged.where(F.size("missing") == 0).select("_post.*")
             by_day(flatten_post(raw, tz, with_id=True)).write.mode("overwrite").partitionBy("day").parquet(
                 f"{posts}/{target}"

@@ -61,7 +61,7 @@ def test_ingest_survives_bad_posts_and_restarts(spark, tmp_path):
     assert posts.where("day = date'2019-10-24'").count() == 3
     rejects = spark.read.json(str(tmp_path / "rejects"))
     assert rejects.count() == 3
-    captures = read_captures(spark, str(tmp_path / "captures" / "*" / "*.csv"))
+    captures = read_captures(spark, str(tmp_path / "captures" / "*" / "*" / "*.csv"))
     assert rows(captures, "text", "hash_tags") == [
         ("dos", "[]"), ("tres", "[]"), ("uno #a", '["a"]')]
 
@@ -95,6 +95,13 @@ def test_repeated_batch_leaves_no_duplicates(spark, tmp_path):
         file.rename(tmp_path / f"lost-{file.name}")  # as if the job died before committing
     ingest(spark, tmp_path)
     assert spark.read.parquet(str(tmp_path / "posts")).count() == 1
+    other = tmp_path / "other"
+    feed(tmp_path / "feed2", "1.json", raw(text="dos"))
+    run = ingest_stream(
+        stream_lines(spark, str(tmp_path / "feed2")), str(tmp_path / "posts"),
+        str(other / "captures"), str(other / "rejects"), str(other / "checkpoint"), period=None)
+    run.awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "posts")), "tweet") == [("dos",), ("uno",)]
 
 
 def test_ingest_with_live_filter(spark, tmp_path):

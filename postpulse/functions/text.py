@@ -79,19 +79,32 @@ def strip_accents(col: Column | str, origin: Column | str | None = None) -> Colu
     text = F.col(col) if isinstance(col, str) else col
     source, target, multi = _accent_table()
     spelled = reduce(lambda c, m: F.replace(c, F.lit(m[0]), F.lit(m[1])), multi, text)
-    tested = text if origin is None else origin
-    ascii_only = F.octet_length(tested) == F.char_length(tested)
+    ascii_only = _is_ascii(text if origin is None else origin)
     return F.when(ascii_only, text).otherwise(F.translate(spelled, source, target))
 
 
+def _is_ascii(col: Column | str) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
 def strip_handles_urls(col: Column | str) -> Column:
     """Delete handles, tags and URLs, leaving everything else."""
     return _replace(col, _HANDLE_OR_URL, HANDLE_OR_TAG, "")
 
 
 def _plain(col: Column | str) -> Column:
-    blanked = _replace(col, f"{_HANDLE_OR_URL}|{_MARKS}", f"{HANDLE_OR_TAG}|{_MARKS}", " ")
-    return F.lower(strip_accents(F.translate(blanked, "0123456789", ""), origin=col))
+    # Without URLs nothing to blank begins with a plain letter, digit or space.
+    blanked = _replace(
+        col,
+        f"{_HANDLE_OR_URL}|{_MARKS}",
+        f"(?![a-zA-Z0-9 ])(?:{HANDLE_OR_TAG}|{_MARKS})",
+        " ",
+    )
+    # Only letters are left, so the one-to-one part of the accent table is enough, and
+    # the digits go in the same pass.
+    source, target, _ = _accent_table()
+    bare = F.translate(blanked, source[: len(target)] + "0123456789", target)
+    return F.lower(F.when(_is_ascii(col), F.regexp_replace(blanked, "[0-9]+", "")).otherwise(bare))
 
 
 def normalize_text(col: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,11 @@ def read_capture(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**READ).schema(CAPTURE).csv(path)
 
 
-def _headers(spark: SparkSession, path: str) -> list:
-    """(header line, files) for each distinct header below ``path``.
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files that have it, for the captures below ``path``.
 
-    The first line of every file is found by Spark; what comes back is one row per
-    distinct header, with the file names Spark lists on the driver anyway.
+    The first line of every file is found by Spark. What comes back is one short row
+    per file, no more than the file list Spark itself keeps on the driver.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -39,7 +40,10 @@ def _headers(spark: SparkSession, path: str) -> list:
         lines.where(F.col("start") == 0).groupBy("file")
         .agg(F.min_by("value", "line").alias("header"))
     )
-    return first.groupBy("header").agg(F.sort_array(F.collect_list("file"))).collect()
+    files = defaultdict(list)
+    for row in first.toLocalIterator():
+        files[row["header"]].append(row["file"])
+    return dict(sorted(files.items()))
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +55,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """
     known = {f.name: f.dataType for f in CAPTURE.fields}
     parts = []
-    for header, files in _headers(spark, path):
+    for header, files in _headers(spark, path).items():
         names = [
             capture_column(n.strip().strip('"'))
             for n in header.lstrip("﻿").rstrip("\r").split(",")

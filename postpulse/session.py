@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -36,8 +37,13 @@ def _local_dir() -> str:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``.
 
-    The cluster names a folder all executors can reach in that setting. Only
-    where it is unset (a local test session) is a temporary folder used.
+    The cluster names a folder all executors can reach in that setting. Where it is unset,
+    a session whose executors live in the driver's process takes a temporary folder; any
+    other raises, since its executors would each write to a disk of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -128,14 +128,30 @@ def anchors(words: Words, length: int, run: int) -> tuple[np.ndarray, ...]:
     return least[at[first]], owner[first], at[first] - words.first[owner[first]], many
 
 
+_PLACE = pa.struct([("doc", pa.int64()), ("stretch", pa.int64())])
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, run: int
                  ) -> Iterator[pa.RecordBatch]:
+    """One row for each anchor of a slice: its first place, and a list of the others if any."""
     for batch in slices(batches, "text", _SLICE):
         found, owner, first, many = anchors(Words(batch.column(1)), length, run)
+        order = np.argsort(found, kind="stable")
+        found, owner = found[order], owner[order]
+        doc = batch.column(0).to_numpy()[owner]
+        stretch = _packed(_signs(batch.column(1))[owner], first[order], many[order])
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        heads = np.nonzero(new)[0]
+        others = np.diff(np.concatenate([heads, [len(found)]])) - 1
+        ends = np.concatenate([[0], np.cumsum(others)]).astype(np.int32)
+        rest = pa.StructArray.from_arrays(
+            [pa.array(doc[~new]), pa.array(stretch[~new])], fields=list(_PLACE))
+        lists = pa.ListArray.from_arrays(pa.array(ends), rest, mask=pa.array(others == 0)) \
+            if len(heads) else pa.array([], pa.list_(_PLACE))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found.view(np.int64)), batch.column(0).take(pa.array(owner)),
-             pa.array(_packed(_signs(batch.column(1))[owner], first, many))],
-            ["anchor", "doc", "stretch"])
+            [pa.array(found[heads].view(np.int64)), pa.array(doc[heads]), pa.array(stretch[heads]),
+             lists], ["anchor", "doc", "stretch", "more"])
 
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch], length: int, run: int
@@ -214,24 +230,30 @@ def _first_windows(rows: list[tuple[bytes, int, int]], length: int) -> list[tupl
 
 
 def _search(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard key; whole keys are gathered to an index of about ``size`` words."""
-    rows: list[tuple[bytes, int, int]] = []
+    """Rows come sorted by shard key; whole keys are gathered to an index of about ``size`` words.
+
+    Of equal contexts only the first in the corpus matters, so each is indexed once.
+    """
+    found: dict[bytes, tuple[int, int]] = {}
     held, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        found = _first_windows(rows, length)
+        kept = _first_windows([(text, *place) for text, place in found.items()], length)
         return pa.RecordBatch.from_arrays(
-            [pa.array([f[0] for f in found], pa.int64()),
-             pa.array([f[1] for f in found], pa.int64())], ["doc", "kept"])
+            [pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["doc", "kept"])
 
     for batch in batches:
         for shard, text, doc, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held > size and shard != last:
                 yield flush()
-                rows, held = [], 0
-            rows.append((text, doc, at))
-            held, last = held + text.count(b" ") + 2, shard
-    if rows:
+                found, held = {}, 0
+            known = found.get(text)
+            if known is None:
+                held += text.count(b" ") + 2
+            if known is None or (doc, at) < known:
+                found[text] = doc, at
+            last = shard
+    if found:
         yield flush()
 
 
@@ -300,8 +322,12 @@ def remove_repeats(docs: DataFrame, length: int = WORDS, anchor: int = ANCHOR, h
                        "anchor long, n int")
     again = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
     stretches = in_tasks(rows, partial(_anchor_rows, length=length, run=anchor),
-                         "anchor long, doc long, stretch long")
+                         "anchor long, doc long, stretch long, "
+                         "more array<struct<doc:long,stretch:long>>")
     met = stretches.join(again.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
+    # An anchor comes once from each slice of a task, so a hot one has few rows in the join.
+    places = F.concat(F.array(F.struct("doc", "stretch")), F.coalesce("more", F.array()))
+    met = met.select("anchor", "hot", F.inline(places))
     of_doc = met.groupBy("doc").agg(F.collect_list(F.struct("anchor", "stretch", "hot")).alias("met"))
     joined = rows.join(of_doc, "doc").select("doc", "text", "met")
     contexts = in_tasks(joined, partial(_contexts, length=length),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postpulse.functions.posts import full_text, minute, parse_post_time
 from postpulse.functions.text import any_keyword
@@ -91,32 +92,47 @@ def positive_only(df: DataFrame, n="n") -> DataFrame:
     return df.where(F.col(n) > 0)
 
 
-# Keys a raw post must carry to be stored. A key holding null is present.
+# Keys a raw post's author must carry for it to be stored. A key holding null
+# is present.
 REQUIRED_USER_KEYS = (
     "screen_name", "name", "url", "description", "location", "verified", "geo_enabled",
 )
 
-
 def with_post(df: DataFrame, col: str = "value") -> DataFrame:
-    """Add ``_post``: the JSON text parsed with the raw schema."""
-    return df.withColumn("_post", F.from_json(col, RAW))
-
-
-def with_missing(df: DataFrame, col: str = "value") -> DataFrame:
-    """Add ``missing``: the parts without which the parsed post cannot be stored.
+    """Add ``_post``, the JSON text parsed with the raw schema, and ``_keys``, its author's keys.
 
-    Parsing turns absent keys into nulls, so key names are looked up in the JSON.
+    Each level is parsed once: the post with its author left as JSON text, then that short text.
+    Parsing turns absent keys into nulls, so key names are taken from the author's text.
     """
+    schema = StructType.fromDDL(RAW)
+    outer_schema = StructType([
+        StructField(f.name, StringType() if f.name == "user" else f.dataType)
+        for f in schema.fields
+    ])
+    outer = df.withColumn("_outer", F.from_json(col, outer_schema))
+    author = F.from_json("_outer.user", schema["user"].dataType)
+    whole = F.struct(*[
+        (author if f.name == "user" else F.col(f"_outer.{f.name}")).alias(f.name)
+        for f in schema.fields
+    ])
+    post = F.when(F.col("_outer").isNotNull(), whole)
+    return outer.withColumns({
+        "_post": post, "_keys": F.json_object_keys("_outer.user"),
+    }).drop("_outer")
+
+
+def with_missing(df: DataFrame) -> DataFrame:
+    """Add ``missing``: the parts without which a parsed post cannot be stored."""
     none = F.array().cast("array<string>")
-    keys = F.json_object_keys(F.get_json_object(F.col(col), "$.user"))
-    absent = F.array_except(F.array(*map(F.lit, REQUIRED_USER_KEYS)), F.coalesce(keys, none))
+    required = F.array(*map(F.lit, REQUIRED_USER_KEYS))
+    absent = F.array_except(required, F.coalesce("_keys", none))
     missing = F.concat(
         F.transform(absent, lambda k: F.concat(F.lit("user."), k)),
         F.when(full_text("_post").isNull(), F.array(F.lit("text"))).otherwise(none),
         F.when(parse_post_time("_post.created_at").isNull(), F.array(F.lit("created_at")))
         .otherwise(none),
     )
-    return df.withColumn("missing", missing)
+    return df.withColumn("missing", missing).drop("_keys")
 
 
 def split_rejects(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -125,6 +141,6 @@ def split_rejects(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFra
     Rejected: not JSON, no usable text or time, or a required author key absent.
     ``rejects`` carries the JSON and the missing parts.
     """
-    judged = with_missing(with_post(df, col), col).drop("_post")
+    judged = with_missing(with_post(df, col)).drop("_post")
     good = judged.where(F.size("missing") == 0).drop("missing")
     return good, judged.where(F.size("missing") > 0)

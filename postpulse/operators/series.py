@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from postpulse.functions.posts import minute
 from postpulse.functions.text import keyword_sql, sql_text
+from postpulse.operators.filters import by_roster, newer_than
 
 ALL = "All"
 EVERYONE = "everyone"
@@ -51,6 +52,30 @@ def count_matches(keywords: Sequence[str], text="tweet", among: str = "TRUE") ->
     return F.expr(f"array({', '.join(counts)})")
 
 
+BITS = 62  # keywords in one column of hits
+
+
+def hit_bits(keywords: Sequence[str], text="tweet") -> list[Column]:
+    """Columns ``_hits0``, ...: bit i tells whether the text contains keyword i of its column."""
+    tests = [keyword_sql(text, k) for k in series_names(keywords)[1:]]
+    parts = [tests[i: i + BITS] for i in range(0, len(tests), BITS)]
+    return [
+        F.expr(" + ".join(f"CASE WHEN {t} THEN {1 << i}L ELSE 0L END" for i, t in enumerate(p)))
+        .alias(f"_hits{k}")
+        for k, p in enumerate(parts)
+    ]
+
+
+def count_bits(keywords: Sequence[str]) -> Column:
+    """``count_matches`` from the columns of ``hit_bits``."""
+    counts = ["count(1)"]
+    counts += [
+        f"count_if(_hits{i // BITS} & {1 << i % BITS}L != 0)"
+        for i in range(len(series_names(keywords)) - 1)
+    ]
+    return F.expr(f"array({', '.join(counts)})")
+
+
 def unpivot_counts(df: DataFrame, keywords: Sequence[str], *keep: str, counts="counts"):
     """Array of ``count_matches`` -> rows ``(series, n)``."""
     names = ", ".join(sql_text(name) for name in series_names(keywords))
@@ -122,44 +147,38 @@ def keyword_series(
     """
     if edge not in ("series", "global"):
         raise ValueError("edge must be 'series' or 'global'")
-    by = ["audience"] if audiences else []
-    timed = df.where(F.col(ts).isNotNull())
-    if audiences:
-        groups = [F.when(cond, F.lit(name)) for name, cond in audiences.items()]
-        member_of = F.array_compact(F.array(*groups))
-        timed = timed.select(F.explode(member_of).alias("audience"), ts, text)
-
-    # The only pass over the posts. Counts are added up per partition before the
-    # shuffle, so a busy minute arrives as one row per partition. Each minute's row
-    # counts every keyword, so zeros come for free.
-    minutes = timed.groupBy(*by, minute(ts).alias("ts")).agg(
-        count_matches(keywords, text).alias("counts")
-    )
-    cells = unpivot_counts(minutes, keywords, *by, "ts")
-    # Each series has a cell in every observed minute, so its outer ends are those of
-    # ``All``. The window runs over minutes, not posts.
-    series = W.partitionBy(*by, "series")
-    seen = F.when(F.col("n") > 0, F.col("ts"))
-    first, last = (F.min("ts").over(series), F.max("ts").over(series))
-    own_first, own_last = (F.min(seen).over(series), F.max(seen).over(series))
-    cells = cells.select(
-        "*", first.alias("_first"), last.alias("_last"),
-        own_first.alias("_own_first"), own_last.alias("_own_last"),
+    names = series_names(keywords)
+    # The only pass over the texts: each post's keyword hits become bits once, whatever the
+    # number of audiences it belongs to. Counts are added up per partition before the
+    # shuffle, so a busy minute arrives as one row per partition and audience.
+    groups = [F.when(cond, F.lit(name)) for name, cond in (audiences or {}).items()]
+    member_of = F.array_compact(F.array(*groups)) if audiences else F.array(F.lit(EVERYONE))
+    posts = df.where(F.col(ts).isNotNull()).select(
+        minute(ts).alias("ts"), member_of.alias("_in"), *hit_bits(keywords, text)
     )
-    n = F.col("n")
+    posts = posts.select(F.explode("_in").alias("audience"), *[c for c in posts.columns if c != "_in"])
+    minutes = posts.groupBy("audience", "ts").agg(count_bits(keywords).alias("counts"))
+    # Ends of each audience and keyword: one row per audience, so it is broadcast.
+    seen = [F.when(F.col("counts")[i] > 0, F.col("ts")) for i in range(len(names))]
+    ends = minutes.groupBy(F.col("audience").alias("_audience")).agg(
+        F.array(*map(F.min, seen)).alias("_first"), F.array(*map(F.max, seen)).alias("_last"))
+    cells = minutes.join(F.broadcast(ends), F.col("audience") == F.col("_audience"))
+    inside = (F.col("ts") > F.col("_first")[0]) & (F.col("ts") < F.col("_last")[0])
+    own = F.col("counts")
     if edge == "series":
-        own_end = F.col("ts").isin(F.col("_own_first"), F.col("_own_last"))
-        n = F.when(own_end, F.lit(0)).otherwise(n)
-    inside = (F.col("ts") > F.col("_first")) & (F.col("ts") < F.col("_last"))
-    return cells.where(inside).select(*by, "series", "ts", n.cast("long").alias("n"))
+        own = F.transform(own, lambda n, i: F.when(
+            (F.col("ts") == F.get("_first", i)) | (F.col("ts") == F.get("_last", i)), F.lit(0)
+        ).otherwise(n))
+    kept = cells.where(inside).select("audience", "ts", own.alias("counts"))
+    found = unpivot_counts(kept, keywords, "audience", "ts").select(
+        "audience", "series", "ts", F.col("n").cast("long").alias("n"))
+    return found if audiences else found.drop("audience")
 
 
 def roster_series(
     df: DataFrame, roster: DataFrame, keywords: Sequence[str], on="screenName", **options
 ) -> DataFrame:
     """``keyword_series`` of the posts of listed authors, on their own minutes."""
-    from postpulse.operators.filters import by_roster
-
     return keyword_series(by_roster(df, roster, on), keywords, **options)
 
 
@@ -256,21 +275,38 @@ def update_series(
 ) -> DataFrame:
     """Refresh: append the snapshot's buckets newer than the state, keep the last ``keep``.
 
-    "Newer" is measured against the newest bucket of ``All`` in the state; an empty
-    state accepts everything. ``state`` and ``snapshot`` are (…, series, ts, n).
+    "Newer" is measured against the newest bucket of ``All`` in the state, of each audience by
+    itself where ``by`` names more than the series; an empty state accepts everything.
+    ``state`` and ``snapshot`` are (…, series, ts, n).
     """
-    from postpulse.operators.filters import newer_than
-
-    last = state.where(F.col("series") == ALL).agg(F.max("ts")).scalar()
-    return keep_last(append_increment(state, newer_than(snapshot, last)), keep, by)
-
+    groups = [c for c in by if c != "series"]
+    newest = state.where(F.col("series") == ALL)
+    if not groups:
+        newer = newer_than(snapshot, newest.agg(F.max("ts")).scalar())
+    else:
+        last = newest.groupBy(*groups).agg(F.max("ts").alias("_last"))
+        met = snapshot.join(last, groups, "left").select(*snapshot.columns, "_last")
+        newer = newer_than(met, F.col("_last")).drop("_last")
+    return keep_last(append_increment(state, newer), keep, by)
+
+
+def series_change(
+    state: DataFrame, snapshot: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """(changed, last): whether ``All`` gained a bucket, and its newest one.
 
-def series_change(state: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """One row (changed, last): whether ``All`` gained a bucket, and its newest one."""
-    held = state.where(F.col("series") == ALL).agg(F.max("ts")).scalar()
-    new = snapshot.where(F.col("series") == ALL).agg(F.max("ts").alias("new"))
+    One row, or one for each value of the columns ``by``.
+    """
+    of_all = F.col("series") == ALL
+    if not by:
+        held = state.where(of_all).agg(F.max("ts")).scalar()
+        new = snapshot.where(of_all).agg(F.max("ts").alias("_new")).withColumn("_held", held)
+    else:
+        held = state.where(of_all).groupBy(*by).agg(F.max("ts").alias("_held"))
+        new = snapshot.where(of_all).groupBy(*by).agg(F.max("ts").alias("_new"))
+        new = new.join(held, list(by), "full")
+    gained = F.col("_held").isNull() & F.col("_new").isNotNull() | (F.col("_new") > F.col("_held"))
     return new.select(
-        F.coalesce(held.isNull() & F.col("new").isNotNull() | (F.col("new") > held), F.lit(False))
-        .alias("changed"),
-        F.greatest("new", held).alias("last"),
+        *by, F.coalesce(gained, F.lit(False)).alias("changed"),
+        F.greatest("_new", "_held").alias("last"),
     )

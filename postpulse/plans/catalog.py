@@ -12,7 +12,6 @@ from postpulse.constants import (
     CHARTED,
     KEYWORDS,
     POINTS_KEPT,
-    SNAPSHOT_POSTS,
     TOP_WORDS,
     TRACKED,
 )
@@ -23,15 +22,17 @@ from postpulse.operators.newest import newest
 from postpulse.plans import report
 from postpulse.plans.tables import Tables, as_posts, feed_text, plain, position
 from postpulse.sources import captures, lists, posts as source, sinks
-from postpulse.streaming.ingest import ingest_stream
+from postpulse.streaming.ingest import compact_days, ingest_stream
 from postpulse.streaming.minutes import minute_stream
-from postpulse.streaming.refresh import refresh_once
+from postpulse.streaming.refresh import refresh_once, refresh_stream, refreshed
 
 # Words that occur in the test tables, then the library's own up to 50.
 TRACK = ["que", "the", "de", "on", "red", "migaja"]
 TRACK_50 = [*TRACK, *[k for k in KEYWORDS if k not in TRACK][: TRACKED - len(TRACK)]]
 # 90 keywords, more than are counted as columns.
 TRACK_90 = [*TRACK, *[k for k in KEYWORDS if k not in TRACK]][:90]
+# More than nine keywords, the last of which are found most.
+SEARCH_MANY = [f"nunca{i}" for i in range(9)] + ["migaja", "pero", "que"]
 PATTERN = "th[aeiou]|re$"
 STOPWORDS = ["de", "la", "le", "les", "el", "que", "un", "the", "of", "and", "der", "die"]
 SEGMENTS = {"press": "MACHINERY", "politicians": "BUILDING"}
@@ -39,6 +40,8 @@ SANTIAGO = "America/Santiago"
 BOX = (-76.0, -56.0, -66.0, -17.0)
 SINCE, UNTIL = "2024-01-02", "2024-01-03"
 REFRESH_AT = "2024-01-02 12:00:00"
+LAG_AT = "2024-01-02 09:00:00"
+LIVE = (BOX, ["es", "fr"], ["migaja", "que"])
 
 _REGISTRY: dict[str, tuple[tuple[str, ...], Callable[[Tables], DataFrame]]] = {}
 
@@ -73,6 +76,14 @@ def read_posts(t: Tables) -> DataFrame:
     )
 
 
+@query("S1", "K2", "T1")
+def read_newest_days(t: Tables) -> DataFrame:
+    """From a store by day: the newest days whole, the last one by id."""
+    path = shared_dir(t.spark, "store")
+    sinks.write_posts(t.posts.select("ingest_id", "dateTweet", "tweet"), path)
+    return source.read_posts(t.spark, path, limit=700)
+
+
 @query("S1")
 def read_posts_unlimited(t: Tables) -> DataFrame:
     return source.scan_posts(t.posts, fields=["ingest_id", "tweet"])
@@ -80,7 +91,16 @@ def read_posts_unlimited(t: Tables) -> DataFrame:
 
 @query("T1")
 def newest_posts(t: Tables) -> DataFrame:
-    return newest(t.posts.select("ingest_id", "dateTweet", "tweet"), SNAPSHOT_POSTS, "ingest_id")
+    return newest(t.posts.select("ingest_id", "dateTweet", "tweet"), 900, "ingest_id")
+
+
+@query("T1")
+def newest_ties(t: Tables) -> DataFrame:
+    """Repeated ids, then null ones: n on both sides of 1,000 and beyond the ids there are."""
+    half = F.when(F.col("ingest_id") % 5 != 0, F.floor(F.col("ingest_id") / 2))
+    ids = t.events.select(half.alias("id"))
+    found = [newest(ids, n, "id").select(F.lit(n).alias("n"), "id") for n in (999, 1_001, 9_000)]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query("S5")
@@ -111,8 +131,10 @@ def first_keywords(t: Tables) -> DataFrame:
 @query("S8", "N7")
 def read_roster(t: Tables) -> DataFrame:
     listed = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("@"), F.col("c_name")))
-    rows = t.table("customer").select("c_mktsegment", listed.alias("Twitter"))
-    return lists.roster_handles(rows)
+    path = shared_dir(t.spark, "roster")
+    rows = t.table("customer").select("c_mktsegment", listed.alias("account"))
+    rows.write.options(header="true", quote='"', escape='"').csv(path)
+    return lists.read_roster(t.spark, path, "account")
 
 
 @query("S9", "N2", "U3")
@@ -128,6 +150,12 @@ def search_posts(t: Tables) -> DataFrame:
     )
 
 
+@query("S12", "F1a")
+def search_many_keywords(t: Tables) -> DataFrame:
+    """Keywords that no single text needs but all together do; more than nine."""
+    return source.search_posts(t.posts, SEARCH_MANY, "es").select("ingest_id")
+
+
 @query("S12", "P6")
 def search_all_locations(t: Tables) -> DataFrame:
     found = source.search_posts(t.posts, TRACK, "es", since=SINCE)
@@ -152,7 +180,19 @@ def captures_by_name(t: Tables) -> DataFrame:
     other = rows.where(F.col("lang") != "es").select("text", "user_id", "id")
     captures.write_combined(short, f"{path}/a")
     captures.write_combined(other, f"{path}/b")
-    return captures.read_captures(t.spark, f"{path}/*/*.csv")
+    return captures.read_captures(t.spark, path)
+
+
+@query("S4", "K1", "S3")
+def latest_capture(t: Tables) -> DataFrame:
+    """Two captures of many files each; the older one is written last."""
+    path = shared_dir(t.spark, "runs")
+    rows = project.capture_row(project.parse_posts_json(t.feed.select("value"), "value"))
+    rows = rows.select("id", "lang", "text", "user_location")
+    captures.write_capture(rows.where(F.col("lang") == "es"), f"{path}/20240102-080000")
+    captures.write_capture(rows.where(F.col("lang") == "fr"), f"{path}/20240102-080000")
+    captures.write_capture(rows.where(F.col("lang") == "en"), f"{path}/20240101-093000")
+    return captures.latest_capture(t.spark, path)
 
 
 @query("K2")
@@ -230,6 +270,23 @@ def news_time(t: Tables) -> DataFrame:
     return project.news_time(filters.title_contains(news, "signup 1"))
 
 
+@query("S10", "F7", "P8")
+def read_news(t: Tables) -> DataFrame:
+    """Articles written as JSON arrays, one file for each kind of event, and read back."""
+    path = shared_dir(t.spark, "news")
+    article = F.struct(
+        F.concat_ws(" ", "event_type", "user_id").alias("title"),
+        F.date_format("dateTweet", "'x'dd/MM/yyyy").alias("publication_date"),
+        F.date_format("dateTweet", "HH:mm").alias("publication_hour"),
+    )
+    by_kind = t.events.groupBy("event_type", F.to_date("dateTweet").alias("day"))
+    by_kind.agg(F.to_json(F.collect_list(article)).alias("value")).repartition(
+        "event_type", "day").select("value", "event_type", "day").write.partitionBy(
+        "event_type", "day").text(path)
+    news = lists.read_news(t.spark, path)
+    return project.news_time(filters.title_contains(news, "signup 1"))
+
+
 @query("P9")
 def minute_epoch(t: Tables) -> DataFrame:
     return t.events.select("ingest_id", at.minute_epoch("dateTweet").alias("epoch"))
@@ -517,17 +574,64 @@ def strip_first(t: Tables) -> DataFrame:
 
 # ---- streaming -------------------------------------------------------------
 
-@query("R1", "S11", "K2", "F5", "F9")
-def ingest_posts(t: Tables) -> DataFrame:
+# Lines that are no usable posts, whatever their language.
+BROKEN = "{broken"
+
+
+def _ingested(t: Tables) -> str:
+    """The feed, with a broken line for each event of type ``error``, ingested with a live filter."""
     base = shared_dir(t.spark, "ingest")
-    t.feed.select("value").write.text(f"{base}/feed")
+    broken = t.events.where(F.col("event_type") == "error").select(
+        F.concat(F.lit(BROKEN), F.col("ingest_id")).alias("value"))
+    t.feed.select("value").union(broken).write.text(f"{base}/feed")
     run = ingest_stream(
         source.stream_lines(t.spark, f"{base}/feed"), f"{base}/posts", f"{base}/captures",
-        f"{base}/rejects", f"{base}/checkpoint",
-        live=(BOX, ["es", "fr"], ["migaja", "que"]), period=None,
+        f"{base}/rejects", f"{base}/checkpoint", live=LIVE, period=None,
     )
     run.awaitTermination()
-    return t.spark.read.parquet(f"{base}/posts").select("dateTweet", "screenName", "tweet")
+    return base
+
+
+@query("R1", "S11", "F5", "F9")
+def ingest_posts(t: Tables) -> DataFrame:
+    """Ingested posts of all days, put together in a store by day."""
+    base = _ingested(t)
+    compact_days(t.spark, f"{base}/posts", f"{base}/store", before="2100-01-01")
+    return t.spark.read.parquet(f"{base}/store").select("dateTweet", "screenName", "tweet")
+
+
+@query("R1", "F9")
+def ingest_rejects(t: Tables) -> DataFrame:
+    rejects = t.spark.read.schema("value string, missing array<string>").json(f"{_ingested(t)}/rejects")
+    return rejects.select(
+        F.when(F.col("value").startswith(BROKEN), F.col("value")).alias("broken"),
+        F.get_json_object("value", "$.id").cast("long").alias("ingest_id"),
+        F.array_join("missing", " ").alias("missing"),
+    )
+
+
+@query("S11", "K2")
+def stream_posts(t: Tables) -> DataFrame:
+    """The live feed to stored posts through the file sink."""
+    base = shared_dir(t.spark, "live")
+    t.feed.select("value").write.text(f"{base}/feed")
+    raw = source.stream_posts(t.spark, f"{base}/feed", *LIVE)
+    sinks.append_posts(
+        project.flatten_post(raw, with_id=True), f"{base}/posts", f"{base}/checkpoint"
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{base}/posts").select("ingest_id", "dateTweet", "tweet")
+
+
+@query("S11", "K1")
+def stream_capture(t: Tables) -> DataFrame:
+    """The live feed to a capture through the file sink."""
+    base = shared_dir(t.spark, "live")
+    t.feed.select("value").write.text(f"{base}/feed")
+    raw = source.stream_posts(t.spark, f"{base}/feed", *LIVE)
+    captures.stream_capture(
+        project.capture_row(raw, SANTIAGO), f"{base}/capture", f"{base}/checkpoint"
+    ).awaitTermination()
+    return captures.read_captures(t.spark, f"{base}/capture")
 
 
 @query("R2", "R4", "R5")
@@ -535,9 +639,10 @@ def closed_minutes(t: Tables) -> DataFrame:
     base = shared_dir(t.spark, "minutes")
     schema = t.table("events").schema
     stream = as_posts(t.spark.readStream.schema(schema).parquet(f"{t.folder}/events.parquet*"))
-    text = t.documents.select(F.col("doc_id").alias("ingest_id"), "tweet")
+    text = t.documents.select("doc_id", "tweet")
+    number = F.col("ingest_id") % t.table("documents").count()
     run = (
-        minute_stream(stream.join(text, "ingest_id"), TRACK).writeStream.format("parquet")
+        minute_stream(stream.join(text, number == F.col("doc_id")), TRACK).writeStream.format("parquet")
         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
         .outputMode("append").trigger(availableNow=True).start()
     )
@@ -560,22 +665,55 @@ def series_change(t: Tables) -> DataFrame:
     )
 
 
-def _refreshed(t: Tables, part: str) -> DataFrame:
+def _refreshed(t: Tables, part: str, **options) -> DataFrame:
     state = shared_dir(t.spark, "state")
     early = filters.between_dates(t.posts, until=REFRESH_AT)
     for version, snapshot in enumerate((early, t.posts)):
-        refresh_once(t.spark, snapshot, state, version, TRACK, STOPWORDS)
-    return t.spark.read.parquet(f"{state}/{part}/v=1")
+        refresh_once(t.spark, snapshot, state, version, TRACK, STOPWORDS, **options)
+    return refreshed(t.spark, state, part, 1)
 
 
 @query("R3", "R5")
 def refreshed_series(t: Tables) -> DataFrame:
-    return _refreshed(t, "series")
+    return _refreshed(t, "series").drop("audience")
 
 
 @query("R6")
 def refreshed_words(t: Tables) -> DataFrame:
-    return _refreshed(t, "words")
+    return _refreshed(t, "weights").select(F.col("name").alias("word"), "n")
+
+
+@query("R3", "R6", "G4")
+def refreshed_dashboard(t: Tables) -> DataFrame:
+    """Two refreshes for everyone and a roster whose first snapshot lags behind the others'."""
+    late = t.roster("MACHINERY")
+    state = shared_dir(t.spark, "state")
+    early = filters.between_dates(t.posts, until=REFRESH_AT)
+    lagging = filters.between_dates(t.posts, until=LAG_AT)
+    listed = filters.by_roster(lagging, late)
+    others = early.join(late, early.screenName == late.handle, "left_anti")
+    for version, snapshot in enumerate((others.unionByName(listed), t.posts)):
+        refresh_once(t.spark, snapshot, state, version, TRACK, STOPWORDS, {"press": late})
+    series = refreshed(t.spark, state, "series", 1).select(
+        "audience", F.lit("series").alias("part"), F.col("series").alias("name"), "ts", "n")
+    weights = refreshed(t.spark, state, "weights", 1).select(
+        "audience", F.lit("weight").alias("part"), "name",
+        F.lit(None).cast("timestamp").alias("ts"), "n")
+    return series.unionByName(weights)
+
+
+@query("R3", "R5", "S1")
+def refresh_from_stream(t: Tables) -> DataFrame:
+    """A refresh whenever the store of posts grows, from its newest posts."""
+    base = shared_dir(t.spark, "refresh")
+    sinks.write_posts(t.posts.select("ingest_id", "dateTweet", "tweet", "screenName"), f"{base}/posts")
+    grown = t.spark.readStream.schema("ingest_id long, dateTweet timestamp, tweet string") \
+        .parquet(f"{base}/posts")
+    refresh_stream(
+        grown, lambda s: source.read_posts(s, f"{base}/posts", limit=800), f"{base}/state",
+        f"{base}/checkpoint", TRACK, period=None,
+    ).awaitTermination()
+    return refreshed(t.spark, f"{base}/state", "series", 0).drop("audience")
 
 
 # ---- reports ---------------------------------------------------------------
@@ -599,3 +737,9 @@ def word_weights(t: Tables) -> DataFrame:
 def dashboard(t: Tables) -> DataFrame:
     rosters = {name: t.roster(segment) for name, segment in SEGMENTS.items()}
     return report.dashboard(t.posts, TRACK_50, rosters, STOPWORDS)
+
+
+@query("G1", "G4")
+def dashboard_all_points(t: Tables) -> DataFrame:
+    """The points of every keyword."""
+    return report.dashboard(t.posts, TRACK_50, {"press": t.roster("MACHINERY")}, STOPWORDS, charted=None)

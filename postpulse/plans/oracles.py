@@ -1,4 +1,8 @@
-"""The registered queries in SQL, written independently for DuckDB."""
+"""The registered queries in SQL for DuckDB.
+
+Only the fixed values (word lists, character classes) are shared with the library; unit tests
+check those by hand.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +14,18 @@ from postpulse.constants import (
     NEVER_TOKENS,
     POINTS_KEPT,
     PUNCTUATION,
-    SNAPSHOT_POSTS,
     TOP_WORDS,
     URL_TAIL,
     WHITESPACE,
 )
 from postpulse.plans.catalog import (
     BOX,
+    BROKEN,
+    LAG_AT,
     PATTERN,
     REFRESH_AT,
     SANTIAGO,
+    SEARCH_MANY,
     SEGMENTS,
     SINCE,
     STOPWORDS,
@@ -45,11 +51,9 @@ EVENTS = """ev AS (
   FROM events)"""
 POSTS = EVENTS + """, posts AS (
   SELECT ev.*, d.text AS tweet, d.lang, d.source, d.n_chars
-  FROM ev JOIN documents d ON d.doc_id = ev.ingest_id)"""
-# Feed shapes: the text each kind of post should give, before and after cutting.
+  FROM ev JOIN documents d ON d.doc_id = ev.ingest_id % (SELECT count(*) FROM documents))"""
 FEED = POSTS + """, feed AS (
-  SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN '#' || event_type || ' ' || tweet
-                 ELSE left('#' || event_type || ' ' || tweet, 140) END AS txt,
+  SELECT *, '#' || event_type || ' ' || tweet AS txt,
          date_trunc('second', "dateTweet") AS sec
   FROM posts)"""
 
@@ -209,6 +213,26 @@ UPDATE = f"""SELECT * FROM (
     QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC) <= {POINTS_KEPT}"""
 
 
+# Parts that a line without any post lacks.
+ABSENT = (
+    "user.screen_name", "user.name", "user.url", "user.description", "user.location",
+    "user.verified", "user.geo_enabled", "text", "created_at",
+)
+
+
+def grown(name: str, member: str, until: str) -> str:
+    """CTE ``name``: one audience's series held at ``until`` and refreshed with all posts."""
+    source = f"SELECT 'x' AS audience, \"dateTweet\", tweet FROM posts WHERE ({member})"
+    old = series_sql(f"{source} AND \"dateTweet\" < TIMESTAMP '{until}'", TRACK)
+    new = series_sql(source, TRACK)
+    last = f"QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC) <= {POINTS_KEPT}"
+    return f"""{name} AS (
+      WITH old AS (WITH {old} SELECT series, ts, n FROM s {last}),
+      new AS (WITH {new} SELECT series, ts, n FROM s)
+      SELECT * FROM (SELECT * FROM old UNION ALL
+        SELECT * FROM new WHERE ts > (SELECT max(ts) FROM old WHERE series = 'All')) {last})"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
     sql["read_posts"] = f"""WITH {EVENTS}
@@ -216,7 +240,14 @@ def oracle_sql() -> dict[str, str]:
         ORDER BY ingest_id DESC LIMIT 2500"""
     sql["read_posts_unlimited"] = f"WITH {POSTS} SELECT ingest_id, tweet FROM posts"
     sql["newest_posts"] = f"""WITH {POSTS} SELECT ingest_id, "dateTweet", tweet FROM posts
-        ORDER BY ingest_id DESC LIMIT {SNAPSHOT_POSTS}"""
+        ORDER BY ingest_id DESC LIMIT 900"""
+    half = "CASE WHEN event_id % 5 <> 0 THEN event_id // 2 END"
+    sql["newest_ties"] = " UNION ALL ".join(
+        f"(SELECT {n} AS n, {half} AS id FROM events ORDER BY id DESC NULLS LAST LIMIT {n})"
+        for n in (999, 1_001, 9_000))
+    sql["read_newest_days"] = f"""WITH {POSTS}
+        SELECT ingest_id, "dateTweet", tweet, CAST("dateTweet" AS DATE) AS day FROM posts
+        ORDER BY day DESC, ingest_id DESC LIMIT 700"""
     sql["select_authors"] = f'WITH {EVENTS} SELECT "screenName" FROM ev'
     sql["select_time_text"] = f'WITH {POSTS} SELECT "dateTweet", tweet FROM posts'
     sql["parse_posts_json"] = f"""WITH {EVENTS}
@@ -225,19 +256,24 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT string_split(text, ', ') AS p FROM documents)"""
     sql["split_keywords"] = parts
     sql["first_keywords"] = f"SELECT * FROM ({parts}) WHERE pos < {CHARTED}"
-    sql["read_roster"] = """SELECT c_mktsegment, '@' || c_name AS "Twitter", c_name AS handle
+    sql["read_roster"] = """SELECT c_mktsegment, '@' || c_name AS account, c_name AS handle
         FROM customer WHERE c_acctbal > 0"""
     sql["plain_stopwords"] = f"""SELECT DISTINCT strip_accents(word) AS word FROM (
         SELECT unnest({split('text')}) AS word FROM documents)"""
     sql["search_posts"] = f"""WITH {POSTS} SELECT ingest_id, "dateTweet", tweet FROM posts
         WHERE {SEARCH} AND "dateTweet" >= '{SINCE}' AND "dateTweet" < '{UNTIL}'
         ORDER BY "dateTweet" DESC, ingest_id DESC LIMIT 500"""
+    many = " OR ".join(f"contains(tweet, {lit(k)})" for k in SEARCH_MANY)
+    sql["search_many_keywords"] = f"""WITH {POSTS}
+        SELECT ingest_id FROM posts WHERE lang = 'es' AND ({many})"""
     sql["search_all_locations"] = f"""WITH {POSTS}
         SELECT "screenName" AS user, source AS location FROM posts
         WHERE {SEARCH} AND "dateTweet" >= '{SINCE}'"""
 
-    sql["capture_round_trip"] = f"""WITH {FEED}, cap AS ({CAPTURE})
-        SELECT * REPLACE (nullif(user_location, '') AS user_location) FROM cap"""
+    sql["capture_round_trip"] = f"WITH {FEED} {CAPTURE}"
+    place = "CASE WHEN event_type = 'click' THEN '' ELSE source END AS user_location"
+    sql["latest_capture"] = f"""WITH {FEED}
+        SELECT ingest_id AS id, lang, txt AS text, {place} FROM feed WHERE lang IN ('es', 'fr')"""
     sql["capture_row"] = f"WITH {FEED} {CAPTURE}"
     sql["captures_by_name"] = f"""WITH {FEED}
         SELECT ingest_id AS id, lang, txt AS text, CAST(NULL AS BIGINT) AS user_id
@@ -278,6 +314,7 @@ def oracle_sql() -> dict[str, str]:
     sql["news_time"] = f"""WITH {EVENTS}
         SELECT event_type || ' ' || user_id AS title, {EPOCH} AS epoch
         FROM ev WHERE contains(event_type || ' ' || user_id, 'signup 1')"""
+    sql["read_news"] = sql["news_time"]
     sql["minute_epoch"] = f"WITH {EVENTS} SELECT ingest_id, {EPOCH} AS epoch FROM ev"
 
     sql["contains_keyword"] = f"SELECT doc_id FROM documents WHERE {hit('text', lit('red'))}"
@@ -398,6 +435,15 @@ def oracle_sql() -> dict[str, str]:
         SELECT sec AS "dateTweet", "screenName", txt AS tweet FROM feed
         WHERE event_type <> 'error' AND lang IN ('es', 'fr')
           AND (({IN_BOX}) OR contains(txt, 'migaja') OR contains(txt, 'que'))"""
+    live = f"""lang IN ('es', 'fr')
+          AND (({IN_BOX}) OR contains(txt, 'migaja') OR contains(txt, 'que'))"""
+    sql["ingest_rejects"] = f"""WITH {POSTS}
+        SELECT NULL AS broken, ingest_id, 'user.url' AS missing FROM posts WHERE event_type = 'error'
+        UNION ALL SELECT {lit(BROKEN)} || ingest_id, NULL, {lit(' '.join(ABSENT))}
+        FROM posts WHERE event_type = 'error'"""
+    sql["stream_posts"] = f"""WITH {FEED}
+        SELECT ingest_id, sec AS "dateTweet", txt AS tweet FROM feed WHERE {live}"""
+    sql["stream_capture"] = f"WITH {FEED} {CAPTURE} WHERE {live}"
     counts = ", ".join(
         f"count(*) FILTER (contains(tweet, {lit(k)})) AS n{i}" for i, k in enumerate(TRACK))
     rows = " UNION ALL ".join(
@@ -413,6 +459,22 @@ def oracle_sql() -> dict[str, str]:
     sql["refreshed_series"] = updated(UPDATE)
     sql["refreshed_words"] = f"""WITH {POSTS} SELECT * FROM ({frequency('posts', 'tweet')})
         ORDER BY n DESC, word LIMIT {TOP_WORDS}"""
+    member = in_segment("MACHINERY")
+    early = f"""({member} AND "dateTweet" < TIMESTAMP '{LAG_AT}'
+      OR NOT {member} AND "dateTweet" < TIMESTAMP '{REFRESH_AT}')"""
+    everyone = grown("e", "TRUE", REFRESH_AT).replace(
+        f"(TRUE) AND \"dateTweet\" < TIMESTAMP '{REFRESH_AT}'", early)
+    sql["refreshed_dashboard"] = f"""WITH {POSTS}, {everyone}, {grown("p", member, LAG_AT)}
+        SELECT 'everyone' AS audience, 'series' AS part, series AS name, ts, n FROM e
+        UNION ALL SELECT 'press', 'series', series, ts, n FROM p
+        UNION ALL SELECT 'press', 'weight', series, NULL, CAST(sum(n) AS BIGINT) FROM p
+        WHERE series <> 'All' GROUP BY series HAVING sum(n) > 0
+        UNION ALL SELECT 'everyone', 'weight', word, NULL, n FROM (
+          SELECT * FROM ({frequency('posts', 'tweet')}) ORDER BY n DESC, word LIMIT {TOP_WORDS})"""
+    newest = """SELECT 'x' AS audience, "dateTweet", tweet FROM (
+        SELECT * FROM posts ORDER BY CAST("dateTweet" AS DATE) DESC, ingest_id DESC LIMIT 800)"""
+    sql["refresh_from_stream"] = f"""WITH {POSTS}, {series_sql(newest, TRACK)} {one}
+        QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC) <= {POINTS_KEPT}"""
     sql["series_change"] = updated("""
         SELECT max(new.ts) > (SELECT max(ts) FROM old WHERE series = 'All') AS changed,
           max(new.ts) AS last FROM new WHERE series = 'All'""")
@@ -433,4 +495,16 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL
         SELECT 'everyone', 'weight', word, NULL, n FROM (
           SELECT * FROM ({frequency('posts', 'tweet')}) ORDER BY n DESC, word LIMIT {TOP_WORDS})"""
+    both = " UNION ALL ".join([
+        "SELECT 'everyone' AS audience, \"dateTweet\", tweet FROM posts",
+        f"SELECT 'press', \"dateTweet\", tweet FROM posts WHERE {in_segment('MACHINERY')}"])
+    sql["dashboard_all_points"] = f"""WITH {POSTS}, {series_sql(both, TRACK_50)}
+        SELECT audience, 'series' AS part, series AS name, ts, n FROM s
+        UNION ALL
+        SELECT audience, 'weight', series, NULL, CAST(sum(n) AS BIGINT) FROM s
+        WHERE audience <> 'everyone' AND series <> 'All'
+        GROUP BY audience, series HAVING sum(n) > 0
+        UNION ALL
+        SELECT 'everyone', 'weight', word, NULL, n FROM (
+          SELECT * FROM ({frequency('posts', 'tweet')}) ORDER BY n DESC, word LIMIT {TOP_WORDS})"""
     return sql

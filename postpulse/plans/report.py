@@ -17,10 +17,12 @@ def _charted(series: DataFrame, keywords: Sequence[str]) -> DataFrame:
     return series.where(F.col("series").isin([ALL, *keywords]))
 
 
-def chart_series(series: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """Points of the charted keywords and ``All``, in plotting order."""
+def chart_series(
+    series: DataFrame, keywords: Sequence[str], charted: int | None = CHARTED
+) -> DataFrame:
+    """Points of the first ``charted`` keywords (``None``: of all) and ``All``, in plotting order."""
     order = [c for c in ("audience", "series", "ts") if c in series.columns]
-    return _charted(series, list(keywords)[:CHARTED]).orderBy(*order)
+    return _charted(series, list(keywords)[:charted]).orderBy(*order)
 
 
 def keyword_weights(series: DataFrame) -> DataFrame:
@@ -59,30 +61,25 @@ def dashboard(
     ts="dateTweet",
     text="tweet",
     on="screenName",
+    charted: int | None = CHARTED,
 ) -> DataFrame:
     """(audience, part, name, ts, n) for everyone and each roster.
 
-    ``part`` is ``series`` (charted points) or ``weight``: word weights for everyone,
-    keyword weights for rosters. The series of all audiences come from one pass over
+    ``part`` is ``series`` (points of the first ``charted`` keywords, ``None``: of all) or
+    ``weight``: word weights for everyone, keyword weights for rosters. The series of all audiences come from one pass over
     the posts and one shuffle of minute rows; word counting is the second pass.
     """
     marked = mark_listed(df.select(ts, text, on), rosters, on)
     audiences = {EVERYONE: F.lit(True), **{name: F.col(f"in_{name}") for name in rosters}}
     series = keyword_series(marked, keywords, ts, text, edge, audiences)
-    # Points and totals in one aggregate, so the posts are not counted once for each.
-    grouped = series.groupingSets(
-        [["audience", "series", "ts"], ["audience", "series"]], "audience", "series", "ts"
-    ).agg(F.grouping("ts").alias("is_total"), F.sum("n").alias("n"))
-    total = F.col("is_total") == 1
-    is_point = ~total & F.col("series").isin([ALL, *list(keywords)[:CHARTED]])
-    is_weight = (
-        total & (F.col("audience") != EVERYONE) & (F.col("series") != ALL) & (F.col("n") > 0)
-    )
-    activity = grouped.where(is_point | is_weight).select(
-        "audience",
-        F.when(total, F.lit("weight")).otherwise(F.lit("series")).alias("part"),
-        F.col("series").alias("name"), "ts", "n",
-    )
+    # Both parts start from the same minute rows, whose exchange Spark reuses.
+    points = _charted(series, list(keywords)[:charted]).select(
+        "audience", F.lit("series").alias("part"), F.col("series").alias("name"), "ts", "n")
+    listed = series.where((F.col("audience") != EVERYONE) & (F.col("series") != ALL))
+    weights = positive_only(keyword_totals(listed)).select(
+        "audience", F.lit("weight").alias("part"), F.col("series").alias("name"),
+        F.lit(None).cast("timestamp").alias("ts"), "n")
+    activity = points.unionByName(weights)
     everyone = word_weights(df, words, stopwords, text).select(
         F.lit(EVERYONE).alias("audience"), F.lit("weight").alias("part"),
         F.col("word").alias("name"), F.lit(None).cast("timestamp").alias("ts"), "n",

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.sources.lists import roster_handles
-from postpulse.sources.posts import spread_small
 
 
 class Tables:
-    """Stored posts are ``documents`` joined with ``events`` on their ids."""
+    """Stored posts are all ``events``, each with the text of one of the ``documents``.
+
+    Event ids and document ids count from 0 without gaps: post i has the text of document
+    i modulo the number of documents.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -24,7 +27,9 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread_small(self.table("documents")).withColumnRenamed("text", "tweet")
+        """Dealt out to the cores, since the test files have too few row groups to share."""
+        rows = self.table("documents").repartition(self.spark.sparkContext.defaultParallelism)
+        return rows.withColumnRenamed("text", "tweet")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -33,15 +38,15 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self.events.join(
-            self.documents.withColumnRenamed("doc_id", "ingest_id"), "ingest_id"
-        )
+        number = F.col("ingest_id") % self.table("documents").count()
+        texts = self.table("documents").withColumnRenamed("text", "tweet")
+        return self.events.join(texts, number == F.col("doc_id")).drop("doc_id")
 
     def roster(self, segment: str) -> DataFrame:
         """Customers of one market segment, listed by ``@name``."""
         rows = self.table("customer").where(F.col("c_mktsegment") == segment)
-        handles = rows.select(F.concat(F.lit("@"), F.col("c_name")).alias("Twitter"))
-        return roster_handles(handles).select("handle")
+        listed = rows.select(F.concat(F.lit("@"), F.col("c_name")).alias("account"))
+        return roster_handles(listed, "account").select("handle")
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -65,7 +70,10 @@ def feed_text() -> Column:
 
 
 def raw_json() -> Column:
-    """One feed line: reposts, long and plain posts, and posts lacking ``user.url``."""
+    """One feed line: reposts, long and plain posts, and posts lacking ``user.url``.
+
+    A text is cut to 140 characters only where the whole one stands beside it.
+    """
     kind = F.col("event_type")
     text, short = feed_text(), F.substring(feed_text(), 1, 140)
     stamp = F.date_format("dateTweet", "EEE MMM dd HH:mm:ss '+0000' yyyy")
@@ -106,15 +114,15 @@ def raw_json() -> Column:
         return F.to_json(struct({**base, **fields}), {"ignoreNullFields": "false"})
 
     whole = F.struct(text.alias("full_text"))
-    repost = F.struct(short.alias("text"))
+    repost = F.struct(text.alias("text"))
     long_repost = F.struct(short.alias("text"), whole.alias("extended_tweet"))
     outer = F.lit("RT truncated")
     return (
         F.when(kind == "view", line({"text": outer, "retweeted_status": long_repost}))
         .when(kind == "click", line({"text": outer, "retweeted_status": repost}))
         .when(kind == "signup", line({"text": short, "extended_tweet": whole}))
-        .when(kind == "purchase", line({"text": short}))
-        .otherwise(line({"text": short}, drop="url"))
+        .when(kind == "purchase", line({"text": text}))
+        .otherwise(line({"text": text}, drop="url"))
     )
 
 

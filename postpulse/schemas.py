@@ -39,7 +39,7 @@ RAW = """
         favourites_count: bigint, friends_count: bigint, listed_count: bigint>
 """
 
-# A stored post.
+# The fields of a stored post.
 STORED = _struct(
     dateTweet=_TIME,
     tweet=_TEXT,
@@ -53,7 +53,8 @@ STORED = _struct(
     hash_tags=ArrayType(_TEXT),
 )
 
-# A capture row, with the dots of the file header turned into underscores.
+# The columns of a capture row in the order of the file, with the dots of its
+# header turned into underscores.
 CAPTURE = _struct(
     text=_TEXT,
     created_at=_TIME,

@@ -1,36 +1,131 @@
-"""Capture files: CSV with a header, one post per row, line breaks inside text."""
+"""Capture files: CSV with a header, one post per row.
+
+A capture written here is a folder. Line breaks inside texts are escaped, so its files can be
+split, and its header stands in a small record beside it, so reading needs no look into the
+files. Files that other programs wrote have line breaks inside quoted text and no record.
+"""
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postpulse.schemas import CAPTURE, capture_column, capture_header
 
-# Quotes are doubled inside quoted text, and text may span lines.
+# Quotes are doubled inside quoted text.
 _FORMAT = {"header": "true", "quote": '"', "escape": '"'}
+# Of foreign files: text may span lines, and an empty field is null.
 READ = {**_FORMAT, "multiLine": "true"}
+# Of own files: a null is written as \\N, which no escaped text is, so '' stays ''.
 WRITE = {
     **_FORMAT, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "\\N", "emptyValue": '""',
 }
+_READ_OWN = {**_FORMAT, "nullValue": "\\N", "emptyValue": "", "multiLine": "false"}
+RECORD = ".header"
 
 
-def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    """One capture with the standard header."""
-    return spark.read.options(**READ).schema(CAPTURE).csv(path)
+def _texts(df: DataFrame, change) -> DataFrame:
+    return df.select(*[
+        change(F.col(f"`{f.name}`")).alias(f.name)
+        if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])
+
+
+def escaped(df: DataFrame) -> DataFrame:
+    """Backslashes doubled and line breaks as ``\\n`` and ``\\r`` in every text column."""
+    def change(c: Column) -> Column:
+        for plain, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+            c = F.replace(c, F.lit(plain), F.lit(coded))
+        return c
+
+    return _texts(df, change)
+
+
+def unescaped(df: DataFrame) -> DataFrame:
+    def change(c: Column) -> Column:
+        parts = F.transform(
+            F.split(c, r"\\\\"),
+            lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+        return F.when(c.contains("\\"), F.array_join(parts, "\\")).otherwise(c)
+
+    return _texts(df, change)
+
+
+def record_header(spark: SparkSession, path: str, columns: list[str]) -> None:
+    """Note the header of the capture at ``path``; a capture has one header for good."""
+    line = ",".join(map(capture_header, columns))
+    known = _recorded(spark, [path]).get(path.rstrip("/"))
+    if known is None:
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(
+            path.rstrip("/") + RECORD)
+    elif known != line:
+        raise ValueError(f"the capture at {path} has other columns")
+
+
+def _recorded(spark: SparkSession, folders: list[str]) -> dict[str, str]:
+    """Folder -> header line, for those of the folders that have a record beside them."""
+    found = {}
+    for parent in sorted({f.rstrip("/").rsplit("/", 1)[0] for f in folders}):
+        try:
+            lines = spark.read.text(f"{parent}/*{RECORD}").select(
+                F.col("_metadata.file_path").alias("file"), "value").collect()
+        except AnalysisException:  # no record there
+            continue
+        for row in lines:
+            found[_plain(row["file"]).rsplit("/", 1)[0].removesuffix(RECORD)] = row["value"]
+    wanted = {_plain(f): f.rstrip("/") for f in folders}
+    return {wanted[k]: v for k, v in found.items() if k in wanted}
+
+
+def _plain(path: str) -> str:
+    """A path without the scheme of the local file system and without escapes."""
+    path = unquote(path.rstrip("/"))
+    return re.sub("^file:/+", "/", path)
+
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The capture files at or below ``path``: names only, the content is pruned."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.csv").load(path)
+    return sorted(r[0] for r in listed.select("path").collect())
 
-def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> files that have it, for the captures below ``path``.
 
-    The first line of every file is found by Spark. What comes back is one short row
-    per file, no more than the file list Spark itself keeps on the driver.
+def _units(spark: SparkSession, path: str) -> dict[str, tuple[str | None, list[str]]]:
+    """Captures at or below ``path``: name -> (header line if recorded, files).
+
+    A recorded capture is its folder with all that lies in it; any other file is a capture.
     """
-    lines = spark.read.text(path).select(
+    files = _files(spark, path)
+    above = {}
+    for file in files:
+        parts = file.split("/")
+        for i in range(len(parts) - 1, 1, -1):
+            above.setdefault("/".join(parts[:i]), None)
+            if "=" not in parts[i - 1]:  # partition folders belong to what lies above them
+                break
+    headers = _recorded(spark, list(above)) if above else {}
+    units: dict[str, tuple[str | None, list[str]]] = {}
+    for file in files:
+        folder = file.rsplit("/", 1)[0]
+        while folder not in headers and "=" in folder.rsplit("/", 1)[-1]:
+            folder = folder.rsplit("/", 1)[0]
+        name = folder if folder in headers else file
+        units.setdefault(name, (headers.get(name), []))[1].append(file)
+    return units
+
+
+def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """Header line of each file without a record, found by Spark in its content."""
+    lines = spark.read.text(files).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         "value",
@@ -40,48 +135,77 @@ def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
         lines.where(F.col("start") == 0).groupBy("file")
         .agg(F.min_by("value", "line").alias("header"))
     )
-    files = defaultdict(list)
-    for row in first.toLocalIterator():
-        files[row["header"]].append(row["file"])
-    return dict(sorted(files.items()))
-
+    by_path = {_plain(f): f for f in files}
+    return {by_path[_plain(r["file"])]: r["header"] for r in first.toLocalIterator()}
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """All captures as one table, columns matched by name.
 
-    CSV columns are matched by position within a read, so files are grouped by
-    header: one read each, then a union by name. Missing columns become null,
-    unknown ones stay as text.
-    """
+def _read_units(
+    spark: SparkSession, units: dict[str, tuple[str | None, list[str]]],
+    headers: dict[str, str] | None = None,
+) -> DataFrame:
     known = {f.name: f.dataType for f in CAPTURE.fields}
+    groups: dict[tuple[bool, str], list[str]] = defaultdict(list)
+    unknown = [n for n, (header, _) in units.items() if header is None]
+    told = headers or {}
+    looked = _first_lines(spark, [n for n in unknown if n not in told]) if set(unknown) - set(told) else {}
+    for name, (header, files) in units.items():
+        line = header if header is not None else told.get(name, looked.get(name))
+        if line is not None:
+            groups[header is not None, line] += files
     parts = []
-    for header, files in _headers(spark, path).items():
+    for (own, header), files in sorted(groups.items()):
         names = [
             capture_column(n.strip().strip('"'))
-            for n in header.lstrip("﻿").rstrip("\r").split(",")
+            for n in header.lstrip("\ufeff").rstrip("\r").split(",")
         ]
         schema = T.StructType(
             [T.StructField(n, known.get(n, T.StringType())) for n in names]
         )
-        parts.append(spark.read.options(**READ).schema(schema).csv(files))
+        rows = spark.read.options(**(_READ_OWN if own else READ)).schema(schema).csv(files)
+        parts.append(unescaped(rows) if own else rows)
     if not parts:
         return spark.createDataFrame([], CAPTURE)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_capture(spark: SparkSession, path: str) -> DataFrame:
+    """One capture with the standard header.
+
+    In captures that other programs wrote, an empty text can't be told from a null and is null.
+    """
+    recorded = _recorded(spark, [path])
+    if recorded:
+        rows = spark.read.options(**_READ_OWN).schema(CAPTURE).option(
+            "recursiveFileLookup", "true").csv(path)
+        return unescaped(rows)
+    return spark.read.options(**READ).schema(CAPTURE).csv(path)
+
+
+def read_captures(
+    spark: SparkSession, path: str, headers: dict[str, str] | None = None
+) -> DataFrame:
+    """All captures at or below ``path`` as one table, columns matched by name.
+
+    CSV columns are matched by position within a read, so files are grouped by header: one read
+    each, then a union by name. Missing columns become null, unknown ones stay as text. Headers
+    come from the records that the writers leave; ``headers`` gives those of other files by
+    path, and only files without either are looked into.
+    """
+    return _read_units(spark, _units(spark, path), headers)
+
+
 def union_captures(*captures: DataFrame) -> DataFrame:
     """All rows of all captures, columns by name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), captures)
 
 
 def latest_capture(spark: SparkSession, path: str) -> DataFrame:
-    """The newest capture. File names carry the start time, so the highest is newest.
-
-    Only file names are listed (the content column is pruned) to find it.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path")
-    newest = files.agg(F.max_by("path", F.element_at(F.split("path", "/"), -1))).first()[0]
-    return read_captures(spark, newest)
+    """The newest capture, all its files. Names carry the start time, so the highest is newest."""
+    units = _units(spark, path)
+    if not units:
+        return spark.createDataFrame([], CAPTURE)
+    last = max(units, key=lambda name: name.rsplit("/", 1)[-1])
+    return _read_units(spark, {last: units[last]})
 
 
 def capture_file(df: DataFrame) -> DataFrame:
@@ -90,14 +214,16 @@ def capture_file(df: DataFrame) -> DataFrame:
 
 
 def write_capture(df: DataFrame, path: str) -> None:
-    """Append capture rows; every file gets the header once."""
-    capture_file(df).write.mode("append").options(**WRITE).csv(path)
+    """Append capture rows to the capture at ``path``; every file gets the header once."""
+    record_header(df.sparkSession, path, df.columns)
+    capture_file(escaped(df)).write.mode("append").options(**WRITE).csv(path)
 
 
 def stream_capture(df: DataFrame, path: str, checkpoint: str, **trigger):
     """Append capture rows of a stream; exactly once through the file sink."""
+    record_header(df.sparkSession, path, df.columns)
     return (
-        capture_file(df).writeStream.format("csv").options(**WRITE)
+        capture_file(escaped(df)).writeStream.format("csv").options(**WRITE)
         .option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
@@ -108,4 +234,5 @@ def write_combined(df: DataFrame, path: str) -> None:
 
     Written in parallel as many files; nothing is forced through one task.
     """
-    capture_file(df).write.mode("overwrite").options(**WRITE).csv(path)
+    record_header(df.sparkSession, path, df.columns)
+    capture_file(escaped(df)).write.mode("overwrite").options(**WRITE).csv(path)

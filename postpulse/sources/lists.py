@@ -19,7 +19,7 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return split_keywords(spark.read.text(path, wholetext=True))
 
 
-def roster_handles(df: DataFrame, col="Twitter", strict: bool = True) -> DataFrame:
+def roster_handles(df: DataFrame, col: str, strict: bool = True) -> DataFrame:
     """Rows with a handle, plus ``handle`` without the first character.
 
     ``strict=True`` drops that character whatever it is, so ``' @a'`` keeps its
@@ -32,9 +32,9 @@ def roster_handles(df: DataFrame, col="Twitter", strict: bool = True) -> DataFra
 
 
 def read_roster(
-    spark: SparkSession, path: str, col="Twitter", strict: bool = True
+    spark: SparkSession, path: str, col: str, strict: bool = True
 ) -> DataFrame:
-    """Roster CSV with a header -> its rows that have a handle."""
+    """Roster CSV with a header -> its rows that have a handle in column ``col``."""
     rows = spark.read.options(header="true", quote='"', escape='"').csv(path)
     return roster_handles(rows, col, strict)
 
@@ -49,18 +49,9 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
     return plain_stopwords(spark.read.text(path))
 
 
-def parameter_list(df: DataFrame, col: str, most: int = 10_000) -> list[str]:
-    """A small parameter table as a Python list, for operators that take lists.
+def read_news(spark: SparkSession, path: str) -> DataFrame:
+    """News articles from files that each hold one JSON array.
 
-    Raises when the table is larger than a parameter list can be.
+    The format lets a file be read by one task only, so large collections come as many files.
     """
-    order = ["pos"] if "pos" in df.columns else [col]
-    rows = df.orderBy(*order).select(col).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} entries in a parameter list")
-    return [r[0] for r in rows]
-
-
-def read_news(spark: SparkSession, path: str) -> DataFrame:
-    """News articles from files that each hold one JSON array."""
     return spark.read.schema(NEWS).option("multiLine", "true").json(path)

@@ -7,52 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.constants import CHARTED
 from postpulse.functions.posts import full_text
 from postpulse.functions.text import any_keyword
 from postpulse.operators.filters import between_dates, by_language, ingest_filter, with_post
 from postpulse.operators.newest import newest
 
-SPREAD_BELOW = 1024**3
-
-
 def scan_posts(
     df: DataFrame,
     condition: Column | None = None,
     fields: Sequence[str] | None = None,
     limit: int | None = None,
     ingest_id: str = "ingest_id",
+    day: str | None = None,
 ) -> DataFrame:
-    """Filter, prune and, with a limit, keep the newest posts by insertion id.
-
-    Without a limit the result has no order.
-    """
+    """Filter, prune and, with a limit, keep the newest posts by insertion id, in no order."""
     if condition is not None:
         df = df.where(condition)
     if limit is not None:
         if fields is not None:
-            df = df.select(*dict.fromkeys([*fields, ingest_id]))
-        df = newest(df, limit, ingest_id)
+            df = df.select(*dict.fromkeys([*fields, ingest_id, *([day] if day else [])]))
+        df = newest(df, limit, ingest_id, day)
     return df if fields is None else df.select(*fields)
 
 
-def spread_small(df: DataFrame, below: int = SPREAD_BELOW) -> DataFrame:
-    """Give a small scan as many tasks as there are cores.
+def read_posts(
+    spark: SparkSession, path: str, partitions: int | None = None, **options
+) -> DataFrame:
+    """``scan_posts`` over a Parquet folder of stored posts.
 
-    A file is read by at most one task per row group, too few to share the text work
-    of a small input. Inputs of ``below`` bytes or more have plenty of row groups
-    and are never shuffled here.
+    A store partitioned by ``day`` is read newest day first. ``partitions`` deals the rows out
+    anew, for files of too few row groups to share the work; by default nothing is shuffled.
     """
-    # The optimiser's size of a plain scan: the bytes of its files, known without a job.
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= below:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def read_posts(spark: SparkSession, path: str, **options) -> DataFrame:
-    """``scan_posts`` over a Parquet folder of stored posts."""
-    return scan_posts(spread_small(spark.read.parquet(path)), **options)
+    stored = spark.read.parquet(path)
+    day = "day" if "day" in stored.columns else None
+    found = scan_posts(stored, day=day, **options)
+    return found if partitions is None else found.repartition(partitions)
 
 
 def select_authors(df: DataFrame) -> DataFrame:
@@ -74,14 +63,15 @@ def search_posts(
     limit: int | None = None,
     ts="dateTweet",
     text="tweet",
-    tie: str = "ingest_id",
+    first: int | None = None,
 ) -> DataFrame:
-    """Posts with any of the first keywords in one language and date range, newest first."""
+    """Posts with any of the keywords (of the ``first`` ones) in one language and date range.
+
+    With a limit, the newest by time, in no order.
+    """
     found = between_dates(by_language(df, [lang]), since, until, ts)
-    found = found.where(any_keyword(text, keywords, CHARTED))
-    if limit is None:
-        return found
-    return found.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
+    found = found.where(any_keyword(text, keywords, first))
+    return found if limit is None else newest(found, limit, ts)
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postpulse.constants import REFRESH
 from postpulse.operators.filters import with_missing, with_post
 from postpulse.operators.project import capture_row, flatten_post
-from postpulse.sources.captures import WRITE, capture_file
+from postpulse.schemas import CAPTURE
+from postpulse.sources.captures import WRITE, capture_file, escaped, record_header
 from postpulse.sources.posts import live_filter
 from postpulse.sources.sinks import by_day
 
@@ -34,35 +35,59 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Store every post of a stream of JSON lines (column ``value``).
 
-    Each micro-batch is read and parsed once and written to three folders. Bad posts go to
-    ``rejects`` and never stop the stream. A batch overwrites its own subfolder
-    ``feed=<checkpoint>/batch=<id>``, so a batch repeated after a failure leaves no
-    duplicates, and streams with checkpoints of their own can share the folders.
+    Each micro-batch is read and parsed once and judged first: lines that are no usable post go to
+    ``rejects`` whatever the filter, and never stop the stream. Good posts that pass ``live``,
+    (box, languages, tracked words), are stored; without it all are.
 
-    ``live`` is (box, languages, tracked words); without it every post is taken.
+    Posts and captures lie in ``day=<day>/feed=<checkpoint>/batch=<id>``. A batch overwrites its
+    own folders, so one repeated after a failure leaves no duplicates, and streams with checkpoints
+    of their own can share the folders. The folders of a day that is over are put together by
+    ``compact_days``, so what has to be listed here doesn't grow with time.
     """
     feed = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        judged = with_missing(batch).persist()
-        try:
-            target = f"feed={feed}/batch={batch_id}"
-            raw = judged.where(F.size("missing") == 0).select("_post.*")
-            by_day(flatten_post(raw, tz, with_id=True)).write.mode("overwrite").partitionBy("day").parquet(
-                f"{posts}/{target}"
-            )
-            capture_file(capture_row(raw, tz)).write.mode("overwrite").options(**WRITE).csv(
-                f"{captures}/{target}"
+        judged = with_missing(with_post(batch)).persist()
+
+        def put(df: DataFrame, path: str, *by: str, kind: str = "parquet", **options) -> None:
+            marked = df.withColumns({"feed": F.lit(feed), "batch": F.lit(batch_id)})
+            (
+                marked.write.mode("overwrite").format(kind).options(**options)
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*by, "feed", "batch").save(path)
             )
-            judged.where(F.size("missing") > 0).select("value", "missing").write.mode(
-                "overwrite"
-            ).json(f"{rejects}/{target}")
+
+        try:
+            good = judged.where(F.size("missing") == 0)
+            taken = live_filter(good, *live) if live else good
+            raw = taken.select("_post.*")
+            put(by_day(flatten_post(raw, tz, with_id=True)), posts, "day")
+            rows = capture_row(raw, tz)
+            put(capture_file(escaped(rows)).withColumn("day", F.to_date("created_at")),
+                captures, "day", kind="csv", **WRITE)
+            bad = judged.where(F.size("missing") > 0).select("value", "missing")
+            put(bad, rejects, kind="json")
         finally:
             judged.unpersist()
 
-    parsed = with_post(lines.where(F.col("value") != ""))
-    taken = live_filter(parsed, *live) if live else parsed
+    record_header(lines.sparkSession, captures, [f.name for f in CAPTURE.fields])
     return (
-        taken.select("value", "_post").writeStream.foreachBatch(store)
+        lines.where(F.col("value") != "").select("value").writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(**refresh_trigger(period)).start()
     )
+
+
+def compact_days(spark: SparkSession, landing: str, store: str, before, since=None) -> None:
+    """Put the ingested posts of the days before ``before`` into the store, one folder per day.
+
+    Whole days are overwritten, so repeating it leaves the same store. Only the folders of these
+    days are listed and read. Busy days are split over several files.
+    """
+    days = F.col("day") < F.lit(before).cast("date")
+    if since is not None:
+        days = days & (F.col("day") >= F.lit(since).cast("date"))
+    rows = spark.read.parquet(landing).where(days).drop("feed", "batch")
+    (
+        rows.hint("rebalance", "day").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(store)
+    )

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postpulse.constants import POINTS_KEPT, REFRESH, TOP_WORDS
-from postpulse.operators.series import keyword_series, series_change, update_series
-from postpulse.plans.report import word_weights
+from postpulse.operators.series import EVERYONE, keyword_series, series_change, update_series
+from postpulse.plans.report import keyword_weights, mark_listed, word_weights
 from postpulse.streaming.ingest import refresh_trigger
 
-SERIES = "series string, ts timestamp, n bigint"
-WORDS = "word string, n bigint"
+SERIES = "audience string, series string, ts timestamp, n bigint"
+WEIGHTS = "audience string, name string, n bigint"
+KEPT = 2  # versions that stay: the newest and the one it was made from
 
 
-def _version(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
-    """The table written by refresh ``version``; empty before the first one."""
+def refreshed(spark: SparkSession, state: str, part: str, version: int) -> DataFrame:
+    """The table ``series`` or ``weights`` of refresh ``version``; empty before the first one.
+
+    Only the last two versions exist: each is written over the one before the last.
+    """
+    schema = SERIES if part == "series" else WEIGHTS
     if version < 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={version}")
+    return spark.read.schema(schema).parquet(f"{state}/{part}/slot={version % KEPT}")
 
 
 def refresh_once(
@@ -31,32 +37,43 @@ def refresh_once(
     version: int,
     keywords: Sequence[str],
     stopwords: Sequence[str] | DataFrame = (),
+    rosters: Mapping[str, DataFrame] | None = None,
     keep: int = POINTS_KEPT,
     words: int = TOP_WORDS,
     edge: str = "series",
     ts="dateTweet",
     text="tweet",
+    on="screenName",
 ) -> bool:
-    """Write ``<state>/series/v=<version>`` and ``<state>/words/v=<version>``.
+    """Write the series and weights of refresh ``version`` for everyone and each roster.
 
-    Reads the version before it, so repeating a refresh gives the same tables. Word
-    weights are recomputed from the snapshot when ``All`` gained a minute, else
-    carried over. Returns whether it did.
+    Reads the version before it and writes over the one before that, so repeating a refresh gives
+    the same tables and no more than two stay. Each audience's series grow by the minutes newer
+    than its own last one. Weights are words for everyone and keywords of the kept points for
+    rosters; those of an audience whose ``All`` gained no minute are carried over. Returns
+    whether any audience did.
     """
-    before = _version(spark, f"{state}/series", SERIES, version - 1)
-    series = keyword_series(snapshot, keywords, ts, text, edge)
-    update_series(before, series, keep).write.mode("overwrite").parquet(
-        f"{state}/series/v={version}"
-    )
-    after = _version(spark, f"{state}/series", SERIES, version)
-    changed = series_change(before, after).first()["changed"]
-    weights = (
-        word_weights(snapshot, words, stopwords, text)
-        if changed
-        else _version(spark, f"{state}/words", WORDS, version - 1)
-    )
-    weights.write.mode("overwrite").parquet(f"{state}/words/v={version}")
-    return changed
+    rosters = rosters or {}
+    before = refreshed(spark, state, "series", version - 1)
+    marked = mark_listed(snapshot, rosters, on) if rosters else snapshot
+    audiences = {EVERYONE: F.lit(True), **{name: F.col(f"in_{name}") for name in rosters}}
+    series = keyword_series(marked, keywords, ts, text, edge, audiences)
+    update_series(before, series, keep, ("audience", "series")).write.mode("overwrite").parquet(
+        f"{state}/series/slot={version % KEPT}")
+    after = refreshed(spark, state, "series", version)
+    # One row per audience.
+    gained = series_change(before, after, ("audience",)).where("changed").collect()
+    changed = {r["audience"] for r in gained}
+    parts = [refreshed(spark, state, "weights", version - 1).where(
+        ~F.col("audience").isin(sorted(changed)))]
+    if EVERYONE in changed:
+        parts.append(word_weights(snapshot, words, stopwords, text).select(
+            F.lit(EVERYONE).alias("audience"), F.col("word").alias("name"), "n"))
+    listed = after.where(F.col("audience").isin(sorted(changed - {EVERYONE})))
+    parts.append(keyword_weights(listed).select("audience", F.col("series").alias("name"), "n"))
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(
+        f"{state}/weights/slot={version % KEPT}")
+    return bool(changed)
 
 
 def refresh_stream(
@@ -71,8 +88,8 @@ def refresh_stream(
     """Refresh whenever ``feed`` brings new posts.
 
     ``snapshot`` gives the newest stored posts; a moving newest-N is not an
-    append-only aggregate, so series and words are recomputed from it. On a large
-    store let it read recent ``day`` folders only, since it runs at every refresh.
+    append-only aggregate, so series and words are recomputed from it. From a store by
+    day, ``read_posts(limit=...)`` reads the newest days only.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

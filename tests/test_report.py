@@ -33,6 +33,13 @@ def test_chart_takes_the_first_nine_and_all(spark):
     assert [(r["series"], r["ts"]) for r in found] == sorted((r["series"], r["ts"]) for r in found)
 
 
+def test_all_keywords_may_be_charted(spark):
+    chart = report.chart_series(keyword_series(posts(spark), KEYWORDS), KEYWORDS, charted=None)
+    assert {r["series"] for r in chart.collect()} == {"All", *KEYWORDS}
+    board = report.dashboard(posts(spark), KEYWORDS, {}, charted=None).where("part = 'series'")
+    assert rows(board, "name", "ts", "n") == rows(chart)
+
+
 def test_weights(spark):
     series = keyword_series(posts(spark), KEYWORDS)
     assert dict(rows(report.keyword_weights(series))) == {"red": 18, "metro": 6}

@@ -63,6 +63,40 @@ def test_latest_capture_by_name(spark, tmp_path):
     assert rows(C.latest_capture(spark, str(tmp_path / "Output*.csv")), "id") == [(2,)]
 
 
+def test_latest_capture_has_all_files_of_the_newest_run(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "CAST(id AS string) AS text").repartition(4)
+    C.write_capture(df, str(tmp_path / "20191101-171445"))
+    C.write_capture(df.where("id < 10"), str(tmp_path / "20191026-191509"))  # older, written later
+    assert C.latest_capture(spark, str(tmp_path)).count() == 1000
+    C.write_capture(df.where("id < 10"), str(tmp_path / "20191102-000000"))
+    assert C.latest_capture(spark, str(tmp_path)).count() == 10
+    assert C.read_captures(spark, str(tmp_path)).count() == 1020
+
+
+ODD = ["", None, "a\nb", "\\n", "\\", "\\\\", "\\N", '"', ' "x", ', "\r\n", " ", "c\\\nd", ","]
+
+
+def test_own_captures_keep_every_text_and_can_be_split(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, text string")
+    C.write_capture(df, str(tmp_path / "a"))
+    assert sorted(C.read_captures(spark, str(tmp_path / "a")).collect()) == sorted(df.collect())
+    files = list((tmp_path / "a").glob("*.csv"))
+    assert sum(len(f.read_text().splitlines()) for f in files) == len(ODD) + len(files)
+
+
+def test_a_capture_keeps_its_header(spark, tmp_path):
+    df = spark.createDataFrame([(1, "t")], "id long, text string")
+    C.write_capture(df, str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="other columns"):
+        C.write_capture(df.select("text", "id"), str(tmp_path / "a"))
+
+
+def test_headers_of_foreign_files_may_be_given(spark, tmp_path):
+    write_csv(tmp_path / "x.csv", ["id", "text"], [1, "uno"])
+    name = next(iter(C._units(spark, str(tmp_path))))
+    assert rows(C.read_captures(spark, str(tmp_path), {name: "text,lang"})) == [("1", "uno")]
+
+
 def test_capture_round_trip_appends_with_one_header_per_file(spark, tmp_path):
     df = capture_row(parse_posts_json(lines(spark, raw(text=TEXT + "#b")), "value"))
     path = str(tmp_path / "out")
@@ -85,18 +119,16 @@ def test_combined_reads_as_one_table(spark, tmp_path):
 def test_keywords_keep_their_order(spark, tmp_path):
     (tmp_path / "kw.csv").write_text("zeta, alfa, piñera, 73")
     table = L.read_keywords(spark, str(tmp_path / "kw.csv"))
-    assert L.parameter_list(table, "keyword") == ["zeta", "alfa", "piñera", "73"]
-    assert L.parameter_list(first_keywords(table, 2), "keyword") == ["zeta", "alfa"]
-    with pytest.raises(ValueError):
-        L.parameter_list(table, "keyword", most=3)
+    assert rows(table) == [(0, "zeta"), (1, "alfa"), (2, "piñera"), (3, "73")]
+    assert rows(first_keywords(table, 2), "keyword") == [("alfa",), ("zeta",)]
 
 
 def test_roster(spark, tmp_path):
-    write_csv(tmp_path / "r.csv", ["Nombre", "Twitter"],
+    write_csv(tmp_path / "r.csv", ["name", "account"],
               ["A", "@a"], ["B", " @b"], ["C", ""], ["D", "d"])
     path = str(tmp_path / "r.csv")
-    assert rows(L.read_roster(spark, path), "handle") == [("",), ("@b",), ("a",)]
-    assert rows(L.read_roster(spark, path, strict=False), "handle") == [("a",), ("b",), ("d",)]
+    assert rows(L.read_roster(spark, path, "account"), "handle") == [("",), ("@b",), ("a",)]
+    assert rows(L.read_roster(spark, path, "account", strict=False), "handle") == [("a",), ("b",), ("d",)]
 
 
 def test_stopwords(spark, tmp_path):
@@ -121,13 +153,37 @@ def test_news(spark, tmp_path):
     list(range(9000)),
     [0] + [10**15 + i for i in range(6000)] + [2**62],
     [3 * i for i in range(100)],
+    [i // 2 for i in range(4000)],
+    [5] * 3000 + [None] * 3000,
+    [i if i % 4 else None for i in range(1500)],
+    [1.5, -2.0, None, 7.25],
 ])
-def test_newest_equals_sorted_prefix(spark, ids):
+def test_newest_has_n_rows_for_every_n(spark, ids):
     random.Random(1).shuffle(ids)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "ingest_id long, t string")
-    for n in (5, 2500, 5000):
-        found = [r[0] for r in rows(newest(df, n, "ingest_id"), "ingest_id")]
-        assert sorted(found) == sorted(ids)[-n:]
+    kind = "double" if isinstance(max(i for i in ids if i is not None), float) else "long"
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], f"ingest_id {kind}, t string").repartition(3)
+    order = sorted(ids, key=lambda i: (i is not None, i or 0), reverse=True)
+    for n in (0, 1, 5, 999, 1000, 1001, 2500, 5000):
+        found = [r[0] for r in newest(df, n, "ingest_id").select("ingest_id").collect()]
+        assert sorted(found, key=str) == sorted(order[:n], key=str)
+
+
+def test_newest_by_time_and_by_day(spark, tmp_path):
+    data = [(datetime(2020, 1, 1 + i % 7, i % 24, i % 60), i) for i in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(data, "dateTweet timestamp, ingest_id long")
+    times = sorted((d for d, _ in data if d), reverse=True)
+    found = newest(df, 123, "dateTweet").collect()
+    assert sorted((r[0] for r in found), reverse=True) == times[:123]
+    with pytest.raises(TypeError):
+        newest(df.withColumn("ingest_id", F.col("ingest_id").cast("string")), 5, "ingest_id")
+    K.write_posts(df, str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] and r[0].date(), r[1]), reverse=True)
+    for n in (1, 50, 71, 72, 300, 500, 501, 900):
+        got = newest(stored, n, "ingest_id", "day")
+        assert sorted(map(str, (r.ingest_id for r in got.collect()))) == sorted(str(r[1]) for r in order[:n])
+    plan = newest(stored, 100, "ingest_id", "day")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "day" in plan
 
 
 def test_scan_posts(spark, tmp_path):
@@ -136,15 +192,10 @@ def test_scan_posts(spark, tmp_path):
     found = R.read_posts(spark, str(tmp_path / "p"), condition=F.col("k") == 1, fields=["t", "k"],
                          limit=3)
     assert found.columns == ["t", "k"] and found.count() == 3
-    assert R.read_posts(spark, str(tmp_path / "p"), limit=2).first()["ingest_id"] == 9
+    assert rows(R.read_posts(spark, str(tmp_path / "p"), limit=2), "ingest_id") == [(8,), (9,)]
     assert R.read_posts(spark, str(tmp_path / "p")).count() == 10
-
-
-def test_spread_small_leaves_large_inputs_alone(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "p"))
-    df = spark.read.parquet(str(tmp_path / "p"))
-    assert R.spread_small(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert R.spread_small(df, below=1) is df
+    dealt = R.read_posts(spark, str(tmp_path / "p"), partitions=3)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 10
 
 
 def test_search(spark):
@@ -158,9 +209,10 @@ def test_search(spark):
     found = R.search_posts(df, ["red", "metro"], "es", "2019-10-20", "2019-10-23")
     assert rows(found, "ingest_id") == [(1,), (3,), (4,)]
     newest_two = R.search_posts(df, ["red", "metro"], limit=2)
-    assert [r["ingest_id"] for r in newest_two.collect()] == [5, 4]
-    ninth = [f"w{i}" for i in range(9)] + ["red"]
-    assert R.search_posts(df, ninth).count() == 0
+    assert rows(newest_two, "ingest_id")[-1] == (5,) and newest_two.count() == 2
+    many = [f"w{i}" for i in range(19)] + ["red"]
+    assert R.search_posts(df, many).count() == 3
+    assert R.search_posts(df, many, first=9).count() == 0
 
 
 def test_post_sinks(spark, tmp_path):

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from postpulse.operators.project import capture_row, flatten_post, parse_posts_json
 from postpulse.operators.series import count_matches, keyword_series, unpivot_counts
-from postpulse.plans.report import dashboard, word_weights
+from postpulse.plans.report import dashboard, keyword_weights, word_weights
 from postpulse.sources.captures import read_captures, stream_capture
 from postpulse.operators.newest import newest
 from postpulse.sources.posts import read_posts, stream_lines, stream_posts
 from postpulse.sources.sinks import append_posts
-from postpulse.streaming.ingest import ingest_stream, refresh_trigger
+from postpulse.streaming.ingest import compact_days, ingest_stream, refresh_trigger
 from postpulse.streaming.minutes import minute_stream
-from postpulse.streaming.refresh import refresh_once, refresh_stream
+from postpulse.streaming.refresh import refresh_once, refresh_stream, refreshed
 from test_filters import raw, without_user
 
 START = datetime(2019, 10, 24, 12, 0)
@@ -61,7 +61,7 @@ def test_ingest_survives_bad_posts_and_restarts(spark, tmp_path):
     assert posts.where("day = date'2019-10-24'").count() == 3
     rejects = spark.read.json(str(tmp_path / "rejects"))
     assert rejects.count() == 3
-    captures = read_captures(spark, str(tmp_path / "captures" / "*" / "*" / "*.csv"))
+    captures = read_captures(spark, str(tmp_path / "captures"))
     assert rows(captures, "text", "hash_tags") == [
         ("dos", "[]"), ("tres", "[]"), ("uno #a", '["a"]')]
 
@@ -108,20 +108,36 @@ def test_ingest_with_live_filter(spark, tmp_path):
     point = {"type": "Point", "coordinates": [-70.6, -33.4]}
     feed(tmp_path / "feed", "1.json",
          raw(text="red"), raw(text="x", coordinates=point), raw(text="x"),
-         raw(text="red", lang="en"))
+         raw(text="red", lang="en"), "{broken", raw(text="red", lang=None, created_at="never"))
     live = ((-76, -56, -66, -17), ["es"], ["red"])
     ingest(spark, tmp_path, live=live)
     assert rows(spark.read.parquet(str(tmp_path / "posts")), "tweet") == [("red",), ("x",)]
+    assert spark.read.json(str(tmp_path / "rejects")).count() == 2  # whatever the filter
     stream = stream_posts(spark, str(tmp_path / "feed"), *live)
     run = append_posts(flatten_post(stream), str(tmp_path / "p2"), str(tmp_path / "c2"))
     run.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "p2")), "tweet") == [("red",), ("x",)]
     run = stream_capture(capture_row(stream), str(tmp_path / "csv"), str(tmp_path / "c3"))
     run.awaitTermination()
-    assert rows(read_captures(spark, str(tmp_path / "csv" / "*.csv")), "text") == [
+    assert rows(read_captures(spark, str(tmp_path / "csv")), "text") == [
         ("red",), ("x",)]
 
 
+def test_days_are_compacted_and_may_be_again(spark, tmp_path):
+    days = [raw(id=i, text=f"t{i}", created_at=f"Thu Oct {20 + i % 3} 14:00:{i:02d} +0000 2019") for i in range(30)]
+    for k in range(3):
+        feed(tmp_path / "feed", f"{k}.json", *days[k * 10: k * 10 + 10])
+    ingest(spark, tmp_path)
+    landing, store = str(tmp_path / "posts"), str(tmp_path / "store")
+    assert sorted(p.name for p in (tmp_path / "posts").glob("day=*")) == [f"day=2019-10-{d}" for d in (20, 21, 22)]
+    for _ in range(2):
+        compact_days(spark, landing, store, before="2019-10-22")
+    assert rows(spark.read.parquet(store), "ingest_id") == sorted([(i,) for i in range(30) if i % 3 < 2], key=str)
+    compact_days(spark, landing, store, before="2019-10-23", since="2019-10-22")
+    assert spark.read.parquet(store).count() == 30
+    assert len(list((tmp_path / "store").glob("day=2019-10-22/*.parquet"))) == 1
+
+
 SCHEMA = "dateTweet timestamp, tweet string, ingest_id long"
 
 
@@ -158,18 +174,23 @@ def stored(spark):
     return lambda n: spark.createDataFrame(posts[:n], SCHEMA)
 
 
+def held(spark, state, part, version, audience="everyone"):
+    found = refreshed(spark, state, part, version)
+    return rows(found.where(F.col("audience") == audience).drop("audience"))
+
+
 def test_refresh_equals_recompute_with_global_edges(spark, tmp_path, stored):
     state = str(tmp_path / "state")
     options = {"keywords": KEYWORDS, "edge": "global", "keep": 1000}
     assert refresh_once(spark, stored(150), state, 0, **options)
     assert refresh_once(spark, stored(300), state, 1, **options)
     assert refresh_once(spark, stored(400), state, 2, **options)
-    held = spark.read.parquet(f"{state}/series/v=2")
-    assert rows(held) == rows(keyword_series(stored(400), KEYWORDS, edge="global"))
-    assert rows(spark.read.parquet(f"{state}/words/v=2")) == rows(word_weights(stored(400)))
-    before = rows(spark.read.parquet(f"{state}/series/v=2"))
+    before = held(spark, state, "series", 2)
+    assert before == rows(keyword_series(stored(400), KEYWORDS, edge="global"))
+    assert held(spark, state, "weights", 2) == rows(word_weights(stored(400)))
     refresh_once(spark, stored(400), state, 2, **options)  # repeated after a failure
-    assert rows(spark.read.parquet(f"{state}/series/v=2")) == before
+    assert held(spark, state, "series", 2) == before
+    assert len(list((tmp_path / "state" / "series").glob("slot=*"))) == 2
 
 
 def test_refresh_without_news_keeps_words(spark, tmp_path, stored):
@@ -177,10 +198,25 @@ def test_refresh_without_news_keeps_words(spark, tmp_path, stored):
     refresh_once(spark, stored(300), state, 0, KEYWORDS)
     same_minutes = stored(300).union(stored(300).withColumn("tweet", F.lit("otra")))
     assert not refresh_once(spark, same_minutes, state, 1, KEYWORDS)
-    assert rows(spark.read.parquet(f"{state}/words/v=1")) == rows(word_weights(stored(300)))
+    assert held(spark, state, "weights", 1) == rows(word_weights(stored(300)))
     assert not refresh_once(spark, stored(0), str(tmp_path / "empty"), 0, KEYWORDS)
 
 
+def test_refresh_keeps_the_minutes_of_an_audience_that_lags(spark, tmp_path, stored):
+    who = F.when(F.col("ingest_id") % 3 == 0, F.lit("press1")).otherwise(F.lit("x"))
+    posts = stored(400).withColumn("screenName", who)
+    press = posts.where("screenName = 'press1'").drop("screenName")
+    early = posts.where((F.col("screenName") == "x") | (F.col("dateTweet") < START + timedelta(minutes=20)))
+    roster = {"press": spark.createDataFrame([("press1",)], "handle string")}
+    state = str(tmp_path / "state")
+    options = {"rosters": roster, "edge": "global", "keep": 1000}
+    refresh_once(spark, early, state, 0, KEYWORDS, **options)
+    assert refresh_once(spark, posts, state, 1, KEYWORDS, **options)
+    whole = keyword_series(press, KEYWORDS, edge="global")
+    assert held(spark, state, "series", 1, "press") == rows(whole)
+    assert held(spark, state, "weights", 1, "press") == rows(keyword_weights(whole))
+
+
 def test_refresh_stream(spark, tmp_path, stored):
     path, state = str(tmp_path / "posts"), str(tmp_path / "state")
 
@@ -197,9 +233,9 @@ def test_refresh_stream(spark, tmp_path, stored):
         "dateTweet", "tweet", "ingest_id").write.mode("append").parquet(path)
     run()
     snapshot = newest(spark.read.parquet(path), 350, "ingest_id")
-    held = spark.read.parquet(f"{state}/series/v=1")
-    assert rows(held.groupBy("series").count()) == [(s, 20) for s in sorted(["All", *KEYWORDS])]
-    assert rows(spark.read.parquet(f"{state}/words/v=1")) == rows(word_weights(snapshot, 2))
+    kept = refreshed(spark, state, "series", 1)
+    assert rows(kept.groupBy("series").count()) == [(s, 20) for s in sorted(["All", *KEYWORDS])]
+    assert held(spark, state, "weights", 1) == rows(word_weights(snapshot, 2))
 
 
 def test_parsed_batch_matches_streamed_text(spark, tmp_path):

@@ -51,10 +51,10 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, depth: int):
+        text = np.concatenate([text.astype(np.int64) + 1, [0]])  # 0 ends the text
         n = len(text)
-        order, have = text.astype(np.int64), 1
-        if n:
-            _, order = np.unique(order, return_inverse=True)
+        _, order = np.unique(text, return_inverse=True)
+        have = 1
         while have < depth:
             step = min(have, depth - have)
             tail = np.zeros(n, np.int64)
@@ -63,10 +63,9 @@ class FMIndex:
             have += step
         suffixes = np.argsort(order, kind="stable")
         self.size = n
-        last = text[suffixes - 1] if n else text
-        self.symbols = int(text.max()) + 1 if n else 1
+        self.symbols = int(text.max()) + 1
         self.width = max(1, int(self.symbols - 1).bit_length())
-        self.tree = WaveletMatrix(last.astype(np.int64), self.width)
+        self.tree = WaveletMatrix(text[suffixes - 1], self.width)
         counts = np.bincount(text, minlength=self.symbols)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         # rank() counts from where a symbol starts on the tree's last level.
@@ -76,6 +75,7 @@ class FMIndex:
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray
              ) -> tuple[np.ndarray, np.ndarray]:
         """Intervals after one more symbol in front."""
+        symbol = symbol + 1
         both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         shift = self.shift[symbol]
         return both[: len(symbol)] + shift, both[len(symbol):] + shift

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postpulse.llm.common import in_tasks, joined_bytes, named, slices
+from postpulse.llm.words import Words
 
 TRUSTED, PLAIN = 3000, 6000  # most trusted and unlabelled documents that a model is fitted on
 THRESHOLD = 0.7
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE, DECAY = 150, 0.05, 1e-4
 TAIL, MARGIN = 0.002, 0.15  # of the trusted below the threshold; of the way from there to the median
 PRIOR = 0.5  # where no labelled row tells it
+REPEATS = 3.0  # weight of the shares of words
 _SLICE = 1 << 20
 
 
@@ -33,12 +35,13 @@ def _signs() -> tuple[np.ndarray, int]:
 
 
 KINDS, N_KINDS = _signs()
-N_FEATURES = N_KINDS ** 2 + 4
+N_FEATURES = N_KINDS ** 2 + 6
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One row per text: square roots of the shares of pairs of byte kinds, then length, share of
-    different lines, mean word length and a constant."""
+    """One row per text: square roots of the shares of pairs of byte kinds, then shares of different
+    words and of words like the one before, length, share of different lines, mean word length
+    and a constant."""
     starts = np.concatenate([[0], ends[:-1]])
     size = ends - starts
     owner = np.repeat(np.arange(len(ends)), size + 1)
@@ -52,10 +55,20 @@ def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out[:, : N_KINDS ** 2] = np.sqrt(pairs / np.maximum(size, 1)[:, None])
     whole = data.tobytes()
     lines = [whole[a:b].split(b"\n") for a, b in zip(starts, ends, strict=True)]
-    spaces = np.bincount(owner, (sign[1:] == 1) | (sign[1:] == 2), minlength=len(ends))
+    words = Words(data, ends)
+    whose = np.repeat(np.arange(len(ends)), words.count)
+    hashes = words.hashes()
+    order = np.lexsort((hashes, whose))
+    at, value = whose[order], hashes[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (value[1:] != value[:-1])
+    again = whose[1:][(hashes[1:] == hashes[:-1]) & (whose[1:] == whose[:-1])]
+    n = np.maximum(words.count, 1) / REPEATS
+    out[:, -6] = np.bincount(at[new], minlength=len(ends)) / n
+    out[:, -5] = np.bincount(again, minlength=len(ends)) / n
     out[:, -4] = np.log1p(size) / 10
     out[:, -3] = [len(set(x)) / len(x) for x in lines]
-    out[:, -2] = np.minimum(size / np.maximum(spaces, 1), 100) / 10
+    out[:, -2] = np.minimum(size / np.maximum(words.count, 1), 100) / 10
     out[:, -1] = 1
     return out
 

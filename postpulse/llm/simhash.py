@@ -79,9 +79,10 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         ends: list[tuple[int, int]] = []
         for bucket in batch.column(0):
             prints = np.unique(np.array(bucket.as_py(), np.int64))
+            bits = prints.view(np.uint64)  # bits of a negative number would be those of its amount
             pairs = []
             for i in range(0, len(prints), 256):
-                far = np.bitwise_count(prints[i: i + 256, None] ^ prints[None, :])
+                far = np.bitwise_count(bits[i: i + 256, None] ^ bits[None, :])
                 a, b = np.nonzero(far <= radius)
                 pairs.append(np.stack([a + i, b]))
             a, b = np.concatenate(pairs, axis=1)

@@ -14,22 +14,13 @@ from pyspark.sql import functions as F
 
 from postpulse.llm.common import in_tasks, joined_bytes, named, slices
 from postpulse.llm.fm_index import FMIndex
+from postpulse.llm.words import PRIME, Words, mixed
 
 WORDS = 20  # words of a window
 ANCHOR = 8  # words of the runs of which each window's smallest hash is its anchor
 HOT = 4096  # occurrences of an anchor beyond which its windows go to shards one by one
 SHARD = 1 << 19  # words in an index, about
 _SLICE = 2 << 20
-_BREAK = np.zeros(256, bool)
-_BREAK[[9, 10, 11, 12, 13, 32]] = True
-_PRIME = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Scramble 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def _signs(texts: pa.Array) -> np.ndarray:
@@ -46,52 +37,6 @@ def _unpacked(value: int) -> tuple[int, int, int]:
     return value >> 39, value >> 8 & 0x7FFFFFFF, value & 255
 
 
-class Words:
-    """The words of a batch of texts: where they stand, whose they are, and a hash of each."""
-
-    def __init__(self, texts: pa.Array):
-        data, ends = joined_bytes(texts)
-        self.data, self.texts = data, len(ends)
-        inner = ~_BREAK[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[ends] = True
-        before = np.concatenate([[False], inner])
-        after = np.concatenate([inner, [False]])
-        self.starts = np.nonzero(after & (~before | edge))[0]
-        self.ends = np.nonzero(before & (~after | edge))[0]
-        bounds = np.searchsorted(self.starts, np.concatenate([[0], ends]))
-        self.first = bounds[:-1]  # each text's first word
-        self.count = np.diff(bounds)
-
-    def hashes(self) -> np.ndarray:
-        """Polynomial hashes of the words, from sums over the whole batch."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return _mix(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(_PRIME))
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse; kept for the next batch."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x5851F42D4C957F2D
-        back = pow(base, -1, 1 << 64)
-        size = max(n, _SLICE + (1 << 16))
-        made = []
-        for b in (base, back):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps))
-        _POWERS[:] = made
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def anchors(words: Words, length: int, run: int) -> tuple[np.ndarray, ...]:
     """(hash, text, first window, windows) of each stretch of windows with the same anchor.
 
@@ -104,8 +49,8 @@ def anchors(words: Words, length: int, run: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     runs = np.zeros(len(hashes) - run + 1, np.uint64)
     for k in range(run):
-        runs = runs * np.uint64(_PRIME | 1) + hashes[k: k + len(runs)]
-    runs = _mix(runs)
+        runs = runs * np.uint64(PRIME) + hashes[k: k + len(runs)]
+    runs = mixed(runs)
     # Leftmost smallest over `span` neighbours, by doubling.
     span = length - run + 1
     least, where, have = runs, np.arange(len(runs), dtype=np.int32), 1
@@ -135,7 +80,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, run: int
                  ) -> Iterator[pa.RecordBatch]:
     """One row for each anchor of a slice: its first place, and a list of the others if any."""
     for batch in slices(batches, "text", _SLICE):
-        found, owner, first, many = anchors(Words(batch.column(1)), length, run)
+        found, owner, first, many = anchors(Words(*joined_bytes(batch.column(1))), length, run)
         order = np.argsort(found, kind="stable")
         found, owner = found[order], owner[order]
         doc = batch.column(0).to_numpy()[owner]
@@ -157,7 +102,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, run: int
 def _anchor_counts(batches: Iterator[pa.RecordBatch], length: int, run: int
                    ) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", _SLICE):
-        found, n = np.unique(anchors(Words(batch.column(0)), length, run)[0], return_counts=True)
+        found, n = np.unique(anchors(Words(*joined_bytes(batch.column(0))), length, run)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
@@ -165,7 +110,7 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch], length: int, run: int
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The words under each stretch of windows that may repeat, once in a batch for equal ones."""
     for batch in slices(batches, "text", _SLICE):
-        words, keys = Words(batch.column(1)), batch.column(0).to_pylist()
+        words, keys = Words(*joined_bytes(batch.column(1))), batch.column(0).to_pylist()
         whole, signs = words.data.tobytes(), _signs(batch.column(1)).tolist()
         found: dict[tuple, tuple] = {}
         for i, met in enumerate(batch.column(2)):
@@ -261,7 +206,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """Texts without the words of repeated windows, given the stretches that may repeat and the
     windows among them that stay."""
     for batch in slices(batches, "text", _SLICE):
-        words = Words(batch.column(1))
+        words = Words(*joined_bytes(batch.column(1)))
         whole, signs = words.data.tobytes(), _signs(batch.column(1)).tolist()
         gone_of, digest, texts = [], [], []
         for i in range(batch.num_rows):

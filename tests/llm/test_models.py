@@ -103,14 +103,16 @@ def features_brute(text):
         out[a * n + b] += 1
     out = np.sqrt(out / max(len(data), 1))
     lines = data.split(b"\n")
-    gaps = sum(s in (1, 2) for s in signs[1:])
-    out[-4:] = [math.log1p(len(data)) / 10, len(set(lines)) / len(lines),
-                min(len(data) / max(gaps, 1), 100) / 10, 1]
+    words = data.split()
+    n = max(len(words), 1)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    out[-6:] = [3 * len(set(words)) / n, 3 * again / n, math.log1p(len(data)) / 10,
+                len(set(lines)) / len(lines), min(len(data) / n, 100) / 10, 1]
     return out
 
 
 def test_features():
-    texts = ["", "a", "Ab 1!\n\nAb 1!", "é\tß", "", "x" * 3000]
+    texts = ["", "a", "Ab 1!\n\nAb 1!", "é\tß", "", "x" * 3000, "b b b c b", " ", "b"]
     data, ends = joined_bytes(pa.array([t.encode() for t in texts], pa.binary()))
     assert np.allclose(quality.features(data, ends), [features_brute(t) for t in texts], atol=1e-6)
 

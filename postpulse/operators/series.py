@@ -158,11 +158,13 @@ def keyword_series(
     )
     posts = posts.select(F.explode("_in").alias("audience"), *[c for c in posts.columns if c != "_in"])
     minutes = posts.groupBy("audience", "ts").agg(count_bits(keywords).alias("counts"))
-    # Ends of each audience and keyword: one row per audience, so it is broadcast.
+    # Ends of each keyword, in arrays beside each minute's counts: the window runs over the
+    # minutes of an audience before they are turned into a row per keyword.
     seen = [F.when(F.col("counts")[i] > 0, F.col("ts")) for i in range(len(names))]
-    ends = minutes.groupBy(F.col("audience").alias("_audience")).agg(
-        F.array(*map(F.min, seen)).alias("_first"), F.array(*map(F.max, seen)).alias("_last"))
-    cells = minutes.join(F.broadcast(ends), F.col("audience") == F.col("_audience"))
+    whole = W.partitionBy("audience")
+    cells = minutes.select(
+        "*", F.array(*[F.min(c).over(whole) for c in seen]).alias("_first"),
+        F.array(*[F.max(c).over(whole) for c in seen]).alias("_last"))
     inside = (F.col("ts") > F.col("_first")[0]) & (F.col("ts") < F.col("_last")[0])
     own = F.col("counts")
     if edge == "series":

@@ -72,14 +72,16 @@ def dashboard(
     marked = mark_listed(df.select(ts, text, on), rosters, on)
     audiences = {EVERYONE: F.lit(True), **{name: F.col(f"in_{name}") for name in rosters}}
     series = keyword_series(marked, keywords, ts, text, edge, audiences)
-    # Both parts start from the same minute rows, whose exchange Spark reuses.
-    points = _charted(series, list(keywords)[:charted]).select(
-        "audience", F.lit("series").alias("part"), F.col("series").alias("name"), "ts", "n")
-    listed = series.where((F.col("audience") != EVERYONE) & (F.col("series") != ALL))
-    weights = positive_only(keyword_totals(listed)).select(
-        "audience", F.lit("weight").alias("part"), F.col("series").alias("name"),
-        F.lit(None).cast("timestamp").alias("ts"), "n")
-    activity = points.unionByName(weights)
+    # Points and totals in one aggregate, so the posts are not counted once for each; only what
+    # is asked for reaches it.
+    point = F.when(F.col("series").isin([ALL, *list(keywords)[:charted]]),
+                   F.struct(F.lit("series").alias("part"), "ts"))
+    total = F.when((F.col("audience") != EVERYONE) & (F.col("series") != ALL),
+                   F.struct(F.lit("weight").alias("part"), F.lit(None).cast("timestamp").alias("ts")))
+    pieces = series.select("audience", F.col("series").alias("name"), "n",
+                           F.inline(F.array_compact(F.array(point, total))))
+    activity = pieces.groupBy("audience", "part", "name", "ts").agg(F.sum("n").alias("n")).where(
+        (F.col("part") == "series") | (F.col("n") > 0))
     everyone = word_weights(df, words, stopwords, text).select(
         F.lit(EVERYONE).alias("audience"), F.lit("weight").alias("part"),
         F.col("word").alias("name"), F.lit(None).cast("timestamp").alias("ts"), "n",

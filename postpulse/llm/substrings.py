@@ -17,10 +17,11 @@ from postpulse.llm.fm_index import FMIndex
 from postpulse.llm.words import PRIME, Words, mixed
 
 WORDS = 20  # words of a window
-ANCHOR = 8  # words of the runs of which each window's smallest hash is its anchor
+ANCHOR = 6  # words of the runs of which each window's smallest hash is its anchor
 HOT = 4096  # occurrences of an anchor beyond which its windows go to shards one by one
 SHARD = 1 << 19  # words in an index, about
 _SLICE = 2 << 20
+_HELD = 16 << 20
 
 
 def _signs(texts: pa.Array) -> np.ndarray:
@@ -108,11 +109,23 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch], length: int, run: int
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The words under each stretch of windows that may repeat, once in a batch for equal ones."""
+    """The words under each stretch of windows that may repeat; equal ones of a task come once, as
+    far as ``_HELD`` bytes of them reach."""
+    found: dict[tuple[int, bytes], tuple[int, int]] = {}
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in found], pa.int64()),
+             pa.array([k[1] for k in found], pa.binary()),
+             pa.array([v[0] for v in found.values()], pa.int64()),
+             pa.array([v[1] for v in found.values()], pa.int64())],
+            ["shard", "words", "doc", "at"])
+
     for batch in slices(batches, "text", _SLICE):
         words, keys = Words(*joined_bytes(batch.column(1))), batch.column(0).to_pylist()
         whole, signs = words.data.tobytes(), _signs(batch.column(1)).tolist()
-        found: dict[tuple, tuple] = {}
+        starts, ends = words.starts.tolist(), words.ends.tolist()
         for i, met in enumerate(batch.column(2)):
             first = int(words.first[i])
             for stretch in met.as_py() or ():
@@ -123,22 +136,22 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 take = length if stretch["hot"] else length + many - 1
                 for at in spots:
                     a = first + at
-                    spans = zip(words.starts[a: a + take].tolist(),
-                                words.ends[a: a + take].tolist(), strict=True)
-                    text = b" ".join([whole[s:e] for s, e in spans])
+                    text = b" ".join([whole[s:e] for s, e in
+                                      zip(starts[a: a + take], ends[a: a + take], strict=True)])
                     shard = int.from_bytes(sha256(text).digest()[:8], "little", signed=True) \
                         if stretch["hot"] else stretch["anchor"]
-                    place = (shard, text)
+                    place, here = (shard, text), (keys[i], _packed(sign, at, 0))
                     known = found.get(place)
-                    here = (keys[i], _packed(sign, at, 0))
+                    if known is None:
+                        held += len(text)
                     if known is None or here < known:
                         found[place] = here
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.int64()),
-             pa.array([k[1] for k in found], pa.binary()),
-             pa.array([v[0] for v in found.values()], pa.int64()),
-             pa.array([v[1] for v in found.values()], pa.int64())],
-            ["shard", "words", "doc", "at"])
+        if held > _HELD:
+            yield flush()
+            found.clear()
+            held = 0
+    if found:
+        yield flush()
 
 
 def _first_windows(rows: list[tuple[bytes, int, int]], length: int) -> list[tuple[int, int]]:

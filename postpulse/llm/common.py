@@ -66,8 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum([len(v) if v.is_valid else 0 for v in values.cast(pa.large_binary())]
-                         if values.offset else np.diff(offsets_of(values)))
+        ends = np.cumsum(np.diff(offsets_of(values)))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

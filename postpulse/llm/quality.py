@@ -26,7 +26,7 @@ _SLICE = 1 << 20
 
 def _signs() -> tuple[np.ndarray, int]:
     """Bytes -> kinds: other, space, line break, a-z, A-Z, digit, beyond ASCII, each other sign."""
-    kinds = np.zeros(256, np.int64)
+    kinds = np.zeros(256, np.uint8)
     kinds[32], kinds[9:14] = 1, 2
     kinds[97:123], kinds[65:91], kinds[48:58], kinds[128:] = 3, 4, 5, 6
     own = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -44,13 +44,17 @@ def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     and a constant."""
     starts = np.concatenate([[0], ends[:-1]])
     size = ends - starts
-    owner = np.repeat(np.arange(len(ends)), size + 1)
     # A line break stands before and behind every text.
-    sign = np.full(len(data) + len(ends) + 1, 2, np.int64)
-    place = np.arange(len(data)) + np.repeat(np.arange(len(ends)), size) + 1
-    sign[place] = KINDS[data]
-    code = owner * N_KINDS ** 2 + sign[:-1] * N_KINDS + sign[1:]
-    pairs = np.bincount(code, minlength=len(ends) * N_KINDS ** 2).reshape(len(ends), -1)
+    sign = np.insert(KINDS[data], np.append(starts, len(data)), 2)
+    pairs = np.zeros(len(ends) * N_KINDS ** 2, np.int64)
+    stops = ends + np.arange(1, len(ends) + 1)
+    for i in range(0, len(sign) - 1, _SLICE):
+        now = sign[i: i + _SLICE + 1].astype(np.int64)
+        bounds = np.clip(np.concatenate([[0], stops]), i, i + len(now) - 1)
+        owner = np.repeat(np.arange(len(ends)), np.diff(bounds))
+        code = owner * N_KINDS ** 2 + now[:-1] * N_KINDS + now[1:]
+        pairs += np.bincount(code, minlength=len(pairs))
+    pairs = pairs.reshape(len(ends), -1)
     out = np.zeros((len(ends), N_FEATURES), np.float32)
     out[:, : N_KINDS ** 2] = np.sqrt(pairs / np.maximum(size, 1)[:, None])
     whole = data.tobytes()

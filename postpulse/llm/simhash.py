@@ -16,6 +16,7 @@ from postpulse.llm.components import components
 
 BITS = 64
 SEED = 42
+_PART = 1 << 16  # shingles hashed at a time
 CROWDED = 512  # fingerprints in a bucket beyond which the bucket is split by a second covering
 
 
@@ -28,14 +29,14 @@ def fingerprint(text: bytes | None, words: int) -> int:
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(words, len(tokens))
-    spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1:].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i: i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    starts, ends = starts[: len(tokens) - width + 1], ends[width - 1:]
+    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    for i in range(0, len(starts), _PART):
+        spans = zip(starts[i: i + _PART].tolist(), ends[i: i + _PART].tolist(), strict=True)
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:

@@ -80,7 +80,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         asked = asked.withColumn("short", F.substring("asked", 1, PREFIX))
         met = asked.join(keyed, "short").where(F.col("asked") == F.col("digest"))
     else:
-        met = pairs.join(keyed.select("won"), F.lit(False))
+        won = F.lit(None).cast(keyed.schema["won"].dataType)
+        met = pairs.where(F.lit(False)).withColumn("won", won)
     best = met.groupBy("host", "path").agg(F.max("won").alias("won"))
     best = best.select("host", "path", "won.rule", "won.verdict")
     left = split.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)],

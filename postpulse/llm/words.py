@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 PRIME = 0x9E3779B97F4A7C15
+_PIECE = 1 << 20  # bytes hashed at a time
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -36,14 +37,20 @@ class Words:
         self.count = np.diff(bounds)
 
     def hashes(self) -> np.ndarray:
-        """Polynomial hashes of the words, from sums over the whole batch."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return mixed(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(PRIME))
+        """Polynomial hashes of the words, from sums over a piece of the texts at a time."""
+        out = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            base = int(self.starts[i])
+            j = max(int(np.searchsorted(self.ends, base + _PIECE, "right")), i + 1)
+            part = self.data[base: self.ends[j - 1]].astype(np.uint64)
+            power, inverse = _powers(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part + np.uint64(1)) * power, out=sums[1:])
+            first, last = self.starts[i:j] - base, self.ends[i:j] - base
+            out[i:j] = (sums[last] - sums[first]) * inverse[first]
+            i = j
+        return mixed(out + (self.ends - self.starts).astype(np.uint64) * np.uint64(PRIME))
 
 
 _POWERS: list[np.ndarray] = []
@@ -54,7 +61,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x5851F42D4C957F2D
         back = pow(base, -1, 1 << 64)
-        size = max(n, 2 << 20)
+        size = max(n, _PIECE)
         made = []
         for b in (base, back):
             steps = np.full(size, b, np.uint64)

@@ -164,3 +164,44 @@ def test_quality_edge_cases(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
     plain = quality.quality(docs, labels.limit(0)).select("score", "predicted").distinct().collect()
     assert [tuple(r) for r in plain] == [(0.5, 0)]
+
+
+def test_slices_cut_batches_by_bytes():
+    from postpulse.llm.common import slices
+
+    texts = [b"a" * n for n in (3, 0, 10, 1, 1, 1, 50)] + [None, b"z"]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.binary())], ["i", "t"])
+    for batch, rows in ((whole, texts), (whole.slice(2, 5), texts[2:7]), (whole.slice(0, 0), [])):
+        parts = list(slices([batch], "t", 10))
+        assert [v for p in parts for v in p.column(1).to_pylist()] == rows
+        assert all(p.num_rows == 1 or sum(len(v or b"") for v in p.column(1).to_pylist()) <= 10 for p in parts)
+
+
+def test_words_and_their_hashes():
+    from postpulse.llm.words import Words
+
+    texts = ["", "one", " two  words ", "x\ty\nz\x0b\x0c\r", "one", "é two", "\x1c a"]
+    data, ends = joined_bytes(pa.array([t.encode() for t in texts], pa.binary()))
+    words = Words(data, ends)
+    found = [data.tobytes()[a:b] for a, b in zip(words.starts, words.ends, strict=True)]
+    want = [t.encode().split() for t in texts]
+    assert found == [w for ws in want for w in ws]
+    assert words.count.tolist() == [len(ws) for ws in want]
+    hashes = {}
+    for w, h in zip(found, words.hashes().tolist(), strict=True):
+        assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_long_texts_are_worked_on_in_pieces(monkeypatch):
+    from postpulse.llm import simhash, words
+
+    texts = [b"ab  cd e\n" * 40, b"", b"x" * 300, b"q w"]
+    data, ends = joined_bytes(pa.array(texts, pa.binary()))
+    whole = quality.features(data, ends), words.Words(data, ends).hashes(), simhash.fingerprint(texts[0], 3)
+    monkeypatch.setattr(quality, "_SLICE", 50)
+    monkeypatch.setattr(words, "_PIECE", 50)
+    monkeypatch.setattr(simhash, "_PART", 5)
+    assert np.array_equal(quality.features(data, ends), whole[0])
+    assert words.Words(data, ends).hashes().tolist() == whole[1].tolist()
+    assert simhash.fingerprint(texts[0], 3) == whole[2]

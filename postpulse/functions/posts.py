@@ -27,7 +27,7 @@ def full_text(post: str | None = None) -> Column:
 
 def parse_post_time(col: Column | str) -> Column:
     """``Thu Oct 24 14:39:39 +0000 2019`` -> timestamp; null where it does not parse."""
-    return F.try_to_timestamp(F.substring(col, 5, 64), F.lit(POST_TIME_FORMAT))
+    return F.try_to_timestamp(F.substr(col, F.lit(5)), F.lit(POST_TIME_FORMAT))
 
 
 def to_local_time(col: Column | str, tz: str | None) -> Column:

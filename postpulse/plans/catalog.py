@@ -639,10 +639,8 @@ def closed_minutes(t: Tables) -> DataFrame:
     base = shared_dir(t.spark, "minutes")
     schema = t.table("events").schema
     stream = as_posts(t.spark.readStream.schema(schema).parquet(f"{t.folder}/events.parquet*"))
-    text = t.documents.select("doc_id", "tweet")
-    number = F.col("ingest_id") % t.table("documents").count()
     run = (
-        minute_stream(stream.join(text, number == F.col("doc_id")), TRACK).writeStream.format("parquet")
+        minute_stream(t.with_text(stream), TRACK).writeStream.format("parquet")
         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
         .outputMode("append").trigger(availableNow=True).start()
     )

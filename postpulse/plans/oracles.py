@@ -49,9 +49,13 @@ EVENTS = """ev AS (
          'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS "screenName",
          user_id, event_type, props, value
   FROM events)"""
-POSTS = EVENTS + """, posts AS (
-  SELECT ev.*, d.text AS tweet, d.lang, d.source, d.n_chars
-  FROM ev JOIN documents d ON d.doc_id = ev.ingest_id % (SELECT count(*) FROM documents))"""
+POSTS = EVENTS + """, talks AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1),
+posts AS (
+  SELECT ev.*, s.text AS tweet, d.lang, d.source
+  FROM ev JOIN talks t ON t.conv_id = ev.ingest_id % (SELECT count(*) FROM talks)
+  JOIN conversations s ON s.conv_id = t.conv_id
+    AND s.turn = ev.ingest_id // (SELECT count(*) FROM talks) % t.turns
+  JOIN documents d ON d.doc_id = ev.ingest_id % (SELECT count(*) FROM documents))"""
 FEED = POSTS + """, feed AS (
   SELECT *, '#' || event_type || ' ' || tweet AS txt,
          date_trunc('second', "dateTweet") AS sec

@@ -11,10 +11,11 @@ from postpulse.sources.lists import roster_handles
 
 
 class Tables:
-    """Stored posts are all ``events``, each with the text of one of the ``documents``.
+    """Stored posts are all ``events``, each with the whole text of a turn of a conversation.
 
-    Event ids and document ids count from 0 without gaps: post i has the text of document
-    i modulo the number of documents.
+    Event, conversation and document ids count from 0 without gaps, and so do the turns of a
+    conversation. Post i has conversation i modulo their number, goes on to its next turn each time
+    round, and has language and source of document i modulo their number.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -38,9 +39,21 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
+        # Dealt out to the cores, since the test files have too few row groups to share.
+        events = self.events.repartition(self.spark.sparkContext.defaultParallelism)
         number = F.col("ingest_id") % self.table("documents").count()
-        texts = self.table("documents").withColumnRenamed("text", "tweet")
-        return self.events.join(texts, number == F.col("doc_id")).drop("doc_id")
+        kinds = self.table("documents").select("doc_id", "lang", "source")
+        return self.with_text(events).join(kinds, number == F.col("doc_id")).drop("doc_id")
+
+    def with_text(self, posts: DataFrame) -> DataFrame:
+        """Posts (a batch or a stream) with ``tweet``."""
+        said = self.table("conversations")
+        turns = said.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+        number = turns.count()
+        placed = posts.withColumn("conv_id", F.col("ingest_id") % number).join(turns, "conv_id")
+        placed = placed.withColumn("turn", F.expr(f"ingest_id div {number}") % F.col("turns"))
+        texts = said.select("conv_id", "turn", F.col("text").alias("tweet"))
+        return placed.join(texts, ["conv_id", "turn"]).drop("conv_id", "turn", "turns")
 
     def roster(self, segment: str) -> DataFrame:
         """Customers of one market segment, listed by ``@name``."""

@@ -147,7 +147,6 @@ def keyword_series(
     """
     if edge not in ("series", "global"):
         raise ValueError("edge must be 'series' or 'global'")
-    names = series_names(keywords)
     # The only pass over the texts: each post's keyword hits become bits once, whatever the
     # number of audiences it belongs to. Counts are added up per partition before the
     # shuffle, so a busy minute arrives as one row per partition and audience.
@@ -158,22 +157,20 @@ def keyword_series(
     )
     posts = posts.select(F.explode("_in").alias("audience"), *[c for c in posts.columns if c != "_in"])
     minutes = posts.groupBy("audience", "ts").agg(count_bits(keywords).alias("counts"))
-    # Ends of each keyword, in arrays beside each minute's counts: the window runs over the
-    # minutes of an audience before they are turned into a row per keyword.
-    seen = [F.when(F.col("counts")[i] > 0, F.col("ts")) for i in range(len(names))]
-    whole = W.partitionBy("audience")
-    cells = minutes.select(
-        "*", F.array(*[F.min(c).over(whole) for c in seen]).alias("_first"),
-        F.array(*[F.max(c).over(whole) for c in seen]).alias("_last"))
-    inside = (F.col("ts") > F.col("_first")[0]) & (F.col("ts") < F.col("_last")[0])
-    own = F.col("counts")
+    cells = unpivot_counts(minutes, keywords, "audience", "ts")
+    # Each series has a cell in every observed minute, so its outer ends are those of ``All``.
+    # The window runs over minutes, not posts, and is spread over the series.
+    whole = W.partitionBy("audience", "series")
+    seen = F.when(F.col("n") > 0, F.col("ts"))
+    ends = cells.select(
+        "*", F.min("ts").over(whole).alias("_first"), F.max("ts").over(whole).alias("_last"),
+        F.min(seen).over(whole).alias("_own_first"), F.max(seen).over(whole).alias("_own_last"),
+    )
+    n = F.col("n")
     if edge == "series":
-        own = F.transform(own, lambda n, i: F.when(
-            (F.col("ts") == F.get("_first", i)) | (F.col("ts") == F.get("_last", i)), F.lit(0)
-        ).otherwise(n))
-    kept = cells.where(inside).select("audience", "ts", own.alias("counts"))
-    found = unpivot_counts(kept, keywords, "audience", "ts").select(
-        "audience", "series", "ts", F.col("n").cast("long").alias("n"))
+        n = F.when(F.col("ts").isin(F.col("_own_first"), F.col("_own_last")), F.lit(0)).otherwise(n)
+    inside = (F.col("ts") > F.col("_first")) & (F.col("ts") < F.col("_last"))
+    found = ends.where(inside).select("audience", "series", "ts", n.cast("long").alias("n"))
     return found if audiences else found.drop("audience")
 
 

@@ -50,6 +50,8 @@ def ingest_stream(
         judged = with_missing(with_post(batch)).persist()
 
         def put(df: DataFrame, path: str, *by: str, kind: str = "parquet", **options) -> None:
+            if by:  # a day of the batch is one file, or several if it is large
+                df = df.hint("rebalance", *by)
             marked = df.withColumns({"feed": F.lit(feed), "batch": F.lit(batch_id)})
             (
                 marked.write.mode("overwrite").format(kind).options(**options)

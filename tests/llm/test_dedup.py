@@ -224,6 +224,44 @@ def test_remove_repeats_edge_cases(spark):
     assert sorted(r.n_removed for r in substrings.remove_repeats(other).collect()) == [0, 30]
 
 
+def test_remove_repeats_hot_keys(spark):
+    rng = random.Random(8)
+    line = " ".join(f"w{i}" for i in range(30))
+    other = [f"{line} " + " ".join(rng.choices("abcdefgh", k=40)) for _ in range(60)]
+    rows = [(None, t) for t in other] + [(None, line)] * 90 + [(None, None)] * 30 + [(5, line)] * 70
+    rows += [(6, "z " + line)]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    plain = substrings.remove_repeats(docs)
+    once = substrings.remove_repeats(docs, heavy=8)  # the four most frequent go once
+    # Repeated rows are one document; the texts of one key come in the order of a hash.
+    order = dict(map(tuple, docs.selectExpr("text", "xxhash64(cast(text AS binary))").collect()))
+    distinct = sorted(set(rows), key=lambda r: (r[0] or 0, order[r[1]]))
+    want = []
+    for r, out in zip(distinct, repeats_brute(distinct, 20), strict=True):
+        want += [out] * rows.count(r)
+    for found in (plain, once):
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_hot_key_is_not_gathered(spark, monkeypatch):
+    """Each row gets its own stretches only, however many rows share its key."""
+    line = " ".join(f"w{i}" for i in range(30))
+    docs = frame(spark, [f"{line} x{i}" for i in range(200)], [None] * 200)
+    seen = {}
+    run = substrings.in_tasks
+
+    def watched(df, function, schema):
+        if "met" in df.columns:
+            seen[len(df.columns)] = df
+        return run(df, function, schema)
+
+    monkeypatch.setattr(substrings, "in_tasks", watched)
+    assert substrings.remove_repeats(docs).count() == 200
+    assert len(seen) == 2
+    for df in seen.values():
+        assert df.selectExpr("max(size(met))").first()[0] <= 12
+
+
 def test_backward_search_finds_all_occurrences():
     rng = np.random.default_rng(4)
     for symbols in (2, 5, 70):

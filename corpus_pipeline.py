@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postpulse.llm import exact, language, mixing, packing, simhash
-from postpulse.llm.catalog import WEIGHTS
+from postpulse.llm.catalog import REST, WEIGHTS
 from postpulse.llm.common import written
 
 #: SQL for run()'s rows: the language models and the tokenizer can't be put in SQL.
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that sources come to their target shares."""
-    return mixing.replicate(docs, WEIGHTS).select(*docs.columns)
+    return mixing.replicate(docs, WEIGHTS, rest=REST).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from postpulse.llm.common import table
 
 #: Target shares of the sources: equal ones.
 WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
+#: Target share of all documents whose source is null or not named above, together.
+REST = 1.0
 #: (host, path, verdict)
 URL_RULES = [
     ("org", "/", "allow"),
@@ -51,7 +53,7 @@ def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.replicate(table(spark, folder, "documents"), WEIGHTS)
+    return mixing.replicate(table(spark, folder, "documents"), WEIGHTS, rest=REST)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

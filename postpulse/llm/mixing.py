@@ -75,7 +75,9 @@ def replicate(docs: DataFrame, weights: dict[str, float], *, rest: float = 0.0,
     for s, rate in mean.items():
         fits = ~F.coalesce(named(source).isin(list(weights)), F.lit(False)) if s is None \
             else named(source) == s
-        steps = F.when(fits, F.array(*map(F.lit, poisson_cdf(rate)))).otherwise(steps)
+        # One text: a source of few bytes has a high rate, and as many steps.
+        listed = F.split(F.lit(",".join(map(repr, poisson_cdf(rate)))), ",").cast("array<double>")
+        steps = F.when(fits, listed).otherwise(steps)
     at = uniform(F.lit(str(seed)), identity)
     count = F.coalesce(F.size(F.filter(named(drawn), lambda c: at >= c)), F.lit(0))
     copies = base.withColumn(drawn, steps).withColumn(drawn, count).where(named(drawn) > 0)

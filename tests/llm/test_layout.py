@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postpulse.llm import mixing, packing, search, sharding, urls
+import corpus_pipeline
+from postpulse.llm import catalog, mixing, packing, search, sharding, urls
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,6 +94,28 @@ def test_replicate_edge_cases(spark):
         mixing.replicate(docs, {"a": -1.0})
 
 
+def test_registered_mix_keeps_null_and_unlisted_sources(spark, tmp_path):
+    names = ["src0", "src1", "elsewhere", None]
+    docs = frame(spark, [(i, "x" * 50, names[i % 4]) for i in range(800)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.op5_source_mixing(spark, str(tmp_path))
+    size = dict(out.groupBy("source").count().collect())
+    assert set(size) == set(names)
+    # Two named sources and the rest share the table in three parts.
+    assert size[None] + size["elsewhere"] == pytest.approx(800 / 3, rel=0.25)
+    staged = dict(corpus_pipeline.mix_sources(spark, docs, "").groupBy("source").count().collect())
+    assert staged == size
+    alone = frame(spark, [(i, "x" * 50, "elsewhere") for i in range(100)])
+    assert corpus_pipeline.mix_sources(spark, alone, "").count() > 0
+
+
+def test_replicate_with_a_high_rate(spark):
+    rows = [(i, "x" * 1000, "a") for i in range(500)] + [(1000, "y" * 10, None)]
+    out = mixing.replicate(frame(spark, rows), {"a": 1.0}, rest=1.0)
+    assert Counter((r.doc_id, r.text, r.copy) for r in out.collect()) == \
+        copies_brute(rows, {"a": 1.0}, 1.0)
+
+
 # ---- sharding ---------------------------------------------------------------
 
 def capacity_brute(sizes, shards):

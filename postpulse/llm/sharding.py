@@ -136,15 +136,17 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
 
     Prefix sums are kept per key prefix (at most 16^4 rows reach the driver at first, then 16^3
     per place where a cut may lie). Slots are counted within prefixes; a group with over
-    1 / 256 of all rows is dealt over cells by a hash of the key.
+    1 / 256 of all rows is dealt over cells by a hash of the key, and over 256 equal rows in it are
+    dealt over all cells. Equal rows are counted, not sorted.
     """
     sized = written(docs.select(
         named(key).alias("doc_id"),
         (F.coalesce(F.octet_length(named(text)), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(named(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.sha2(named(text).cast("binary"), 256), F.lit("")).alias("grp"),
-    ), "sized")
-    groups = sized.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    ).groupBy("doc_id", "size", "text_crc32", "grp").agg(F.count(F.lit(1)).alias("n")), "sized")
+    groups = sized.groupBy("grp").agg(
+        F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows"))
     groups = written(groups.sortWithinPartitions("grp"), "groups")
     firsts, rows_before, _ = smallest_capacity(groups, shards)
 
@@ -156,20 +158,31 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     rank = F.lit(0)
     for g in large:
         rank = rank + (F.col("grp") >= g).cast("int") + (F.col("grp") > g).cast("int")
-    salt = F.when(F.col("grp").isin(large), F.pmod(F.xxhash64("doc_id"), F.lit(HEAVY)))
-    cells = sized.withColumns({
+    # Equal rows come with their number; many of one key go to all cells in portions.
+    often = F.col("grp").isin(large) & (F.col("n") > HEAVY)
+    portions = F.when(often, F.lit(HEAVY)).otherwise(F.lit(1))
+    dealt = sized.select("*", portions.alias("portions"),
+                         F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
+    dealt = dealt.withColumn("n", F.expr("(n + portions - 1 - portion) div portions"))
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(HEAVY))
+    salt = F.when(F.col("grp").isin(large), F.pmod(first + F.col("portion"), F.lit(HEAVY)))
+    cells = dealt.withColumns({
         "p": F.substring("grp", 1, FIRST), "r": rank,
         "c": F.coalesce(salt, F.lit(0)).cast("int"),
     })
     starts, before = [], 0
-    for p, r, c, n in sorted(tuple(x) for x in cells.groupBy("p", "r", "c").count().collect()):
+    for p, r, c, n in sorted(
+            tuple(x) for x in cells.groupBy("p", "r", "c").agg(F.sum("n")).collect()):
         starts.append((p, r, c, before))
         before += n
     # At most 16^FIRST prefixes and HEAVY cells for each large group.
     offsets = docs.sparkSession.createDataFrame(starts, "p string, r int, c int, start long")
     placed = cells.join(F.broadcast(offsets), ["p", "r", "c"])
-    order = Window.partitionBy("p", "r", "c").orderBy("grp", "doc_id", "size")
-    placed = placed.withColumn("at", F.col("start") + F.row_number().over(order) - 1)
+    order = Window.partitionBy("p", "r", "c").orderBy("grp", "doc_id", "size").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    until = F.col("start") + F.sum("n").over(order)
+    placed = placed.withColumn("until", until).withColumn(
+        "at", F.explode(F.sequence(F.col("until") - F.col("n"), F.col("until") - 1)))
     number, base = F.lit(-1), F.lit(0).cast("long")
     for i, (first, rows) in enumerate(zip(firsts, rows_before, strict=True)):
         number = number + (F.col("grp") >= first).cast("int")

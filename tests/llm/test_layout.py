@@ -180,6 +180,18 @@ def test_shard_of_the_test_table(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_shard_deals_out_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HEAVY", 8)
+    rows = [(None, None)] * 300 + [(5, None)] * 100 + [(i, f"t{i}") for i in range(50)]
+    found = sharding.shard(frame(spark, [(k, t, None) for k, t in rows]), 1).collect()
+    assert Counter(r.doc_id for r in found) == Counter(k for k, _ in rows) - Counter()
+    assert sorted(r.slot for r in found) == list(range(450))
+    # The null group comes first; the rows of each of its keys stand in eight places, not in one.
+    at = {r.slot: r.doc_id for r in found}
+    changes = sum(at[i] != at[i + 1] for i in range(399))
+    assert {at[i] for i in range(400)} == {None, 5} and changes >= 8
+
+
 # ---- URL filters ------------------------------------------------------------
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),

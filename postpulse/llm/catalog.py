@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.llm import (
+    collocations,
+    conversations,
     exact,
     language,
+    line_rules,
     mixing,
     packing,
     quality,
@@ -77,10 +80,27 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.judged(conversations.damage(rows), rows)
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.top_phrases(table(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = line_rules.clean_lines(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_exact_top_k,
         op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_sharding,
-        op9_url_filters, op10_packing,
+        op9_url_filters, op10_packing, op11_conversation_repair, op12_phrase_collocations,
+        op13_quality_rules,
     )
     return {f.__name__: f for f in found}

@@ -1,0 +1,184 @@
+"""Collocations and line rules against brute force."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from postpulse.llm import collocations, line_rules
+from postpulse.llm.line_rules import LineRules
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, t, l, "s", 0) for k, t, l in rows], DOCS)
+
+
+# ---- collocations -----------------------------------------------------------
+
+def phrases_brute(rows, least, top=2000):
+    counts, total, out = {}, Counter(), []
+    for _, t, l in rows:
+        l = "und" if l is None else l
+        f = counts.setdefault(l, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[l] += len(w)
+            f.update(tuple(w[i: i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+    for l, f in counts.items():
+        cand = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = {p[i: i + k] for p, a in cand.items() for k in range(2, len(p))
+                  for i in range(len(p) - k + 1) if 100 * a >= 100 * f[p[i: i + k]]}
+        found = []
+        for p, a in cand.items():
+            if p not in inside:
+                score, k = min((1000 * a * total[l] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]], k))
+        out += [(l, i + 1, p.decode(), -a, x, y, total[l], -s, k)
+                for i, (s, a, p, x, y, k) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+def texts(rng, n):
+    words = ["a", "b", "c", "Dd", "é", "x" * 30, "x" * 29 + "y", "the", "of", " "]
+    passage = "one two  three\tfour five six seven eight nine ten eleven twelve"
+    out = []
+    for k in range(n):
+        parts = [rng.choice(words) + rng.choice([" ", " ", " ", "\t", "  ", ", ", ".\n", "\x0b", ":"])
+                 for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.5:
+            parts.insert(rng.randint(0, len(parts)), passage + rng.choice([" ", ". "]))
+        out.append((rng.choice([k, None, 1]), "".join(parts), rng.choice(["en", "en", "de", None, "und", ""])))
+    return [*out, (1, None, "en"), (2, "", None), (3, " \t\n.", "xx"), out[0], out[0]]
+
+
+@pytest.mark.parametrize("least", [2, 7, 300])
+def test_phrases(spark, least):
+    rows = texts(random.Random(least), 120)
+    got = sorted(tuple(r) for r in collocations.top_phrases(frame(spark, rows), least=least).collect())
+    assert got == phrases_brute(rows, least) and (got or least == 300)
+
+
+def test_top_and_ties(spark):
+    rows = texts(random.Random(1), 60)
+    got = sorted(tuple(r) for r in collocations.top_phrases(frame(spark, rows), least=2, top=5).collect())
+    assert got == phrases_brute(rows, 2, 5)
+
+
+def test_full_counters_change_nothing(spark, monkeypatch):
+    """As if every pair's counter were full."""
+    rows = texts(random.Random(4), 60)
+    monkeypatch.setattr(collocations, "frequent_pairs", lambda t, least: (16, np.full(8192, 255, np.uint8)))
+    got = sorted(tuple(r) for r in collocations.top_phrases(frame(spark, rows), least=3).collect())
+    assert got == phrases_brute(rows, 3)
+
+
+def test_products_beyond_64_bits(spark):
+    big = 10 ** 13
+    counts = spark.createDataFrame(
+        [("en", "a b", 2, big), ("en", "a", 1, big), ("en", "b", 1, 9 * big)], "lang string, phrase string, size int, f long")
+    import unittest.mock as mock
+    with mock.patch.object(collocations, "phrase_counts", lambda *a: counts):
+        got = collocations.top_phrases(counts).collect()
+    assert [(r.score, r.n) for r in got] == [(1000 * big * 10 * big // (big * 9 * big), 10 * big)]
+
+
+def test_paths_hold_every_edge(spark):
+    words = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words), "en") for i in range(3)] + [(9, " ".join(words[100:300]), "en")]
+    grams = collocations.longest_grams(frame(spark, rows), 2).cache()
+    paths = collocations.unary_paths(grams.where("size = 5"), grams.where("size < 5")).collect()
+    edges = Counter()
+    for r in paths:
+        w = r.words.split(" ")
+        assert len(w) == r.edges + 4 and r.edges <= collocations.SPLIT
+        edges.update({(" ".join(w[i: i + 5]), r.n): 1 for i in range(r.edges)})
+    assert edges == Counter({(r.gram, r.n): 1 for r in grams.where("size = 5").collect()})
+    assert len(paths) < 12
+
+
+def test_one_hash_for_two_words():
+    data = np.frombuffer(b"ab cd ab", np.uint8)
+    pieces = collocations.Pieces(["en"], data, np.array([8]))
+    pieces.hashes = np.zeros(3, np.uint64)
+    ids = pieces.ids()
+    assert ids[0] == ids[2] != ids[1]
+
+
+def test_empty_and_clashing(spark):
+    assert collocations.top_phrases(frame(spark, [])).collect() == []
+    odd = frame(spark, texts(random.Random(2), 40)).selectExpr(
+        "*", "1 AS w", "2 AS size", "3 AS `rank`", "4 AS n", "5 AS gram")
+    rows = [tuple(r) for r in odd.select("doc_id", "text", "lang").collect()]
+    assert sorted(tuple(r) for r in collocations.top_phrases(odd, least=4).collect()) == phrases_brute(rows, 4)
+
+
+# ---- line rules -------------------------------------------------------------
+
+def line_rule(line, rules=LineRules()):
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    if not words:
+        return None
+    if len(words) <= rules.phrase_words and any(p in line.lower() for p in rules.phrases):
+        return "boilerplate"
+    if sum(w[0] in "|»›•·>" for w in words) > rules.bars * len(words):
+        return "navigation"
+    if sum(bool(re.search(r"([#*$%&|<>]|[!?]{2}),?$", w)) for w in words) > rules.signs * len(words):
+        return "punctuation"
+    if len(words) <= rules.short and not any(
+            re.search(r"[.!?…。！？؟।][\"'”’»)\]]*$", w) for w in words):
+        return "punctuation"
+    return None
+
+
+def clean_brute(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    runs = [tuple(words[i: i + 5]) for i in range(len(words) - 4)]
+    n = Counter(runs)
+    again = {p for i, r in enumerate(runs) if n[r] > 1 for p in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    count = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
+    left = sum(count(x) for x in lines if line_rule(x) is None)
+    body = sum(count(x) for x in lines if line_rule(x) != "boilerplate")
+    kept = not failed and left > 0 and body - left <= 0.5 * body
+    clean = None if text is None else "\n".join(x for x in t.split("\n") if line_rule(x) is None)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t),
+            len(lines) - len(set(lines)), len(again), failed, kept, clean)
+
+
+def odd_texts(rng):
+    lines = ["Home | About | Contact", "All rights reserved.", "A heading", "This is a sentence.", "", " \t ",
+             "It is said: \"so it is.\" Then more words come that go on and on and on.",
+             "BUY!! NOW!! MORE!!", "é è 漢字 。", "a b c d e a b c d e", "one*** two$$$ three", "> quoted text.",
+             "Released under the MIT License.", " odd spaces stay.", "x\r", "a\x0bb\x0cc."]
+    return ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+
+
+def test_line_rules(spark):
+    rng = random.Random(6)
+    rows = [(i, t, "en") for i, t in enumerate([
+        *odd_texts(rng), None, "", " ", "\n\n", "w " * 9, "w " * 10, "a" * 300_000,
+        " ".join(f"w{i % 977}" for i in range(30_000)), "same " * 20_000])]
+    rows += [(None, "A sentence of ten words or more, so that it stays here.", None)] * 2
+    got = line_rules.clean_lines(frame(spark, rows)).collect()
+    key = lambda r: (r[0] is not None, r[0])
+    have = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
+                    r.base_failed, r.kept, r.clean_text) for r in got), key=lambda r: str(key(r)))
+    assert have == sorted(((k, *clean_brute(t)) for k, t, _ in rows), key=lambda r: str(key(r)))
+    for r in got:
+        assert r.n_boilerplate + r.n_navigation + r.n_punctuation <= r.n_lines
+
+
+def test_line_rules_native_and_odd_tables(spark):
+    assert line_rules.clean_lines(frame(spark, [])).collect() == []
+    odd = frame(spark, [(1, "A sentence.", "en")]).selectExpr("*", "1 AS t", "2 AS lines", "3 AS kept", "4 AS n_words")
+    found = line_rules.clean_lines(odd)
+    assert found.collect()[0].n_words == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from postpulse.llm import exact, language, mixing, packing, simhash
+from postpulse.llm import exact, language, mixing, oracles as llm_oracles, packing, simhash
 from postpulse.llm.catalog import WEIGHTS
 
 SF = "/root/testdata/sf0.001"
@@ -55,13 +55,13 @@ def test_run_writes_every_stage(spark):
 
 def test_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert len(names) == 10 and "pipeline" in entry.queries()
+    assert len(names) == 13 and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_exact_top_k", "op5_source_mixing", "op9_url_filters"])
+@pytest.mark.parametrize("name", [n for n in llm_oracles.oracle_sql()])
 def test_equals_sql(spark, name):
     with duckdb.connect() as con:
-        for table in ("documents", "embeddings", "pages", "labels"):
+        for table in ("documents", "embeddings", "pages", "labels", "conversations"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
         found = con.execute(entry.oracle_sql()[name])
         columns = [d[0] for d in found.description]

@@ -1,0 +1,89 @@
+"""Newest N by exact selection, against sorting."""
+
+import random
+from collections import Counter
+from datetime import date, datetime, timedelta
+from decimal import Decimal
+
+import pytest
+
+from postpulse.operators import newest as N
+from postpulse.operators.newest import newest
+
+RNG = random.Random(11)
+INF, NAN = float("inf"), float("nan")
+VALUES = {
+    "long": [2 ** 63 - 1, -(2 ** 63), 0, -1, 1] + [RNG.randint(-9, 9) for _ in range(40)]
+    + [RNG.randint(-2 ** 63, 2 ** 63 - 1) for _ in range(60)],
+    "tinyint": [RNG.randint(-128, 127) for _ in range(90)],
+    "double": [INF, INF, -INF, NAN, NAN, 0.0, 1e308, -1.7e308, 5e-324] + [RNG.gauss(0, 1) for _ in range(60)]
+    + [10.0 ** RNG.randint(-300, 300) for _ in range(20)],
+    "float": [0.5, 0.25, 0.1, INF] + [float(RNG.randint(0, 5)) for _ in range(30)],
+    "decimal(38,10)": [Decimal(10) ** 27, -Decimal(10) ** 27, Decimal(10) ** 27 + Decimal("0.0000000001")]
+    + [Decimal(RNG.randint(-50, 50)) / 10 for _ in range(50)],
+    "date": [date(2024, 1, 1) + timedelta(days=RNG.randint(0, 40)) for _ in range(80)],
+    "timestamp": [datetime(2024, 3, 31) + timedelta(microseconds=RNG.randint(0, 10 ** 12)) for _ in range(80)],
+    "timestamp_ntz": [datetime(2024, 3, 31, 1) + timedelta(minutes=RNG.randint(0, 300)) for _ in range(80)],
+}
+
+
+def order(v):
+    return (2, 0) if isinstance(v, float) and v != v else (1, v)
+
+
+@pytest.mark.parametrize("kind", VALUES)
+@pytest.mark.parametrize("nulls", [0, 7])
+def test_every_type(spark, kind, nulls):
+    values = VALUES[kind] + [None] * nulls
+    rows = [(v, i % 3) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"v {kind}, i int").repartition(5)
+    values = [r.v for r in df.select("v").collect()]  # as rounded by the type
+    for n in (0, 1, 3, 17, len(values) - nulls, len(values) - nulls + 2, len(values), 500):
+        got = [r.v for r in newest(df, n, "v").collect()]
+        known = sorted((v for v in values if v is not None), key=order, reverse=True)[:n]
+        assert sum(v is None for v in got) == min(max(n - len(known), 0), nulls)
+        assert sorted((order(v) for v in got if v is not None), reverse=True) == [order(v) for v in known]
+
+
+@pytest.mark.parametrize("n", [1, 3, 250, 251, 499, 500, 700, 999])
+def test_equal_rows_and_maps(spark, n):
+    """Two different rows and one repeated 500 times share the value; only copies there are come back."""
+    rows = [(5, "a", {"x": 1, "y": 2})] * 500 + [(5, "b", {}), (5, "c", None)] + [(4, "d", {"k": 0})] * 600
+    df = spark.createDataFrame(rows, "v int, s string, m map<string,int>").repartition(7)
+    got = newest(df, n, "v").collect()
+    have = Counter(r.s for r in got)
+    there = Counter(r[1] for r in rows)
+    assert len(got) == n and all(have[s] <= there[s] for s in have)
+    assert n < 502 or have["a"] == 500 and have["b"] == have["c"] == 1
+    assert all(r.m == {"x": 1, "y": 2} for r in got if r.s == "a")
+
+
+def test_nulls_are_taken_without_a_limit(spark):
+    df = spark.createDataFrame([(None, i % 2) for i in range(900)] + [(1, 0)], "v long, i int")
+    got = newest(df, 400, "v")
+    assert got.count() == 400 and got.where("v = 1").count() == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
+def test_plan_and_number_of_jobs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 200_000, 1, 8).selectExpr("id * 7919 % 200003 AS v", "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    tracker, group = spark.sparkContext.statusTracker(), "selection"
+    spark.sparkContext.setJobGroup(group, group)
+    got = newest(df, 1234, "v")
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2 * 4  # the ends and at most three looks, each an aggregate with its shuffle
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Limit" not in plan and "Exchange" not in plan
+    assert "GreaterThan" in plan  # pushed to the scan
+    assert got.count() == 1234 and got.agg({"v": "min"}).first()[0] == sorted(
+        i * 7919 % 200003 for i in range(200_000))[-1234]
+
+
+def test_few_bins(spark, monkeypatch):
+    monkeypatch.setattr(N, "BITS", 1)
+    df = spark.range(1000).selectExpr("id * id AS v")
+    assert sorted(r.v for r in newest(df, 10, "v").collect()) == [i * i for i in range(990, 1000)]

@@ -2,13 +2,15 @@
 
 A capture written here is a folder. Line breaks inside texts are escaped, so its files can be
 split, and its header stands in a small record beside it, so reading needs no look into the
-files. Files that other programs wrote have line breaks inside quoted text and no record.
+files. Files that other programs wrote have line breaks inside quoted text and no record; they are
+read in splits as well, by the number of quotes before each line break.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postpulse.schemas import CAPTURE, capture_column, capture_header
+from postpulse.sources.framing import SPLIT, csv_records
 
 # Quotes are doubled inside quoted text.
 _FORMAT = {"header": "true", "quote": '"', "escape": '"'}
@@ -92,77 +95,74 @@ def _plain(path: str) -> str:
     return re.sub("^file:/+", "/", path)
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """The capture files at or below ``path``: names only, the content is pruned."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.csv").load(path)
-    return sorted(r[0] for r in listed.select("path").collect())
+def _within(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, header): the records of captures below ``path``; other files' content isn't read."""
+    file = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    beside = rf"\Q{RECORD}\E/[^/]+$"
+    return lines.where(file.rlike(beside)).select(
+        F.regexp_replace(file, beside, "").alias("folder"), F.col("value").alias("header"))
 
 
-def _units(spark: SparkSession, path: str) -> dict[str, tuple[str | None, list[str]]]:
-    """Captures at or below ``path``: name -> (header line if recorded, files).
+def _foreign(spark: SparkSession, path: str, recorded: DataFrame) -> DataFrame:
+    """(path, name): capture files at or below ``path`` that belong to no recorded capture.
 
-    A recorded capture is its folder with all that lies in it; any other file is a capture.
+    Folders named ``key=value`` belong to what lies above them. Names only, the content is pruned.
     """
-    files = _files(spark, path)
-    above = {}
-    for file in files:
-        parts = file.split("/")
-        for i in range(len(parts) - 1, 1, -1):
-            above.setdefault("/".join(parts[:i]), None)
-            if "=" not in parts[i - 1]:  # partition folders belong to what lies above them
-                break
-    headers = _recorded(spark, list(above)) if above else {}
-    units: dict[str, tuple[str | None, list[str]]] = {}
-    for file in files:
-        folder = file.rsplit("/", 1)[0]
-        while folder not in headers and "=" in folder.rsplit("/", 1)[-1]:
-            folder = folder.rsplit("/", 1)[0]
-        name = folder if folder in headers else file
-        units.setdefault(name, (headers.get(name), []))[1].append(file)
-    return units
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.csv").load(path)
+    file = F.col("_metadata.file_path")
+    files = listed.select("path", F.regexp_extract(file, "[^/]+$", 0).alias("name"),
+                          F.regexp_replace(file, "(/[^/=]+=[^/]*)*/[^/]+$", "").alias("folder"))
+    return files.join(recorded.select("folder"), "folder", "left_anti").select("path", "name")
 
 
 def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """Header line of each file without a record, found by Spark in its content."""
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        "value",
-        F.monotonically_increasing_id().alias("line"),
-    )
-    first = (
-        lines.where(F.col("start") == 0).groupBy("file")
-        .agg(F.min_by("value", "line").alias("header"))
-    )
-    by_path = {_plain(f): f for f in files}
-    return {by_path[_plain(r["file"])]: r["header"] for r in first.toLocalIterator()}
+    """Header line of each file: a job of one task that reads the beginning of its first split."""
+    def first(file: str) -> str | None:
+        row = spark.read.text(file).first()
+        return row and row[0]
 
+    with ThreadPoolExecutor(8) as pool:
+        return {f: line for f, line in zip(files, pool.map(first, files), strict=True)
+                if line is not None}
 
-def _read_units(
-    spark: SparkSession, units: dict[str, tuple[str | None, list[str]]],
-    headers: dict[str, str] | None = None,
-) -> DataFrame:
+
+def _columns(header: str) -> T.StructType:
     known = {f.name: f.dataType for f in CAPTURE.fields}
+    names = [capture_column(n.strip().strip('"'))
+             for n in header.lstrip("\ufeff").rstrip("\r").split(",")]
+    return T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+
+
+def _own(spark: SparkSession, folders: list[str], schema: T.StructType) -> DataFrame:
+    rows = spark.read.options(**_READ_OWN).schema(schema).option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.csv").csv(folders)
+    return unescaped(rows)
+
+
+def _others(spark: SparkSession, files: str | list[str], schema: T.StructType) -> DataFrame:
+    """Rows of foreign files, framed in splits, without each file's header."""
+    found = csv_records(spark, files)
+    rows = found.where(~((F.col(SPLIT) == 0) & (F.col("number") == 0)) & (F.col("record") != ""))
+    shape = ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString()
+                      for f in schema.fields)
+    return rows.select(F.from_csv("record", shape, READ).alias("row")).select("row.*")
+
+
+def _read_groups(
+    spark: SparkSession, own: dict[str, str], others: list[str], headers: dict[str, str] | None = None,
+) -> DataFrame:
+    """One read for each header, then a union by name. ``own``: folder -> header."""
+    told = {_plain(k): v for k, v in (headers or {}).items()}
+    lines = {f: told[_plain(f)] for f in others if _plain(f) in told}
+    lines |= _first_lines(spark, [f for f in others if f not in lines])
     groups: dict[tuple[bool, str], list[str]] = defaultdict(list)
-    unknown = [n for n, (header, _) in units.items() if header is None]
-    told = headers or {}
-    looked = _first_lines(spark, [n for n in unknown if n not in told]) if set(unknown) - set(told) else {}
-    for name, (header, files) in units.items():
-        line = header if header is not None else told.get(name, looked.get(name))
-        if line is not None:
-            groups[header is not None, line] += files
-    parts = []
-    for (own, header), files in sorted(groups.items()):
-        names = [
-            capture_column(n.strip().strip('"'))
-            for n in header.lstrip("\ufeff").rstrip("\r").split(",")
-        ]
-        schema = T.StructType(
-            [T.StructField(n, known.get(n, T.StringType())) for n in names]
-        )
-        rows = spark.read.options(**(_READ_OWN if own else READ)).schema(schema).csv(files)
-        parts.append(unescaped(rows) if own else rows)
+    for kind, known in ((True, own), (False, lines)):
+        for name, header in known.items():
+            groups[kind, header.rstrip("\r")].append(name)
+    parts = [(_own if kind else _others)(spark, names, _columns(header))
+             for (kind, header), names in sorted(groups.items())]
     if not parts:
         return spark.createDataFrame([], CAPTURE)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -173,12 +173,18 @@ def read_capture(spark: SparkSession, path: str) -> DataFrame:
 
     In captures that other programs wrote, an empty text can't be told from a null and is null.
     """
-    recorded = _recorded(spark, [path])
-    if recorded:
-        rows = spark.read.options(**_READ_OWN).schema(CAPTURE).option(
-            "recursiveFileLookup", "true").csv(path)
-        return unescaped(rows)
-    return spark.read.options(**READ).schema(CAPTURE).csv(path)
+    if _recorded(spark, [path]):
+        return _own(spark, [path], CAPTURE)
+    return _others(spark, path, CAPTURE)
+
+
+def _captures(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
+    """Recorded captures at or below ``path`` (folder -> header), and the other files."""
+    inner = _within(spark, path)
+    own = {unquote(r["folder"]): r["header"] for r in inner.collect()}  # one row for each capture
+    beside = _recorded(spark, [path])
+    return own | beside, spark.createDataFrame([], "path string, name string") if beside \
+        else _foreign(spark, path, inner)
 
 
 def read_captures(
@@ -186,12 +192,14 @@ def read_captures(
 ) -> DataFrame:
     """All captures at or below ``path`` as one table, columns matched by name.
 
-    CSV columns are matched by position within a read, so files are grouped by header: one read
+    CSV columns are matched by position within a read, so captures are grouped by header: one read
     each, then a union by name. Missing columns become null, unknown ones stay as text. Headers
-    come from the records that the writers leave; ``headers`` gives those of other files by
-    path, and only files without either are looked into.
+    come from the records that the writers leave, one for a whole folder; ``headers`` gives those of
+    files of other programs by path, and of the rest the first line is read. Files of other programs
+    are read in splits too, with the line breaks of their texts.
     """
-    return _read_units(spark, _units(spark, path), headers)
+    own, others = _captures(spark, path)
+    return _read_groups(spark, own, [r["path"] for r in others.sort("path").collect()], headers)
 
 
 def union_captures(*captures: DataFrame) -> DataFrame:
@@ -200,12 +208,16 @@ def union_captures(*captures: DataFrame) -> DataFrame:
 
 
 def latest_capture(spark: SparkSession, path: str) -> DataFrame:
-    """The newest capture, all its files. Names carry the start time, so the highest is newest."""
-    units = _units(spark, path)
-    if not units:
-        return spark.createDataFrame([], CAPTURE)
-    last = max(units, key=lambda name: name.rsplit("/", 1)[-1])
-    return _read_units(spark, {last: units[last]})
+    """The newest capture, all its files. Names carry the start time, so the highest is newest.
+
+    The driver gets one row for each recorded capture, and one of all other files.
+    """
+    own, others = _captures(spark, path)
+    best = others.agg(F.max_by("path", "name").alias("path"), F.max("name").alias("name")).first()
+    last = max(own, key=lambda f: f.rsplit("/", 1)[-1], default=None)
+    if best["name"] is not None and (last is None or best["name"] > last.rsplit("/", 1)[-1]):
+        return _read_groups(spark, {}, [best["path"]])
+    return _read_groups(spark, {last: own[last]} if last else {}, [])
 
 
 def capture_file(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postpulse.functions.text import strip_accents, strip_first
 from postpulse.schemas import NEWS
+from postpulse.sources.framing import json_elements
 
 
 def split_keywords(df: DataFrame, col="value") -> DataFrame:
@@ -52,6 +53,7 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
 def read_news(spark: SparkSession, path: str) -> DataFrame:
     """News articles from files that each hold one JSON array.
 
-    The format lets a file be read by one task only, so large collections come as many files.
+    A file is read in its splits, by as many tasks: arrays may be of any size and need no line breaks.
     """
-    return spark.read.schema(NEWS).option("multiLine", "true").json(path)
+    found = json_elements(spark, path)
+    return found.select(F.from_json("record", NEWS).alias("article")).select("article.*")

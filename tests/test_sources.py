@@ -93,7 +93,7 @@ def test_a_capture_keeps_its_header(spark, tmp_path):
 
 def test_headers_of_foreign_files_may_be_given(spark, tmp_path):
     write_csv(tmp_path / "x.csv", ["id", "text"], [1, "uno"])
-    name = next(iter(C._units(spark, str(tmp_path))))
+    name = str(tmp_path / "x.csv")
     assert rows(C.read_captures(spark, str(tmp_path), {name: "text,lang"})) == [("1", "uno")]
 
 
@@ -137,6 +137,111 @@ def test_stopwords(spark, tmp_path):
         ("Aun",), ("el",), ("por que",)]
 
 
+def split_session(spark, size):
+    """A session that reads files in splits of ``size`` bytes."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    other.conf.set("spark.sql.files.openCostInBytes", "0")
+    return other
+
+
+def plain_csv(rng, n):
+    signs = ["\n", "\r\n", '"', ",", "a", " ", "é", "long words " * 4, "\n\n", '""', "'"]
+    return [(i, None if rng.random() < 0.1 else "".join(rng.choices(signs, k=rng.randint(0, 9))).strip() + "x")
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [7, 64, 501, 10**6])
+@pytest.mark.parametrize("end", ["\r\n", "\n"])
+def test_foreign_captures_in_splits(spark, tmp_path, size, end):
+    """Quoted line breaks, whatever the split borders cut: fields, quotes, records, many splits."""
+    rng = random.Random(size)
+    given = {}
+    for k, header in enumerate((["id", "text"], ["text", "id"], ["id", "text"])):
+        kept = [(i + 1000 * k, t) for i, t in plain_csv(rng, 60)]
+        with open(tmp_path / f"c{k}.csv", "w", newline="") as file:
+            writer = csv.writer(file, lineterminator=end)
+            writer.writerow(header)
+            writer.writerows([dict(id=i, text=t)[c] for c in header] for i, t in kept)
+        given |= dict(kept)
+    other = split_session(spark, size)
+    df = C.read_captures(other, str(tmp_path))
+    assert {r.id: r.text for r in df.select("id", "text").collect()} == given
+    assert df.count() == len(given)
+    one = other.read.text(str(tmp_path / "c0.csv")).rdd.getNumPartitions()
+    assert one > 5 or size > 500
+
+
+def test_foreign_captures_odd_files(spark, tmp_path):
+    other = split_session(spark, 9)
+    (tmp_path / "a.csv").write_text('id,text\n1,"open\nuntil the end')
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv").write_text("id,text\n")
+    (tmp_path / "d.csv").write_text('\ufeffid,text\n\n7,seven\n\n\n8,"a""b"\n')
+    (tmp_path / "e f.csv").write_text('id,text\n9,' + "wide " * 50 + "\n10,ten")
+    got = rows(C.read_captures(other, str(tmp_path)).select("id", "text"))
+    assert sorted(got) == sorted([(1, "open\nuntil the end"), (7, "seven"), (8, 'a"b'),
+                                  (9, "wide " * 50), (10, "ten")])
+
+
+def test_foreign_header_takes_one_task(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,text\n" + "1,t\n" * 5_000)
+    other = split_session(spark, 1000)
+    spark.sparkContext.setJobGroup("header", "header")
+    assert C._first_lines(other, [str(tmp_path / "x.csv")]) == {str(tmp_path / "x.csv"): "id,text"}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_captures_of_both_kinds(spark, tmp_path):
+    own = spark.createDataFrame([(1, "a\nb"), (2, None)], "id long, text string").repartition(2)
+    C.write_capture(own, str(tmp_path / "20240101"))
+    C.write_capture(own.withColumn("day", F.lit("x")).drop("day"), str(tmp_path / "deep" / "20240102"))
+    write_csv(tmp_path / "20240103.csv", ["text", "id"], ["c\nd", 3])
+    (tmp_path / "day=1").mkdir()
+    write_csv(tmp_path / "day=1" / "20231231.csv", ["id", "text", "more"], [4, "e", "f"])
+    df = C.read_captures(spark, str(tmp_path))
+    assert sorted(rows(df.select("id", "text"))) == sorted([(1, "a\nb"), (2, None)] * 2 + [(3, "c\nd"), (4, "e")])
+    assert rows(C.latest_capture(spark, str(tmp_path)).select("id", "text")) == [(3, "c\nd")]
+    C.write_capture(own, str(tmp_path / "20240104"))
+    assert C.latest_capture(spark, str(tmp_path)).count() == 2
+
+
+def odd_articles(rng, n):
+    words = ["a", "}", "{", "]", "[", '"', "\\", "\n", ",", "é", "\u2028", '\\"}', "x " * 20]
+    out = []
+    for i in range(n):
+        text = "".join(rng.choices(words, k=rng.randint(0, 8)))
+        out.append({"title": f"{i} {text}", "publication_date": None if i % 5 else text,
+                    "publication_hour": "10:00", "more": {"deep": [{"a": text}, [], {}], "n": i}})
+    return out
+
+
+@pytest.mark.parametrize("size", [5, 40, 333, 10**6])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_news_array_in_splits(spark, tmp_path, size, indent):
+    """Strings with brackets, quotes and escapes, nested values; without any line break too."""
+    rng = random.Random(size)
+    files = {f"n{k}.json": odd_articles(rng, n) for k, n in enumerate((40, 1, 0, 25))}
+    for name, articles in files.items():
+        (tmp_path / name).write_text(json.dumps(articles, indent=indent, ensure_ascii=bool(size % 2)))
+    other = split_session(spark, size)
+    got = L.read_news(other, str(tmp_path))
+    want = [(a["title"], a["publication_date"], a["publication_hour"]) for v in files.values() for a in v]
+    assert sorted(map(repr, got.select("title", "publication_date", "publication_hour").collect())) == sorted(
+        map(repr, spark.createDataFrame(want, got.select(
+            "title", "publication_date", "publication_hour").schema).collect()))
+    if size == 40:
+        assert other.read.text(str(tmp_path / "n0.json"), lineSep="}").rdd.getNumPartitions() > 20
+
+
+def test_news_in_odd_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(' \n[ ]\n')
+    (tmp_path / "b.json").write_text("")
+    (tmp_path / "c.json").write_text('\ufeff[{"title":"t"} , {"title":"u","x":{}}]\n\n')
+    got = L.read_news(split_session(spark, 6), str(tmp_path))
+    assert rows(got.select("title")) == [("t",), ("u",)]
+
+
 def test_news(spark, tmp_path):
     from postpulse.operators.project import news_time
 

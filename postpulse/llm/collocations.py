@@ -50,63 +50,77 @@ class Pieces:
             & (self.text[:-1] == self.text[1:])
         self.hashes = w.hashes()
 
-    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words that are joined with the next one, and the slot of each such pair."""
-        at = np.nonzero(self.joined)[0]
+    def short(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slot of every word; words that are joined with the next one, and the slot of each pair."""
         seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs], np.uint64)
-        pair = self.hashes[at] * np.uint64(PRIME) + self.hashes[at + 1] + seeds[self.lang[at]]
-        return at, mixed(pair) >> np.uint64(64 - bits)
-
-    def ids(self) -> np.ndarray:
-        """Numbers of the words, equal for equal words only."""
+        own = self.hashes + seeds[self.lang]
+        at = np.nonzero(self.joined)[0]
+        self.begun = np.zeros(len(self.joined), np.uint64)
+        self.begun[at] = mixed(own[at] * np.uint64(PRIME) + self.hashes[at + 1])
+        down = np.uint64(64 - bits)
+        return mixed(own) >> down, at, self.begun[at] >> down
+
+    def longer(self, bits: int, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 3 to LONGEST words: the words at which that many follow along ``live`` pairs (first
+        words), and the slot of each such run. Positions sent in take part in the next length."""
+        go = np.zeros(len(self.joined) + LONGEST, bool)
+        go[live] = True
+        at, h = np.nonzero(go)[0], self.begun
+        code = h[at]
+        for k in range(1, LONGEST - 1):
+            on = go[at + k]
+            at = at[on]
+            code = mixed(code[on] * np.uint64(PRIME) + self.hashes[at + k + 1])
+            passed = yield at, code >> np.uint64(64 - bits)
+            if passed is not None:
+                at, code = at[passed], code[passed]
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the words ``at``, equal for equal words only; 0 for the others."""
         w, width = self.words, 24
-        _, first, ids = np.unique(self.hashes, return_index=True, return_inverse=True)
-        size = w.ends - w.starts
+        out = np.zeros(len(self.text) + LONGEST, np.int64)
+        _, first, ids = np.unique(self.hashes[at], return_index=True, return_inverse=True)
+        starts, ends = w.starts[at], w.ends[at]
+        size, like = ends - starts, first[ids]
         padded = np.concatenate([self.data, np.zeros(width, np.uint8)])
-        heads = padded[w.starts[:, None] + np.arange(width)]
+        heads = padded[starts[:, None] + np.arange(width)]
         heads[np.arange(width) >= size[:, None]] = 0
         heads = heads.view(np.uint64)
-        like = first[ids]
-        same = (size == size[like]).all() and (heads == heads[like]).all()
+        same = bool((size == size[like]).all() and (heads == heads[like]).all())
         raw = self.data.tobytes()
         long = np.nonzero((size > width) & (like != np.arange(len(like))))[0] if same else []
         for i in long:
-            a, b = w.starts[i], w.starts[like[i]]
-            if raw[a: w.ends[i]] != raw[b: b + size[i]]:
+            a, b = starts[i], starts[like[i]]
+            if raw[a: ends[i]] != raw[b: b + size[i]]:
                 same = False
                 break
         if not same:  # two words with one hash
             known: dict[bytes, int] = {}
             ids = np.array([known.setdefault(raw[a:b], len(known))
-                            for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)])
-        return ids
-
-    def longest(self, live: np.ndarray) -> tuple[list[str], list[str], list[int], list[int]]:
-        """(lang, words, number of words, count) of the longest run from every word: up to
-        LONGEST words along pairs in ``live`` (positions of first words)."""
-        n, w = len(self.text), self.words
-        go = np.zeros(n + LONGEST, bool)
-        go[live] = True
-        reach, more = go[:n].astype(np.int64), go[:n].copy()
-        for k in range(1, LONGEST - 1):
-            more &= go[k: n + k]
-            reach += more
-        ids = np.concatenate([self.ids(), np.zeros(LONGEST, np.int64)])
-        columns = [np.where(reach >= k, ids[k: n + k] + 1, 0) for k in range(1, LONGEST)]
-        order = np.lexsort([*columns[::-1], ids[:n], self.lang])
-        changed = np.zeros(n, bool)
+                            for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        out[at] = ids + 1
+        return out
+
+    def longest(self, words: np.ndarray, reach: np.ndarray
+                ) -> tuple[list[str], list[str], list[int], list[int]]:
+        """(lang, words, number of words, count) of the runs from ``words`` over ``reach`` more."""
+        w, ids = self.words, self.ids(words)
+        reach = reach[words]
+        columns = [self.lang[words], ids[words]]
+        columns += [np.where(reach >= k, ids[words + k], 0) for k in range(1, LONGEST)]
+        order = np.lexsort(columns[::-1])
+        changed = np.zeros(len(words), bool)
         changed[:1] = True
-        for c in (self.lang, ids[:n], *columns):
+        for c in columns:
             c = c[order]
             changed[1:] |= c[1:] != c[:-1]
         starts = np.nonzero(changed)[0]
-        count = np.diff(np.append(starts, n))
-        at = order[starts]
-        size = reach[at] + 1
+        count = np.diff(np.append(starts, len(words)))
+        at, size = words[order[starts]], reach[order[starts]] + 1
         raw = self.data.tobytes()
         spans = zip(w.starts[at].tolist(), w.ends[at + size - 1].tolist(), strict=True)
         texts = [b" ".join(raw[a:b].split()).decode("utf-8", "replace") for a, b in spans]
-        return ([self.langs[k] for k in self.lang[at]], texts, size.tolist(), count.tolist())
+        return [self.langs[k] for k in self.lang[at]], texts, size.tolist(), count.tolist()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
@@ -115,9 +129,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
         yield Pieces(batch.column(0).to_pylist(), data, ends)
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], bits: int, least: int
+def _hit(known: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    place = known[(slot >> np.uint64(3)).astype(np.int64)]
+    return place >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch], bits: int, least: int, pairs
                  ) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs by slot, cut to ``least``: rows of (part, places in it, counts)."""
+    """Counts by slot, cut to ``least``, as rows of (part, places in it, counts).
+
+    Of words and pairs; or, with the frequent ones known, of the longer runs along them.
+    """
     kind = np.min_scalar_type(least)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -140,7 +162,15 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], bits: int, least: int
 
     size = 0
     for pieces in _pieces(batches):
-        held.append(np.unique(pieces.slots(bits)[1], return_counts=True))
+        word, at, slot = pieces.short(bits)
+        if pairs is None:
+            slot = np.concatenate([word, slot])
+        else:
+            runs = pieces.longer(bits, at[_hit(pairs.value, slot)])
+            slot = np.concatenate([found for _, found in runs])
+        if not len(slot):
+            continue
+        held.append(np.unique(slot, return_counts=True))
         size += len(held[-1][0])
         if size > _HELD:
             held = [merged()]
@@ -166,32 +196,54 @@ def _live_parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
                   pa.binary())], ["part", "bits"])
 
 
-def frequent_pairs(texts: DataFrame, least: int, most_slots: int = MOST_SLOTS) -> tuple[int, np.ndarray]:
-    """Slots, as bits, of all pairs of words that may come ``least`` times: log2 of the slots, bits.
+def slot_bits(texts: DataFrame, most: int = MOST_SLOTS) -> int:
+    """log2 of the counters: one for 64 bytes of text, 2^``most`` at most.
 
-    Every pair counts in the slot of its hash; slots that stay under ``least`` hold no frequent pair.
-    There is one slot for 64 bytes of text, 2^``most_slots`` at most. Beyond that more pairs pass,
-    which costs time and changes no result.
+    Beyond that more runs pass, which costs time and changes no result.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(math.ceil(math.log2(size / 64 + 1)), PART), most_slots)
-    counted = in_tasks(texts, partial(_pair_counts, bits=bits, least=least),
+    return min(max(math.ceil(math.log2(size / 64 + 1)), PART), most)
+
+
+def frequent_slots(texts: DataFrame, bits: int, least: int, pairs=None) -> np.ndarray:
+    """The slots, as bits, of all words and pairs that may come ``least`` times, or of all runs of three
+    to five words along frequent pairs.
+
+    Every run counts in the slot of its hash; slots that stay under ``least`` hold no frequent one.
+    """
+    counted = in_tasks(texts, partial(_slot_counts, bits=bits, least=least, pairs=pairs),
                        "part long, places binary, counts binary")
     parts = in_tasks(counted.repartition("part"), partial(_live_parts, least=least),
                      "part long, bits binary")
     live = np.zeros((1 << bits) // 8, np.uint8)
     step = (1 << PART) // 8
-    for part, found in parts.collect():  # 2^(most_slots - 3) bytes at most
+    for part, found in parts.collect():  # 2^(MOST_SLOTS - 3) bytes at most
         live[part * step: (part + 1) * step] = np.frombuffer(found, np.uint8)
-    return bits, live
+    return live
 
 
-def _longest_grams(batches: Iterator[pa.RecordBatch], bits: int, live) -> Iterator[pa.RecordBatch]:
-    known = live.value
+def _longest_grams(batches: Iterator[pa.RecordBatch], bits: int, pairs, runs
+                   ) -> Iterator[pa.RecordBatch]:
     for pieces in _pieces(batches):
-        at, slot = pieces.slots(bits)
-        hit = known[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
-        lang, gram, size, count = pieces.longest(at[hit == 1])
+        word, at, slot = pieces.short(bits)
+        live = at[_hit(pairs.value, slot)]
+        reach = np.zeros(len(pieces.text), np.int64)
+        reach[live] = 1
+        steps = pieces.longer(bits, live)
+        passed = None
+        while True:
+            try:
+                at, slot = steps.send(passed)
+            except StopIteration:
+                break
+            passed = _hit(runs.value, slot)
+            reach[at[passed]] += 1
+        lang, gram, size, count = pieces.longest(np.nonzero(_hit(pairs.value, word))[0], reach)
+        for k, n in enumerate(np.bincount(pieces.lang, minlength=len(pieces.langs)).tolist()):
+            lang.append(pieces.langs[k])
+            gram.append("")
+            size.append(0)
+            count.append(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(size, pa.int32()),
              pa.array(count, pa.int64())], ["lang", "gram", "size", "n"])
@@ -199,18 +251,20 @@ def _longest_grams(batches: Iterator[pa.RecordBatch], bits: int, live) -> Iterat
 
 def longest_grams(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang"
                   ) -> DataFrame:
-    """Edges of the graph and ends of pieces: (lang, gram, size, n).
+    """Edges of the graph and ends of pieces: (lang, gram, size, n); size 0 counts all words.
 
-    From every word the longest run of up to five words, within its piece and along pairs that may be
-    frequent, is one count. Runs of five are edges, from the node of their first four words to the
-    node of their last four; shorter ones are ends. A phrase that comes ``least`` times holds
-    frequent pairs only, so each of its occurrences is the beginning of exactly one such run.
+    From every word that may be frequent the longest run of up to five words that may be too, within
+    its piece, is one count. Runs of five are edges, from the node of their first four words to the node of their
+    last four; shorter ones are ends. What begins a frequent phrase is frequent too, so each
+    occurrence of a phrase that comes ``least`` times is the beginning of exactly one such run.
+    Counters tell in two passes what may be frequent: words and pairs, then longer runs along them.
     """
     texts = docs.select(F.coalesce(named(lang).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(named(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    bits, live = frequent_pairs(texts, least)
-    shared = docs.sparkSession.sparkContext.broadcast(live)
-    found = in_tasks(texts, partial(_longest_grams, bits=bits, live=shared),
+    bits, share = slot_bits(texts), docs.sparkSession.sparkContext.broadcast
+    pairs = share(frequent_slots(texts, bits, least))
+    runs = share(frequent_slots(texts, bits, least, pairs))
+    found = in_tasks(texts, partial(_longest_grams, bits=bits, pairs=pairs, runs=runs),
                      "lang string, gram string, size int, n long")
     return found.groupBy("lang", "gram", "size").agg(F.sum("n").alias("n"))
 
@@ -261,8 +315,8 @@ def unary_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang"
                   ) -> DataFrame:
-    """Occurrences of every word, and of every phrase of 2 to 5 words that comes ``least`` times:
-    (lang, phrase, size, f).
+    """Occurrences of every word and phrase of up to 5 words that comes ``least`` times: (lang, phrase,
+    size, f). Size 0: the empty phrase, all words of the language.
 
     A phrase's count is the flow of the runs that begin with it: edges along the paths, and ends
     of pieces for what no edge covers.
@@ -270,7 +324,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang:
     grams = written(longest_grams(docs, least, text, lang), "grams")
     ends = grams.where(F.col("size") < LONGEST)
     paths = unary_paths(grams.where(F.col("size") == LONGEST), ends)
-    runs = paths.union(ends.select("lang", "gram", F.lit(1), "n"))
+    runs = paths.union(ends.where("size > 0").select("lang", "gram", F.lit(1), "n"))
     words = F.split("words", " ")
     starts = runs.select("lang", "n", words.alias("w"), F.explode(
         F.sequence(F.lit(1), F.col("edges"))).alias("at"))
@@ -278,7 +332,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang:
     begun = starts.select("lang", "n", "w", "at", F.explode(F.sequence(F.lit(1), most)).alias("size"))
     counts = begun.groupBy("lang", F.array_join(F.slice("w", F.col("at"), F.col("size")), " ").alias(
         "phrase"), "size").agg(F.sum("n").alias("f"))
-    return counts.where((F.col("size") == 1) | (F.col("f") >= least))
+    total = grams.where("size = 0").select("lang", F.col("gram").alias("phrase"), "size", F.col("n").alias("f"))
+    return counts.where(F.col("f") >= least).union(total)
 
 
 def top_phrases(docs: DataFrame, least: int = LEAST, cover: int = 100, top: int = 2000,
@@ -300,7 +355,7 @@ def top_phrases(docs: DataFrame, least: int = LEAST, cover: int = 100, top: int
     what one task ranks at the end doesn't grow with them.
     """
     counts = written(phrase_counts(docs, least, text, lang), "phrases")
-    total = counts.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    total = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     candidates = counts.where(f"size > 1 AND f >= {least}").withColumn("w", F.split("phrase", " "))
     longer = candidates.where("size > 2").select("lang", "w", "size", "f")
     inside = longer.select("lang", "f", "size", "w", F.explode(

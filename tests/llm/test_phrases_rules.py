@@ -72,7 +72,7 @@ def test_top_and_ties(spark):
 def test_full_counters_change_nothing(spark, monkeypatch):
     """As if every pair's counter were full."""
     rows = texts(random.Random(4), 60)
-    monkeypatch.setattr(collocations, "frequent_pairs", lambda t, least: (16, np.full(8192, 255, np.uint8)))
+    monkeypatch.setattr(collocations, "frequent_slots", lambda t, bits, *a: np.full(2 ** bits // 8, 255, np.uint8))
     got = sorted(tuple(r) for r in collocations.top_phrases(frame(spark, rows), least=3).collect())
     assert got == phrases_brute(rows, 3)
 
@@ -80,7 +80,7 @@ def test_full_counters_change_nothing(spark, monkeypatch):
 def test_products_beyond_64_bits(spark):
     big = 10 ** 13
     counts = spark.createDataFrame(
-        [("en", "a b", 2, big), ("en", "a", 1, big), ("en", "b", 1, 9 * big)], "lang string, phrase string, size int, f long")
+        [("en", "a b", 2, big), ("en", "a", 1, big), ("en", "b", 1, 9 * big), ("en", "", 0, 10 * big)], "lang string, phrase string, size int, f long")
     import unittest.mock as mock
     with mock.patch.object(collocations, "phrase_counts", lambda *a: counts):
         got = collocations.top_phrases(counts).collect()
@@ -105,7 +105,7 @@ def test_one_hash_for_two_words():
     data = np.frombuffer(b"ab cd ab", np.uint8)
     pieces = collocations.Pieces(["en"], data, np.array([8]))
     pieces.hashes = np.zeros(3, np.uint64)
-    ids = pieces.ids()
+    ids = pieces.ids(np.arange(3))
     assert ids[0] == ids[2] != ids[1]
 
 

@@ -59,7 +59,8 @@ def failed_rule(line: Column, n: Column, rules: LineRules) -> Column:
     phrase = F.lit(False)
     for p in rules.phrases:
         phrase = phrase | low.contains(p)
-    bars = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|»›•·>]"))
+    # The sign first: what stands before it is only looked at where there is one.
+    bars = F.regexp_count(line, F.lit(r"(?s)[|»›•·>](?<![^\x20\x09-\x0D].)"))
     loud = F.regexp_count(line, F.lit(rf"(?:[{_bracket(SYMBOLS)}]|[!?]{{2}}),?(?![^\x20\x09-\x0D])"))
     ended = line.rlike(r"[.!?…。！？؟।][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
     return (F.when((n <= rules.phrase_words) & phrase, "boilerplate")
@@ -67,27 +68,29 @@ def failed_rule(line: Column, n: Column, rules: LineRules) -> Column:
             .when((loud > n * rules.signs) | ((n <= rules.short) & ~ended), "punctuation"))
 
 
-def repeated_words(text: Column, width: int = REPEATED) -> Column:
-    """Words that stand in a run of ``width`` words found twice or more in the text.
+def runs_of(flat: Column, width: int = REPEATED) -> Column:
+    """All runs of ``width`` words of a text with single spaces, in order, by one pattern."""
+    words = " ".join(["[^ ]++"] * width)
+    return F.regexp_extract_all(flat, F.lit(rf"\G ?(?=({words}))[^ ]++"), F.lit(1))
 
-    All runs come from one pattern over the text with single spaces. Only where some are equal
-    are they sorted with their places, so that equal ones meet as neighbours; then the places are
-    put in order, and each adds the words up to the next place, ``width`` at most.
+
+def repeated_words(runs: str, n: str, width: int = REPEATED) -> Column:
+    """Words that stand in a run found twice or more, of ``n`` runs.
+
+    Sorted with their places, equal runs meet as neighbours; then the places are put in order,
+    and each adds the words up to the next place, ``width`` at most.
     """
-    flat = F.trim(F.regexp_replace(text, SPACES, " "))
-    run = F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))[^ ]++")
-    runs = F.regexp_extract_all(flat, run, F.lit(1))
-    placed = F.array_sort(F.transform(runs, lambda r, i: F.struct(r.alias("r"), i.alias("i"))))
-    n = F.size(runs)
-    here = F.array(F.lit(0)).cast("array<int>")
-    twins = F.zip_with(
-        F.slice(placed, F.lit(1), n - 1), F.slice(placed, F.lit(2), n - 1),
-        lambda a, b: F.when(a["r"] == b["r"], F.array(a["i"], b["i"])).otherwise(F.slice(here, 1, 0)))
-    places = F.array_sort(F.array_distinct(F.flatten(twins)))
-    steps = F.zip_with(places, F.slice(places, F.lit(2), n),
-                       lambda a, b: F.least(F.coalesce(b - a, F.lit(width)), F.lit(width)))
-    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(F.size(F.array_distinct(runs)) < n, covered).otherwise(F.lit(0).cast("long"))
+    placed = F.sort_array(F.transform(runs, lambda r, i: F.struct(r.alias("r"), i.alias("i"))))
+    none = F.expr("CAST(array() AS array<int>)")
+    ahead = F.slice(placed, F.lit(2), F.col(n))
+    twins = F.zip_with(placed, ahead, lambda a, b: F.when(
+        a["r"] == b["r"], F.array(a["i"], b["i"])).otherwise(none))
+    places = F.sort_array(F.array_distinct(F.flatten(twins)))
+    # Sums of the gaps: the places of a run begin a stretch of width words.
+    return F.aggregate(
+        places, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-width).alias("last")),
+        lambda s, p: F.struct((s["sum"] + F.least(p - s["last"], F.lit(width))).alias("sum"), p.alias("last")),
+        lambda s: s["sum"])
 
 
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id",
@@ -111,6 +114,12 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc
     eight times its size while repeated runs are looked for).
     """
     rows = docs.select(named(key).alias("doc_id"), named(text).cast("string").alias("t"))
+    # Each step is a column of its own, so that no later one works it out again.
+    flat = F.trim(F.regexp_replace("t", SPACES, " "))
+    rows = rows.withColumn("runs", runs_of(flat)).withColumn("n_runs", F.size("runs"))
+    rows = rows.withColumn("again", F.size(F.array_distinct("runs")) < F.col("n_runs"))
+    repeats = F.when(F.col("again"), repeated_words("runs", "n_runs"))
+    rows = rows.withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0))).drop("runs", "n_runs", "again")
     # Each line with its words and the rule by which it fails.
     judged = F.transform(F.split("t", "\n"), lambda x: F.struct(
         x.alias("line"), words_in(x).cast("long").alias("n")))
@@ -122,20 +131,18 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc
         F.filter("lines", keep), F.lit(0).cast("long"), lambda s, x: s + x["n"]), F.lit(0))
     fails = lambda name: F.coalesce(
         F.size(F.filter("lines", lambda x: x["rule"] == name)), F.lit(0))
+    bare = F.length(F.translate("t", " \t\n\x0b\x0c\r", ""))
+    symbols = F.regexp_count("t", F.lit(f"[{_bracket(SYMBOLS)}]"))
     rows = rows.withColumns({
         "n_words": words(lambda x: x["n"] > 0),
         "n_words_left": words(lambda x: x["rule"].isNull()),
         "n_body": words(lambda x: x["rule"].isNull() | (x["rule"] != "boilerplate")),
+        "worded": F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: x["line"]),
+        "word_chars": F.coalesce(bare.cast("long"), F.lit(0)),
+        "n_symbols": F.coalesce(symbols.cast("long"), F.lit(0)),
     })
-    bare = F.length(F.translate("t", " \t\n\x0b\x0c\r", ""))
-    symbols = F.regexp_count("t", F.lit(f"[{_bracket(SYMBOLS)}]"))
-    worded = F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: x["line"])
-    doubled = F.size(worded) - F.size(F.array_distinct(worded))
-    counts = {"word_chars": bare, "n_symbols": symbols, "n_dup_lines": doubled,
-              "n_repeat_words": F.when(F.col("n_words") >= REPEATED, repeated_words(F.col("t")))}
-    rows = rows.withColumns({
-        c: F.when(F.col("t").isNotNull(), v.cast("long")).otherwise(F.lit(0)) for c, v in counts.items()
-    }).withColumn("n_repeat_words", F.coalesce("n_repeat_words", F.lit(0)))
+    doubled = F.size("worded") - F.size(F.array_distinct("worded"))
+    rows = rows.withColumn("n_dup_lines", F.when(F.col("t").isNull(), F.lit(0)).otherwise(doubled).cast("long"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     lost = (F.col("n_body") - F.col("n_words_left") > F.col("n_body") * F.lit(rules.lost)) \
         | (F.col("n_words_left") == 0)

@@ -183,6 +183,19 @@ def captures_by_name(t: Tables) -> DataFrame:
     return captures.read_captures(t.spark, path)
 
 
+@query("S2", "S3", "U1")
+def foreign_captures(t: Tables) -> DataFrame:
+    """CSV as other programs write it, line breaks in quoted texts, read in splits of 64 KB."""
+    path = shared_dir(t.spark, "foreign")
+    rows = project.capture_row(project.parse_posts_json(t.feed.select("value"), "value"))
+    rows.select("id", "text", "lang").coalesce(4).write.options(
+        header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
+        ignoreTrailingWhiteSpace="false").csv(path)
+    small = t.spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    return captures.read_captures(small, path)
+
+
 @query("S4", "K1", "S3")
 def latest_capture(t: Tables) -> DataFrame:
     """Two captures of many files each; the older one is written last."""
@@ -272,17 +285,24 @@ def news_time(t: Tables) -> DataFrame:
 
 @query("S10", "F7", "P8")
 def read_news(t: Tables) -> DataFrame:
-    """Articles written as JSON arrays, one file for each kind of event, and read back."""
+    """Articles written as JSON arrays, one file for each kind of event and 100,000 ids, without line
+    breaks, and read back in splits."""
     path = shared_dir(t.spark, "news")
-    article = F.struct(
+    article = F.to_json(F.struct(
         F.concat_ws(" ", "event_type", "user_id").alias("title"),
         F.date_format("dateTweet", "'x'dd/MM/yyyy").alias("publication_date"),
         F.date_format("dateTweet", "HH:mm").alias("publication_hour"),
-    )
-    by_kind = t.events.groupBy("event_type", F.to_date("dateTweet").alias("day"))
-    by_kind.agg(F.to_json(F.collect_list(article)).alias("value")).repartition(
-        "event_type", "day").select("value", "event_type", "day").write.partitionBy(
-        "event_type", "day").text(path)
+    ))
+    lot = [F.col("event_type"), F.expr("ingest_id div 100000").alias("lot")]
+    ends = t.events.groupBy(*lot).agg(F.min("ingest_id").alias("first"), F.max("ingest_id").alias("last"))
+    placed = t.events.select("*", lot[1]).join(ends, ["event_type", "lot"])
+    signs = F.concat(
+        F.when(F.col("ingest_id") == F.col("first"), "[").otherwise(", "), article,
+        F.when(F.col("ingest_id") == F.col("last"), "]").otherwise(""))
+    placed.select("event_type", "lot", "ingest_id", signs.alias("value")).repartition(
+        "event_type", "lot").sortWithinPartitions("event_type", "lot", "ingest_id").select(
+        "event_type", "lot", "value").write.partitionBy("event_type", "lot").option(
+        "lineSep", " ").text(path)
     news = lists.read_news(t.spark, path)
     return project.news_time(filters.title_contains(news, "signup 1"))
 

@@ -51,11 +51,14 @@ EVENTS = """ev AS (
   FROM events)"""
 POSTS = EVENTS + """, talks AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1),
 posts AS (
-  SELECT ev.*, s.text AS tweet, d.lang, d.source
-  FROM ev JOIN talks t ON t.conv_id = ev.ingest_id % (SELECT count(*) FROM talks)
-  JOIN conversations s ON s.conv_id = t.conv_id
+  SELECT ev.*, coalesce(s.text, w.text) AS tweet, d.lang, d.source
+  FROM ev LEFT JOIN talks t ON ev.ingest_id % 10 <> 0
+    AND t.conv_id = ev.ingest_id % (SELECT count(*) FROM talks)
+  LEFT JOIN conversations s ON s.conv_id = t.conv_id
     AND s.turn = ev.ingest_id // (SELECT count(*) FROM talks) % t.turns
-  JOIN documents d ON d.doc_id = ev.ingest_id % (SELECT count(*) FROM documents))"""
+  LEFT JOIN documents w ON ev.ingest_id % 10 = 0
+    AND w.doc_id = ev.ingest_id // 10 % (SELECT count(*) FROM documents)
+  LEFT JOIN documents d ON d.doc_id = ev.ingest_id % (SELECT count(*) FROM documents))"""
 FEED = POSTS + """, feed AS (
   SELECT *, '#' || event_type || ' ' || tweet AS txt,
          date_trunc('second', "dateTweet") AS sec
@@ -283,6 +286,8 @@ def oracle_sql() -> dict[str, str]:
         SELECT ingest_id AS id, lang, txt AS text, CAST(NULL AS BIGINT) AS user_id
         FROM feed WHERE lang = 'es' UNION ALL
         SELECT ingest_id, NULL, txt, user_id FROM feed WHERE lang <> 'es'"""
+    sql["foreign_captures"] = f"""WITH {FEED}
+        SELECT ingest_id AS id, txt AS text, lang FROM feed"""
     sql["stored_by_day"] = f"""WITH {POSTS}
         SELECT ingest_id, CAST("dateTweet" AS DATE) AS day, tweet FROM posts
         WHERE "dateTweet" >= '{SINCE}' AND "dateTweet" < '{UNTIL}'"""

@@ -11,11 +11,12 @@ from postpulse.sources.lists import roster_handles
 
 
 class Tables:
-    """Stored posts are all ``events``, each with the whole text of a turn of a conversation.
+    """Stored posts are all ``events``, each with a whole text.
 
-    Event, conversation and document ids count from 0 without gaps, and so do the turns of a
-    conversation. Post i has conversation i modulo their number, goes on to its next turn each time
-    round, and has language and source of document i modulo their number.
+    Every tenth post has the text of a document, so very long ones come too: document i / 10 modulo
+    their number. The others have a turn of a conversation: post i has conversation i modulo
+    their number and goes on to its next turn each time round. Language and source are those of
+    document i modulo their number. Where an id is missing the post stays, with nulls.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -28,9 +29,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """Dealt out to the cores, since the test files have too few row groups to share."""
-        rows = self.table("documents").repartition(self.spark.sparkContext.defaultParallelism)
-        return rows.withColumnRenamed("text", "tweet")
+        return spread(self.table("documents")).withColumnRenamed("text", "tweet")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -39,21 +38,27 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
-        # Dealt out to the cores, since the test files have too few row groups to share.
-        events = self.events.repartition(self.spark.sparkContext.defaultParallelism)
         number = F.col("ingest_id") % self.table("documents").count()
         kinds = self.table("documents").select("doc_id", "lang", "source")
-        return self.with_text(events).join(kinds, number == F.col("doc_id")).drop("doc_id")
+        placed = self.with_text(spread(self.events))
+        return placed.join(kinds, number == F.col("doc_id"), "left").drop("doc_id")
 
     def with_text(self, posts: DataFrame) -> DataFrame:
         """Posts (a batch or a stream) with ``tweet``."""
-        said = self.table("conversations")
+        said, docs = self.table("conversations"), self.table("documents")
         turns = said.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-        number = turns.count()
-        placed = posts.withColumn("conv_id", F.col("ingest_id") % number).join(turns, "conv_id")
+        number, size = turns.count(), docs.count()
+        long = F.col("ingest_id") % 10 == 0
+        placed = posts.withColumns({
+            "conv_id": F.when(~long, F.col("ingest_id") % number),
+            "number": F.when(long, F.expr(f"ingest_id div 10 % {size}")),
+        }).join(turns, "conv_id", "left")
         placed = placed.withColumn("turn", F.expr(f"ingest_id div {number}") % F.col("turns"))
-        texts = said.select("conv_id", "turn", F.col("text").alias("tweet"))
-        return placed.join(texts, ["conv_id", "turn"]).drop("conv_id", "turn", "turns")
+        texts = said.select("conv_id", "turn", F.col("text").alias("said"))
+        whole = docs.select(F.col("doc_id").alias("number"), F.col("text").alias("written"))
+        met = placed.join(texts, ["conv_id", "turn"], "left").join(whole, "number", "left")
+        return met.withColumn("tweet", F.coalesce("said", "written")).drop(
+            "conv_id", "turn", "turns", "said", "number", "written")
 
     def roster(self, segment: str) -> DataFrame:
         """Customers of one market segment, listed by ``@name``."""
@@ -67,6 +72,15 @@ class Tables:
         return self.posts.select("ingest_id", raw_json().alias("value"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to the cores where a table has fewer splits than there are cores.
+
+    So only tables of a few splits are shuffled; larger ones share the work as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_posts(events: DataFrame) -> DataFrame:
     """Events table (batch or stream) -> post columns without text."""
     author = F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))

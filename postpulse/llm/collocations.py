@@ -18,11 +18,11 @@ from postpulse.llm.words import PRIME, Words, mixed
 
 LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words of an edge of the graph
-MOST_SLOTS = 28  # log2 of the most counters of pairs; their bits take 32 MB
+MOST_SLOTS = 29  # log2 of the most counters; their bits take 64 MB
 PART = 16  # log2 of the counters in one row
 SPLIT = 256  # edges of a path in one row
 SALT = 64  # portions in which a language's candidates are first ranked
-_HELD = 1 << 23  # slots that a task holds before it hands them on
+_HELD = 1 << 22  # slots that a task holds before it hands them on
 
 # Bytes as they count: A-Z in lower case, ends of pieces as a line break, tab as a space.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -83,7 +83,7 @@ class Pieces:
         starts, ends = w.starts[at], w.ends[at]
         size, like = ends - starts, first[ids]
         padded = np.concatenate([self.data, np.zeros(width, np.uint8)])
-        heads = padded[starts[:, None] + np.arange(width)]
+        heads = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
         heads[np.arange(width) >= size[:, None]] = 0
         heads = heads.view(np.uint64)
         same = bool((size == size[like]).all() and (heads == heads[like]).all())
@@ -197,12 +197,12 @@ def _live_parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
 
 
 def slot_bits(texts: DataFrame, most: int = MOST_SLOTS) -> int:
-    """log2 of the counters: one for 64 bytes of text, 2^``most`` at most.
+    """log2 of the counters: one for 16 bytes of text, 2^``most`` at most.
 
     Beyond that more runs pass, which costs time and changes no result.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max(math.ceil(math.log2(size / 64 + 1)), PART), most)
+    return min(max(math.ceil(math.log2(size / 16 + 1)), PART), most)
 
 
 def frequent_slots(texts: DataFrame, bits: int, least: int, pairs=None) -> np.ndarray:

@@ -167,6 +167,11 @@ def hashtags(col: Column | str) -> Column:
 _REGEX_SIGNS = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
+def is_pattern(keyword: str) -> bool:
+    """Whether a keyword is a regular expression that is more than its own text."""
+    return bool(_REGEX_SIGNS.search(keyword))
+
+
 def contains_keyword(col: Column | str, keyword: str, literal: bool = False) -> Column:
     """Case-sensitive search for ``keyword`` anywhere in the text.
 
@@ -174,7 +179,7 @@ def contains_keyword(col: Column | str, keyword: str, literal: bool = False) ->
     signs is searched as a plain substring, which gives the same and is faster.
     """
     text = F.col(col) if isinstance(col, str) else col
-    if literal or not _REGEX_SIGNS.search(keyword):
+    if literal or not is_pattern(keyword):
         return text.contains(F.lit(keyword))
     return text.rlike(keyword)
 
@@ -190,7 +195,7 @@ def keyword_sql(col: str, keyword: str) -> str:
     Expressions over many keywords are built as one text: composing them column by
     column costs seconds before a job even starts.
     """
-    if _REGEX_SIGNS.search(keyword):
+    if is_pattern(keyword):
         return f"`{col}` RLIKE {sql_text(keyword)}"
     return f"contains(`{col}`, {sql_text(keyword)})"
 

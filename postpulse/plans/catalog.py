@@ -17,13 +17,14 @@ from postpulse.constants import (
 )
 from postpulse.functions import posts as at
 from postpulse.functions import text as tx
-from postpulse.operators import align, filters, project, series, words
+from postpulse.operators import align, filters, keywords, project, series, words
 from postpulse.operators.newest import newest
 from postpulse.plans import report
 from postpulse.plans.tables import Tables, as_posts, feed_text, plain, position
 from postpulse.sources import captures, lists, posts as source, sinks
 from postpulse.streaming.ingest import compact_days, ingest_stream
 from postpulse.streaming.minutes import minute_stream
+from postpulse.streaming.moving import move_counts, moved_counts, moved_weights
 from postpulse.streaming.refresh import refresh_once, refresh_stream, refreshed
 
 # Words that occur in the test tables, then the library's own up to 50.
@@ -415,6 +416,26 @@ def match_keywords(t: Tables) -> DataFrame:
     return series.match_keywords(t.documents, [*TRACK_50, PATTERN]).select("doc_id", "keyword")
 
 
+def _said_words(t: Tables, shortest: int) -> DataFrame:
+    """Words of ``benchmark`` and of first turns as keywords: thousands, more with more data."""
+    texts = t.table("benchmark").select("text").union(
+        t.table("conversations").where("turn = 0").select("text"))
+    said = texts.select(F.explode(tx.split_words("text")).alias("keyword")).distinct()
+    return said.where(F.char_length("keyword") >= shortest)
+
+
+@query("J3")
+def match_many_keywords(t: Tables) -> DataFrame:
+    found = keywords.match_many(t.documents.select("doc_id", "tweet"), _said_words(t, 9))
+    return found.select("doc_id", "keyword")
+
+
+@query("J3", "A7")
+def many_keyword_counts(t: Tables) -> DataFrame:
+    """Posts of each of thousands of keywords, short ones too, and those that are found nowhere."""
+    return keywords.many_doc_counts(t.documents, _said_words(t, 1))
+
+
 @query("J4", "A14")
 def align_news(t: Tables) -> DataFrame:
     timed = t.events.select("ingest_id", "event_type", at.minute_epoch("dateTweet").alias("epoch"))
@@ -701,6 +722,29 @@ def refreshed_words(t: Tables) -> DataFrame:
     return _refreshed(t, "weights").select(F.col("name").alias("word"), "n")
 
 
+def _moved(t: Tables) -> tuple[str, int]:
+    """Words of the newest 4,000 posts over three refreshes of a growing store."""
+    base = shared_dir(t.spark, "moving")
+    sinks.write_posts(t.posts.select("ingest_id", "dateTweet", "tweet"), f"{base}/posts")
+    stored = t.spark.read.parquet(f"{base}/posts")
+    last = stored.agg(F.max("ingest_id")).first()[0]
+    for version, missing in enumerate((3_000, 700, 0)):
+        there = stored.where(F.col("ingest_id") <= last - missing)
+        move_counts(t.spark, there, f"{base}/state", version, 4_000, size=500)
+    return f"{base}/state", version
+
+
+@query("R6", "A10")
+def moving_words(t: Tables) -> DataFrame:
+    counts = moved_counts(t.spark, *_moved(t))
+    return counts.where(tx.is_counted(F.col("word"), STOPWORDS))
+
+
+@query("R6", "A10", "T2")
+def moving_weights(t: Tables) -> DataFrame:
+    return moved_weights(t.spark, *_moved(t), stopwords=STOPWORDS)
+
+
 @query("R3", "R6", "G4")
 def refreshed_dashboard(t: Tables) -> DataFrame:
     """Two refreshes for everyone and a roster whose first snapshot lags behind the others'."""

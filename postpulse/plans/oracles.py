@@ -361,6 +361,13 @@ def oracle_sql() -> dict[str, str]:
         FROM documents JOIN (SELECT unnest({listed(TRACK_50)}) AS keyword) ON contains(text, keyword)
         UNION ALL SELECT doc_id, {lit(PATTERN)} FROM documents
         WHERE {hit('text', lit(PATTERN))}"""
+    said = f"""kw AS (SELECT DISTINCT unnest({split('text')}) AS keyword FROM (
+        SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE turn = 0))"""
+    sql["match_many_keywords"] = f"""WITH {said} SELECT doc_id, keyword
+        FROM documents JOIN kw ON length(keyword) >= 9 AND contains(text, keyword)"""
+    sql["many_keyword_counts"] = f"""WITH {said}
+        SELECT keyword, CAST(count(doc_id) AS BIGINT) AS n
+        FROM kw LEFT JOIN documents ON contains(text, keyword) WHERE keyword <> '' GROUP BY keyword"""
     sql["align_news"] = f"""WITH {EVENTS},
         p AS (SELECT {EPOCH} AS epoch FROM ev WHERE event_type = 'purchase'),
         w AS (SELECT ingest_id, {EPOCH} AS epoch FROM ev WHERE event_type = 'signup'),
@@ -468,6 +475,10 @@ def oracle_sql() -> dict[str, str]:
     sql["refreshed_series"] = updated(UPDATE)
     sql["refreshed_words"] = f"""WITH {POSTS} SELECT * FROM ({frequency('posts', 'tweet')})
         ORDER BY n DESC, word LIMIT {TOP_WORDS}"""
+    window = "(SELECT * FROM posts WHERE ingest_id > (SELECT max(ingest_id) FROM posts) - 4000)"
+    sql["moving_words"] = f"WITH {POSTS} {frequency(window, 'tweet')}"
+    sql["moving_weights"] = f"""WITH {POSTS} SELECT * FROM ({frequency(window, 'tweet')})
+        ORDER BY n DESC, word LIMIT {TOP_WORDS}"""
     member = in_segment("MACHINERY")
     early = f"""({member} AND "dateTweet" < TIMESTAMP '{LAG_AT}'
       OR NOT {member} AND "dateTweet" < TIMESTAMP '{REFRESH_AT}')"""

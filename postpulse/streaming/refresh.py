@@ -44,6 +44,7 @@ def refresh_once(
     ts="dateTweet",
     text="tweet",
     on="screenName",
+    weights: Callable[[int], DataFrame] | None = None,
 ) -> bool:
     """Write the series and weights of refresh ``version`` for everyone and each roster.
 
@@ -52,7 +53,11 @@ def refresh_once(
     than its own last one. Weights are words for everyone and keywords of the kept points for
     rosters; those of an audience whose ``All`` gained no minute are carried over. Returns
     whether any audience did.
+
+    ``weights`` gives (word, n) of a refresh in place of counting the snapshot's words anew, for
+    instance from counts that move on (``moving.move_counts``). It is asked in every refresh.
     """
+    heavy = weights(version) if weights else None
     rosters = rosters or {}
     before = refreshed(spark, state, "series", version - 1)
     marked = mark_listed(snapshot, rosters, on) if rosters else snapshot
@@ -67,7 +72,8 @@ def refresh_once(
     parts = [refreshed(spark, state, "weights", version - 1).where(
         ~F.col("audience").isin(sorted(changed)))]
     if EVERYONE in changed:
-        parts.append(word_weights(snapshot, words, stopwords, text).select(
+        heavy = word_weights(snapshot, words, stopwords, text) if heavy is None else heavy
+        parts.append(heavy.select(
             F.lit(EVERYONE).alias("audience"), F.col("word").alias("name"), "n"))
     listed = after.where(F.col("audience").isin(sorted(changed - {EVERYONE})))
     parts.append(keyword_weights(listed).select("audience", F.col("series").alias("name"), "n"))

@@ -15,6 +15,7 @@ from postpulse.sources.posts import read_posts, stream_lines, stream_posts
 from postpulse.sources.sinks import append_posts
 from postpulse.streaming.ingest import compact_days, ingest_stream, refresh_trigger
 from postpulse.streaming.minutes import minute_stream
+from postpulse.streaming import moving
 from postpulse.streaming.refresh import refresh_once, refresh_stream, refreshed
 from test_filters import raw, without_user
 
@@ -242,3 +243,77 @@ def test_parsed_batch_matches_streamed_text(spark, tmp_path):
     feed(tmp_path / "feed", "1.json", raw(text="uno"))
     batch = spark.read.text(str(tmp_path / "feed"))
     assert flatten_post(parse_posts_json(batch, "value")).first()["tweet"] == "uno"
+
+
+# ---- words of a moving window ------------------------------------------------
+
+def window_words(posts, n):
+    """{word: posts} of the newest n, counted from their texts."""
+    newest_ids = sorted((r.ingest_id for r in posts.select("ingest_id").collect() if r.ingest_id is not None),
+                        reverse=True)[:n]
+    low = newest_ids[-1] if newest_ids else 0
+    return dict(rows(moving.count_window(posts.where(F.col("ingest_id") >= low))))
+
+
+def test_moving_words_equal_recounting(spark, tmp_path):
+    rng = random.Random(2)
+    words = [a + b for a in "wxyz" for b in "abcdefgh"] + ["áé", "#tag"]
+    there = [(i, " ".join(rng.choices(words, k=6))) for i in range(-30, 400)] + [(None, "none")]
+    rng.shuffle(there)
+    state = str(tmp_path / "state")
+    for version, last in enumerate((50, 120, 121, 121, 300, 399, 380)):
+        posts = spark.createDataFrame([r for r in there if r[0] is None or r[0] <= last],
+                                      "ingest_id long, tweet string")
+        for _ in range(1 + version % 2):  # repeated refreshes leave the same
+            read = moving.move_counts(spark, posts, state, version, 100, size=16)
+        got = dict(rows(moving.moved_counts(spark, state, version)))
+        assert got == window_words(posts, 100)
+        if version == 3:
+            assert read == []  # nothing moved
+        if version == 2:
+            # The buckets where the window begins and ends (22 and 121), whole ones between are kept.
+            assert read == [1, 7]
+
+
+def test_moving_words_take_late_posts_and_read_kept_texts_no_more(spark, tmp_path):
+    state = str(tmp_path / "state")
+    posts = [(i, f"a{'xyz'[i % 3]} b") for i in range(0, 100, 2)]
+    frame = lambda rs: spark.createDataFrame(rs, "ingest_id long, tweet string")
+    assert moving.move_counts(spark, frame(posts), state, 0, 500, size=10) == list(range(10))
+    # Another text in a bucket that stays isn't seen, a late post is.
+    changed = [(i, "other" if i == 4 else x) for i, x in posts] + [(51, "late b")]
+    assert moving.move_counts(spark, frame(changed), state, 1, 500, size=10) == [5]
+    got = dict(rows(moving.moved_counts(spark, state, 1)))
+    assert got == window_words(frame([*posts, (51, "late b")]), 500)
+    weights = moving.moved_weights(spark, state, 1, 2, ["b"])
+    assert [r.word for r in weights.collect()] == ["ax", "az"]
+    # Empty store: everything leaves.
+    assert moving.move_counts(spark, frame([]), state, 2, 500, size=10) == []
+    assert moving.moved_counts(spark, state, 2).count() == 0
+
+
+def test_moving_ranges_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    spark.range(0, 2000).selectExpr("id AS ingest_id", "concat('a', id) AS tweet").write.parquet(path)
+    found = spark.read.parquet(path).where(moving._ranges([3, 4, 9], "ingest_id", 100))
+    assert sorted(r[0] for r in found.select("ingest_id").collect()) == [
+        *range(300, 500), *range(900, 1000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ingest_id,300)" in plan and "LessThan(ingest_id,500)" in plan
+
+
+def test_refresh_with_moving_words(spark, tmp_path):
+    frame = [(i, datetime(2024, 1, 1, 0, i % 50), f"red w{'abcdefg'[i % 7]} x", "@a") for i in range(300)]
+    posts = spark.createDataFrame(frame, "ingest_id long, dateTweet timestamp, tweet string, screenName string")
+    plain, moved = str(tmp_path / "plain"), str(tmp_path / "moved")
+    for version, last in enumerate((200, 299)):
+        there = posts.where(F.col("ingest_id") <= last)
+        snapshot = newest(there, 120, "ingest_id")
+
+        def heavy(v, there=there):
+            moving.move_counts(spark, there, f"{moved}/words", v, 120, size=20)
+            return moving.moved_weights(spark, f"{moved}/words", v)
+        refresh_once(spark, snapshot, plain, version, ["red"])
+        refresh_once(spark, snapshot, moved, version, ["red"], weights=heavy)
+    for part in ("series", "weights"):
+        assert rows(refreshed(spark, moved, part, 1)) == rows(refreshed(spark, plain, part, 1))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +24,9 @@ MOST_SLOTS = 29  # log2 of the most counters; their bits take 64 MB
 PART = 16  # log2 of the counters in one row
 SPLIT = 256  # edges of a path in one row
 SALT = 64  # portions in which a language's candidates are first ranked
+OWNERS = 4096  # portions in which runs of words are put together
 _HELD = 1 << 22  # slots that a task holds before it hands them on
+_RUNS = 500_000  # runs that a task holds
 
 # Bytes as they count: A-Z in lower case, ends of pieces as a line break, tab as a space.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -138,7 +142,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch], bits: int, least: int, pairs
                  ) -> Iterator[pa.RecordBatch]:
     """Counts by slot, cut to ``least``, as rows of (part, places in it, counts).
 
-    Of words and pairs; or, with the frequent ones known, of the longer runs along them.
+    Of pairs; or, with the frequent ones known, of the words in them and the longer runs along them.
     """
     kind = np.min_scalar_type(least)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -163,11 +167,10 @@ def _slot_counts(batches: Iterator[pa.RecordBatch], bits: int, least: int, pairs
     size = 0
     for pieces in _pieces(batches):
         word, at, slot = pieces.short(bits)
-        if pairs is None:
-            slot = np.concatenate([word, slot])
-        else:
-            runs = pieces.longer(bits, at[_hit(pairs.value, slot)])
-            slot = np.concatenate([found for _, found in runs])
+        if pairs is not None:
+            live = at[_hit(pairs.value, slot)]
+            runs = pieces.longer(bits, live)
+            slot = np.concatenate([word[live], word[live + 1], *(found for _, found in runs)])
         if not len(slot):
             continue
         held.append(np.unique(slot, return_counts=True))
@@ -206,8 +209,8 @@ def slot_bits(texts: DataFrame, most: int = MOST_SLOTS) -> int:
 
 
 def frequent_slots(texts: DataFrame, bits: int, least: int, pairs=None) -> np.ndarray:
-    """The slots, as bits, of all words and pairs that may come ``least`` times, or of all runs of three
-    to five words along frequent pairs.
+    """The slots, as bits, of all pairs that may come ``least`` times; or, with those known, of the words
+    in them and of all runs of three to five words along them that may.
 
     Every run counts in the slot of its hash; slots that stay under ``least`` hold no frequent one.
     """
@@ -224,6 +227,21 @@ def frequent_slots(texts: DataFrame, bits: int, least: int, pairs=None) -> np.nd
 
 def _longest_grams(batches: Iterator[pa.RecordBatch], bits: int, pairs, runs
                    ) -> Iterator[pa.RecordBatch]:
+    """Counts of the longest runs, added up over a task: rows of (part, langs, grams, counts)."""
+    held: Counter = Counter()
+
+    def rows():
+        parts: dict[int, tuple[list, list, list]] = {}
+        for (lang, gram), n in held.items():
+            part = zlib.crc32(f"{lang}:{gram}".encode("utf-8", "replace")) % OWNERS
+            for column, x in zip(parts.setdefault(part, ([], [], [])), (lang, gram, n), strict=True):
+                column.append(x)
+        kinds = (pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(parts), pa.int64()),
+             *(pa.array([p[i] for p in parts.values()], pa.list_(k)) for i, k in enumerate(kinds))],
+            ["part", "langs", "grams", "counts"])
+
     for pieces in _pieces(batches):
         word, at, slot = pieces.short(bits)
         live = at[_hit(pairs.value, slot)]
@@ -238,35 +256,59 @@ def _longest_grams(batches: Iterator[pa.RecordBatch], bits: int, pairs, runs
                 break
             passed = _hit(runs.value, slot)
             reach[at[passed]] += 1
-        lang, gram, size, count = pieces.longest(np.nonzero(_hit(pairs.value, word))[0], reach)
+        lang, gram, _, count = pieces.longest(np.nonzero(_hit(runs.value, word))[0], reach)
+        for key, n in zip(zip(lang, gram, strict=True), count, strict=True):
+            held[key] += n
         for k, n in enumerate(np.bincount(pieces.lang, minlength=len(pieces.langs)).tolist()):
-            lang.append(pieces.langs[k])
-            gram.append("")
-            size.append(0)
-            count.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(size, pa.int32()),
-             pa.array(count, pa.int64())], ["lang", "gram", "size", "n"])
+            held[pieces.langs[k], ""] += n
+        if len(held) > _RUNS:
+            yield rows()
+            held.clear()
+    yield rows()
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: the counts of each are added up and handed on."""
+    at, sums = None, Counter()
+
+    def found():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()),
+             pa.array([k[1].count(" ") + 1 if k[1] else 0 for k in sums], pa.int32()),
+             pa.array(list(sums.values()), pa.int64())], ["lang", "gram", "size", "n"])
+
+    for batch in batches:
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            if part != at:
+                if sums:
+                    yield found()
+                at, sums = part, Counter()
+            langs, grams, counts = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+            for lang, gram, n in zip(langs, grams, counts, strict=True):
+                sums[lang, gram] += n
+    yield found()
 
 
 def longest_grams(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang"
                   ) -> DataFrame:
     """Edges of the graph and ends of pieces: (lang, gram, size, n); size 0 counts all words.
 
-    From every word that may be frequent the longest run of up to five words that may be too, within
-    its piece, is one count. Runs of five are edges, from the node of their first four words to the node of their
+    From every word that stands in a pair that may be frequent, the longest run of up to five words that
+    may be frequent, within its piece, is one count. Runs of five are edges, from the node of their first four words to the node of their
     last four; shorter ones are ends. What begins a frequent phrase is frequent too, so each
     occurrence of a phrase that comes ``least`` times is the beginning of exactly one such run.
-    Counters tell in two passes what may be frequent: words and pairs, then longer runs along them.
+    Counters tell in two passes what may be frequent: pairs, then longer runs along them. Words of no
+    such pair are part of no frequent phrase and count in the language's total only.
     """
     texts = docs.select(F.coalesce(named(lang).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(named(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     bits, share = slot_bits(texts), docs.sparkSession.sparkContext.broadcast
     pairs = share(frequent_slots(texts, bits, least))
     runs = share(frequent_slots(texts, bits, least, pairs))
-    found = in_tasks(texts, partial(_longest_grams, bits=bits, pairs=pairs, runs=runs),
-                     "lang string, gram string, size int, n long")
-    return found.groupBy("lang", "gram", "size").agg(F.sum("n").alias("n"))
+    counted = in_tasks(texts, partial(_longest_grams, bits=bits, pairs=pairs, runs=runs),
+                       "part long, langs array<string>, grams array<string>, counts array<long>")
+    owned = counted.repartition("part").sortWithinPartitions("part")
+    return in_tasks(owned, _put_together, "lang string, gram string, size int, n long")
 
 
 def _first(gram: str | Column, k: int) -> Column:
@@ -315,8 +357,8 @@ def unary_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang"
                   ) -> DataFrame:
-    """Occurrences of every word and phrase of up to 5 words that comes ``least`` times: (lang, phrase,
-    size, f). Size 0: the empty phrase, all words of the language.
+    """Occurrences of every phrase of 2 to 5 words that comes ``least`` times and of the words in them:
+    (lang, phrase, size, f). Size 0: the empty phrase, all words of the language.
 
     A phrase's count is the flow of the runs that begin with it: edges along the paths, and ends
     of pieces for what no edge covers.

@@ -339,3 +339,45 @@ def test_top_k_small_tables(spark):
     assert sorted(map(tuple, search.top_k(table).collect())) == [(0, 1, 1, 2 ** 21), (0, 2, 2, -3 * 2 ** 20)]
     assert search.top_k(table.limit(0)).count() == 0
     assert search.top_k(table.where("vec_id = 0")).count() == 0
+
+
+def top_brute(rows, k, every):
+    """(query, rank, row, score) with Python's integers."""
+    whole = {i: [int(x) * 1024 if abs(x) >= 2 ** 52 else math.floor(1024 * x) for x in v] for i, v in rows}
+    out = []
+    for q, v in whole.items():
+        if q % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in whole.items() if i != q)
+            out += [(q, n + 1, i, max(min(-s, 2 ** 63 - 1), -2 ** 63)) for n, (s, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard", [4, 4096])
+@pytest.mark.parametrize("size", [1e3, 3e6, 1e10, 1e18, 1e200])
+def test_top_k_of_large_components(spark, shard, size):
+    rng = random.Random(int(math.log10(size)))
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1e10, 0.0, 0.0]), (2, [3e6, 0.0, 0.0]), (3, [2e10, 0.0, 0.0])]
+    rows += [(i, [rng.choice([rng.gauss(0, size), rng.gauss(0, 1), float(rng.randint(-3, 3))]) for _ in range(3)])
+             for i in range(4, 40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, search.top_k(table, 5, 10, shard=shard).collect()))
+    assert got == top_brute(rows, 5, 10)
+
+
+def test_scores_beyond_64_bits_are_in_order():
+    scores = [s * 10 ** e + d for s in (1, -1) for e in (0, 18, 19, 20, 40) for d in (0, 1)] + [2 ** 63 - 1, -2 ** 63, 2 ** 63]
+    key = lambda s: (search.score_order(s), max(min(s, 2 ** 63 - 1), -2 ** 63))
+    assert sorted(scores, key=key) == sorted(scores)
+
+
+def test_hot_key_is_spread(spark):
+    """A third of the rows is one key, with many texts; they go to all partitions alike."""
+    rows = [(1, f"t{i}", "src0") for i in range(10_000)] + [(i, f"u{i}", "src1") for i in range(2, 20_002)]
+    found = mixing.replicate(frame(spark, rows), {"src0": 1.0, "src1": 2.0})
+    sizes = sorted(r["n"] for r in found.repartition(1).groupBy(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(8))).agg(F.count(F.lit(1)).alias("n")).collect())
+    assert sizes[-1] < 2 * sizes[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "Python" not in plan
+    spot = [r[0] for r in found.where("doc_id = 1").select("text").distinct().limit(50).collect()]
+    assert len(spot) > 20

@@ -66,7 +66,8 @@ def replicate(docs: DataFrame, weights: dict[str, float], *, rest: float = 0.0,
     get the same number each. An empty table gives an empty table.
 
     The rates are numbers in the plan, so no source, however large, is gathered anywhere; copies
-    are dealt out by a hash of key and copy number.
+    are dealt out by a hash of key, text and copy number, and partitions that equal rows make large
+    are split as they are read.
     """
     mean = rates(docs, weights, rest=rest, total=total, source=source, text=text)
     base = docs.drop(*[c for c in docs.columns if c.lower() == copy.lower()])
@@ -84,6 +85,8 @@ def replicate(docs: DataFrame, weights: dict[str, float], *, rest: float = 0.0,
     rows = copies.select(
         *map(named, base.columns), F.explode(F.sequence(F.lit(1), named(drawn))).alias(copy)
     )
-    place = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), identity, named(copy)).cast("binary"))
+    place = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), identity, F.xxhash64(named(text)), named(copy))
+                  .cast("binary"))
     spot = fresh(rows, "_place")
-    return rows.withColumn(spot, place).repartition(spot).sortWithinPartitions(spot).drop(spot)
+    dealt = rows.withColumn(spot, place).hint("rebalance", named(spot))
+    return dealt.sortWithinPartitions(spot).drop(spot)

@@ -17,6 +17,8 @@ from postpulse.llm.common import fresh, in_tasks, joined_bytes, named, slices
 
 ORDER = 3  # bytes of the longest context
 DOCS = 400  # per language that the trees are grown from, whole texts
+LANGUAGES = 32  # that are learned, those with the most documents
+SALT = 16  # portions in which a language's keys are first ranked
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
@@ -28,20 +30,31 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def training_rows(docs: DataFrame, learn: Column, per_language: int, key: str, text: str,
-                  lang: str) -> DataFrame:
-    """At most ``per_language`` rows of each language, those of the smallest hashes of the key.
-
-    Only ids and languages are ranked (and ranked partially before the shuffle); texts are
-    fetched for the rows chosen.
+                  lang: str, languages: int = LANGUAGES) -> DataFrame:
+    """Whole texts of at most ``per_language`` keys of each language, those of the smallest hashes.
+
+    A key counts once however often it is repeated, with one of its texts, the one of the smallest
+    digest. Of more than ``languages`` different values of ``lang`` (a documented bound; dirty columns
+    can hold any number) those with the most keys are learned, ties by name. Only ids and languages
+    are ranked, in portions first, so that what one task ranks doesn't grow with the corpus; texts
+    are fetched for the rows chosen.
     """
-    ids = docs.where(learn & named(lang).isNotNull() & named(text).isNotNull()).select(
-        named(key).cast("string").alias("k"), named(lang).alias("l"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    chosen = chosen.select("k", "l").distinct()
-    rows = docs.where(learn).select(named(key).cast("string").alias("k"), named(lang).alias("l"),
-                                    named(text).cast("binary").alias("text"))
-    return rows.join(F.broadcast(chosen), ["k", "l"])  # bounded by per_language and languages
+    known = docs.where(learn & named(lang).isNotNull() & named(text).isNotNull())
+    ids = known.select(named(key).cast("string").alias("k"), named(lang).alias("l")).distinct()
+    common = ids.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages)
+    at = F.xxhash64("k")
+    first = ids.join(F.broadcast(common.select("l")), "l").withColumn("s", F.pmod(at, F.lit(SALT)))
+    first = first.withColumn("n", F.row_number().over(
+        Window.partitionBy("l", "s").orderBy(at, "k"))).where(F.col("n") <= per_language)
+    chosen = first.withColumn("n", F.row_number().over(
+        Window.partitionBy("l").orderBy(at, "k"))).where(F.col("n") <= per_language).select("k", "l")
+    rows = known.select(named(key).cast("string").alias("k"), named(lang).alias("l"),
+                        named(text).cast("binary").alias("text"))
+    same = F.col("k").eqNullSafe(F.col("_k")) & (F.col("l") == F.col("_l"))
+    wanted = F.broadcast(chosen.select(F.col("k").alias("_k"), F.col("l").alias("_l")))
+    met = rows.join(wanted, same)  # per_language times languages keys at most
+    one = met.groupBy("k", "l").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    return one
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +176,10 @@ def code_lengths(model: ContextTrees, data: np.ndarray, ends: np.ndarray) -> np.
     return sums
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The text comes last; ``names`` are those of text, language and score."""
     trees = model.value
-    for batch in slices(batches, "_text", _PIECE):
+    for batch in slices(batches, names[0], _PIECE):
         data, ends = joined_bytes(batch.column(batch.num_columns - 1))
         texts = batch.column(batch.num_columns - 1)
         bits = code_lengths(trees, data, ends)
@@ -180,7 +194,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         kept = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays(
             [*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-            [*batch.schema.names[:-1], "_lang", "_score"])
+            [*batch.schema.names[:-1], *names[1:]])
 
 
 def train(docs: DataFrame, learn: Column, per_language: int = DOCS, key: str = "doc_id",
@@ -204,17 +218,16 @@ def identify(docs: DataFrame, model: ContextTrees | None, carry: list[str], text
     ``und`` with score 0: null text, no letter, or no language learned. Repeated rows get
     the same answer; an empty table gives an empty one.
     """
-    rows = docs.select(*map(named, carry), named(text).cast("binary").alias("_text"))
+    names = [fresh(docs, n) for n in ("_text", "_lang", "_score")]
+    rows = docs.select(*map(named, carry), named(text).cast("binary").alias(names[0]))
+    blank = [F.lit(UNKNOWN).alias(names[1]), F.lit(0.0).alias(names[2])]
     if model is None:
-        told = rows.select(*map(named, carry), F.lit(UNKNOWN).alias("_lang"),
-                           F.lit(0.0).alias("_score"))
+        told = rows.select(*map(named, carry), *blank)
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        schema = rows.select(*map(named, carry), F.lit("").alias("_lang"),
-                             F.lit(0.0).alias("_score")).schema
-        told = in_tasks(rows, partial(_predict, model=shared), schema)
-    return told.select(*map(named, carry), F.col("_lang").alias(out[0]),
-                       F.col("_score").alias(out[1]))
+        schema = rows.select(*map(named, carry), *blank).schema
+        told = in_tasks(rows, partial(_predict, model=shared, names=names), schema)
+    return told.select(*map(named, carry), named(names[1]).alias(out[0]), named(names[2]).alias(out[1]))
 
 
 def language_id(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int = DOCS,
@@ -233,7 +246,11 @@ def language_id(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: in
 
 def keep_known(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int = DOCS,
                key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is told (not ``und``)."""
+    """The rows of ``docs``, all columns, whose language is told (not ``und``).
+
+    Null texts and texts without a letter go, and all rows where no language was learned. Repeated rows
+    and null keys are judged each; an empty table gives an empty one; any column names may occur.
+    """
     part = remainder(named(key), folds)
     model = train(docs, part != fold, per_language, key, text, lang)
     told, score = fresh(docs, "_told"), fresh(docs, "_sure")

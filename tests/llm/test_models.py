@@ -94,6 +94,35 @@ def test_training_rows_are_bounded(spark):
     assert {r["count"] for r in rows.groupBy("l").count().collect()} == {7}
 
 
+def test_training_takes_keys_once(spark):
+    """A row repeated 3,000 times, and a key with several texts."""
+    docs = spark.createDataFrame(
+        [(1, "same", "en")] * 3000 + [(2, t, "en") for t in ("b", "a", "c")]
+        + [(i, f"text {i}", "en") for i in range(3, 60)] + [(None, "null", "en")] * 3,
+        "doc_id long, text string, lang string")
+    rows = language.training_rows(docs, F.lit(True), 500, "doc_id", "text", "lang").collect()
+    assert len(rows) == 60 and len({r.k for r in rows}) == 60
+    assert language.training_rows(docs, F.lit(True), 20, "doc_id", "text", "lang").count() == 20
+
+
+def test_many_values_in_lang(spark):
+    """1,000 dirty values: only the most common ones are learned, however many there are."""
+    dirty = [(i, f"word{i} other", f"x{i % 1000:03d}") for i in range(3000)]
+    docs = spark.createDataFrame(dirty + [(10_000 + i, "plain words here", "en") for i in range(50)],
+                                 "doc_id long, text string, lang string")
+    rows = language.training_rows(docs, F.lit(True), 400, "doc_id", "text", "lang", languages=4)
+    assert {r.l for r in rows.select("l").distinct().collect()} == {"en", "x000", "x001", "x002"}
+    model = language.train(docs, F.lit(True), 2)
+    assert len(model.langs) == language.LANGUAGES and model.bits.nbytes < 50e6
+
+
+def test_language_keeps_any_column_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr(
+        "*", "1 AS _text", "2 AS _lang", "3 AS _score", "4 AS _told", "5 AS k", "6 AS l")
+    kept = language.keep_known(docs)
+    assert kept.columns == docs.columns and kept.where("_text = 1 AND _lang = 2 AND _score = 3").count() == kept.count() > 0
+
+
 def features_brute(text):
     kinds, n = quality.KINDS, quality.N_KINDS
     data = text.encode()

@@ -74,7 +74,8 @@ def _grow(batches: Iterator[pa.RecordBatch], limit: int, owner: bool) -> Iterato
 
 def text_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 limit: int = TRIE_BYTES) -> DataFrame:
-    """One row per distinct normalised text: text_sha256, keep_id, group_size.
+    """One row per distinct normalised text: text_sha256, keep_id, group_size, chars (of the row that
+    stays).
 
     Each task first inserts its own rows into a trie, so copies within it meet before any
     shuffle and a hot text leaves a task once. The terminals go to owners by length and content
@@ -92,7 +93,8 @@ def text_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), "id"))
     return met.groupBy(F.col("sha").alias("text_sha256")).agg(
         best.alias("best"), F.sum("n").alias("group_size")
-    ).select("text_sha256", F.col("best.id").alias("keep_id"), "group_size")
+    ).select("text_sha256", F.col("best.id").alias("keep_id"), "group_size",
+             (-F.col("best.c")).alias("chars"))
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -116,13 +118,19 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text",
                limit: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; repeated rows of a key that stays become one."""
-    sha, who = fresh(docs, "_sha"), fresh(docs, "_who")
+    """The rows of ``docs`` that stay, all columns: one for each group of equal texts.
+
+    Where several rows of a group have the key that stays, it is one of those with the longest text;
+    rows that are equal in key, text and length become one. Null keys and null texts count as
+    in ``exact_groups``. An empty table gives an empty one; other columns keep their names and values.
+    """
+    sha, who, size = fresh(docs, "_sha"), fresh(docs, "_who"), fresh(docs, "_size")
     text_key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     stay = text_groups(docs, key, text, limit).select(
-        F.col("text_sha256").alias(sha), text_key(F.col("keep_id")).alias(who))
+        F.col("text_sha256").alias(sha), text_key(F.col("keep_id")).alias(who), F.col("chars").alias(size))
     marked = docs.withColumns({
-        sha: F.sha2(normalised(named(text)).cast("binary"), 256), who: text_key(named(key))})
+        sha: F.sha2(normalised(named(text)).cast("binary"), 256), who: text_key(named(key)),
+        size: F.coalesce(F.char_length(named(text)), F.lit(0)).cast("long")})
     # Joined by key and digest: the copies of a hot text go to different tasks.
-    met = marked.join(stay, [who, sha])
+    met = marked.join(stay, [who, sha, size])
     return met.dropDuplicates([who, sha]).select(*map(named, docs.columns))

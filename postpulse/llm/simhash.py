@@ -43,7 +43,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
     for batch in batches:
         found = [fingerprint(v.as_py(), words) for v in batch.column(1)]
         prints = np.array(found, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["id", "fp"])
+        kept = [batch.column(0), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(prints)], [batch.schema.names[0], *batch.schema.names[2:], "fp"])
 
 
 def covering(radius: int, places: list[int]) -> list[int]:
@@ -150,9 +152,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, key: str = "do
                        named(text).cast("binary").alias("text"))
     each = written(in_tasks(rows, partial(_fingerprints, words=words), "id long, fp long"), "prints")
     nodes = each.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(nodes, radius, crowded))
-    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = _rooted(nodes, radius, crowded)
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named_nodes = known.join(least, "root").select("fp", "component_id")
     return each.join(named_nodes, "fp").select(
@@ -160,16 +160,33 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, key: str = "do
         "component_id")
 
 
+def _rooted(nodes: DataFrame, radius: int, crowded: int) -> DataFrame:
+    """Fingerprints ``fp`` with ``first`` and the root of their component."""
+    roots = components(links(nodes, radius, crowded))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_first(docs: DataFrame, words: int = 3, radius: int = 2, key: str = "doc_id",
-               text: str = "text") -> DataFrame:
-    """The rows of the smallest key of each component, with all their columns.
+               text: str = "text", crowded: int = CROWDED) -> DataFrame:
+    """One row of each component, with all its columns.
 
-    Components of null keys only keep all their rows.
+    That of the smallest key, a null key last; of several texts of one key, in a component, the one
+    of the smallest digest; rows equal in key and text become one. So each component keeps exactly
+    one row, whatever keys are null or repeated. Null texts are empty ones. An empty table gives an
+    empty one; other columns keep their names and values.
     """
-    stays = fresh(docs, "_stays")
-    groups = near_groups(docs, words, radius, key, text)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias(stays)).distinct()
-    kept = docs.join(first, named(key) == named(stays), "left_semi")
-    lone = groups.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).limit(1)
-    return kept if lone.isEmpty() else kept.union(docs.where(named(key).isNull()))
+    mark = F.sha2(F.coalesce(named(text).cast("string"), F.lit("")).cast("binary"), 256)
+    rows = docs.select(named(key).cast("long").alias("id"), named(text).cast("binary").alias("text"),
+                       mark.alias("mark"))
+    each = written(in_tasks(rows, partial(_fingerprints, words=words),
+                            "id long, mark string, fp long"), "prints")
+    own = F.struct(F.col("id").isNull().alias("z"), "id", "mark")
+    known = _rooted(each.groupBy("fp").agg(F.min(own).alias("first")), radius, crowded)
+    best = known.groupBy("root").agg(F.min("first").alias("first"))
+    who, what = fresh(docs, "_who"), fresh(docs, "_what")
+    text_key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    first = best.select(text_key(F.col("first.id")).alias(who), F.col("first.mark").alias(what))
+    marked = docs.withColumns({who: text_key(named(key).cast("long")), what: mark})
+    met = marked.join(first, [who, what], "left_semi")
+    return met.dropDuplicates([who, what]).select(*map(named, docs.columns))

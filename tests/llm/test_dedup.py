@@ -178,6 +178,31 @@ def test_near_edge_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {2, 5, None}
 
 
+A, B = "a b c d e f g", "p q r s t u v"
+
+
+@pytest.mark.parametrize("rows, kept", [
+    ([(1, A), (None, A), (None, B)], [(1, A), (None, B)]),
+    ([(1, A), (2, A), (2, B), (3, B)], [(1, A), (2, B)]),
+    ([(None, A), (None, A), (None, A)], [(None, A)]),
+    ([(4, A), (4, A), (4, B), (4, None), (5, ""), (5, " ")], [(4, A), (4, B), (4, None)]),
+    ([(7, A), (7, A + "\n"), (8, A + " ")], [(7, min(A, A + "\n", key=lambda t: sha256(t.encode()).hexdigest()))]),
+])
+def test_near_keeps_one_row_of_each_component(spark, rows, kept):
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = simhash.keep_first(docs.selectExpr("*", "1 AS id", "2 AS mark", "3 AS _who", "4 AS _what"))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(kept, key=str)
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_exact_keeps_the_longest_of_a_key(spark):
+    rows = [(1, "a b"), (1, "a  b "), (1, "ab"), (2, "ab"), (None, "a   b"), (3, "a   b ")]
+    docs = frame(spark, [t for _, t in rows[:4]], [i for i, _ in rows[:4]])
+    assert [(r.doc_id, r.text) for r in exact.keep_first(docs).collect()] == [(1, "a  b ")]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert [(r.doc_id, r.text) for r in exact.keep_first(docs).collect()] == [(3, "a   b ")]
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(5, 5)], "a long, b long")
     found = dict(map(tuple, components(chain).collect()))

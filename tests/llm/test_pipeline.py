@@ -53,6 +53,43 @@ def test_run_writes_every_stage(spark):
     assert found.count() > 0
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark):
+    """Null and repeated keys, null and empty texts, repeated rows, among some ordinary ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    text = docs.orderBy("doc_id").first().text
+    rows = [(None, text, "en", "src1", 1)] * 3 + [(None, "another text of words", "en", None, 1), (None, None, None, None, None),
+            (3, "other words for a known key", "en", "new", 1), (3, "other words for a known key", "en", "new", 1),
+            (9001, "", "en", "src1", 0), (9002, None, "en", "src1", 0), (9003, "word " * 20_000, "en", "src2", 1)]
+    return docs.union(spark.createDataFrame(rows, ODD))
+
+
+def test_stages_on_odd_tables(spark):
+    clashing = ["copy", "_text", "_lang", "_score", "_sha", "_who", "_size", "_what", "mark", "fp", "id", "_place", "_drawn"]
+    docs = odd_documents(spark).selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(clashing)])
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, SF).cache()
+        sizes.append(docs.count())
+        if name != "pack":
+            assert docs.columns == columns
+            assert docs.where(" AND ".join(f"{c} = {i}" for i, c in enumerate(clashing))).count() == sizes[-1]
+        if name == "near_dedup":
+            assert docs.select("doc_id", "text").distinct().count() == sizes[-1]
+            assert simhash.near_groups(docs).select("fingerprint").distinct().count() == sizes[-1]
+    assert min(sizes) > 0 and sizes[0] >= sizes[1] >= sizes[2]
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
 def test_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
     assert len(names) == 13 and "pipeline" in entry.queries()

@@ -70,8 +70,8 @@ def _accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def strip_accents(col: Column | str, origin: Column | str | None = None) -> Column:
     """Remove combining marks, also those inside composed characters (``ñ`` -> ``n``).
 
-    Works character by character: letters stored as separate parts other than
-    combining marks (decomposed Hangul) are not joined.
+    What is left is composed again: letters stored as separate parts other than combining marks
+    (decomposed Hangul, vowel signs in two parts) come out as one character.
 
     Text of ASCII only is left alone. When ``col`` is a long expression, give as
     ``origin`` the column it is made from, so the test does not evaluate it again.
@@ -80,7 +80,87 @@ def strip_accents(col: Column | str, origin: Column | str | None = None) -> Colu
     source, target, multi = _accent_table()
     spelled = reduce(lambda c, m: F.replace(c, F.lit(m[0]), F.lit(m[1])), multi, text)
     ascii_only = _is_ascii(text if origin is None else origin)
-    return F.when(ascii_only, text).otherwise(F.translate(spelled, source, target))
+    bare = F.translate(spelled, source, target)
+    return F.when(ascii_only, text).otherwise(composed(bare, text if origin is None else origin))
+
+
+# First and last leading consonant, vowel, trailing consonant, and syllable of Hangul (fixed values).
+_LEAD, _VOWEL, _TAIL, _SYLLABLE = (0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), (0xAC00, 0xD7A3)
+_VOWELS, _TAILS = 21, 28  # vowels for each consonant; endings for each pair of them, with none
+
+
+@lru_cache(maxsize=1)
+def _joined_parts() -> tuple[tuple[str, str], ...]:
+    """(parts, character) of composed characters without combining marks, from the Unicode database.
+
+    Hangul isn't among them, which is composed by arithmetic.
+    """
+    found = []
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        if not unicodedata.decomposition(char) or unicodedata.normalize("NFC", char) != char:
+            continue
+        parts = unicodedata.normalize("NFD", char)
+        if len(parts) > 1 and not any(unicodedata.category(c) == "Mn" for c in parts):
+            found.append((parts, char))
+    return tuple(found)
+
+
+def composed(text: Column, origin: Column | str) -> Column:
+    """Canonical composition of a text without combining marks.
+
+    Only texts whose ``origin`` holds a part that can be joined to what stands before it are looked
+    into; all others are left as they are. Parts of Hangul syllables are joined by their numbers: each
+    character looks at the two before and the two behind it, so the work grows with the text.
+    """
+    pairs, raw = _joined_parts(), F.col(origin) if isinstance(origin, str) else origin
+    seconds = "".join(sorted({p[-1] for p, _ in pairs}))
+    jamo = "{}-{}{}-{}".format(*map(chr, (*_VOWEL, *_TAIL)))
+
+    # Two ranges tell most texts at once; the many single signs are slower to look for.
+    planes = [sorted(c for c in seconds + chr(_VOWEL[0]) if (c > "\uffff") == far) for far in (False, True)]
+    wide = "".join(f"{p[0]}-{p[-1]}" for p in planes if p)
+
+    def one(x: Column) -> Column:
+        joined = reduce(lambda c, m: F.replace(c, F.lit(m[0]), F.lit(m[1])), pairs, x)
+        found = raw.rlike(f"[{wide}]") & raw.rlike(f"[{jamo}{seconds}]")
+        return F.when(found, _syllables(joined)).otherwise(x)
+
+    # As a lambda over one value: the long expression, rarely needed, stays out of the compiled code
+    # of all other texts, and ``text`` is worked out once.
+    return F.get(F.transform(F.array(text), one), F.lit(0))
+
+
+def _syllables(text: Column) -> Column:
+    def within(c: Column, ends: tuple[int, int]) -> Column:
+        return c.between(*ends)
+
+    def character(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def joined(five: Column) -> Column:
+        before2, before, here, after, after2 = (five[str(i)] for i in range(5))
+        number = lambda c: F.coalesce(F.ascii(c), F.lit(0)).cast("long")
+        b2, b, h, a, a2 = map(number, (before2, before, here, after, after2))
+        open_syllable = lambda c: within(c, _SYLLABLE) & ((c - _SYLLABLE[0]) % _TAILS == 0)
+        ending = lambda c: F.when(within(c, _TAIL), c - _TAIL[0] + 1).otherwise(F.lit(0))
+        pair = ((h - _LEAD[0]) * _VOWELS + (a - _VOWEL[0])) * _TAILS + _SYLLABLE[0]
+        taken = (within(h, _VOWEL) & within(b, _LEAD)) | (within(h, _TAIL) & (
+            open_syllable(b) | (within(b, _VOWEL) & within(b2, _LEAD))))
+        return (F.when(taken, F.lit(""))
+                .when(within(h, _LEAD) & within(a, _VOWEL), character(pair + ending(a2)))
+                .when(open_syllable(h) & within(a, _TAIL), character(h + ending(a)))
+                .otherwise(here))
+
+    # Neighbours come as columns of one zipped array, not by looking places up.
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    blank = F.array(F.lit(""))
+    shifted = [F.concat(blank, blank, chars), F.concat(blank, chars), chars,
+               F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(1))),
+               F.slice(chars, F.lit(3), F.greatest(F.size(chars), F.lit(1)))]
+    zipped = F.arrays_zip(*shifted)
+    near = F.filter(zipped, lambda z: z["2"].isNotNull())
+    return F.array_join(F.transform(near, joined), "")
 
 
 def _is_ascii(col: Column | str) -> Column:
@@ -104,7 +184,7 @@ def _plain(col: Column | str) -> Column:
     # the digits go in the same pass.
     source, target, _ = _accent_table()
     bare = F.translate(blanked, source[: len(target)] + "0123456789", target)
-    return F.lower(F.when(_is_ascii(col), F.regexp_replace(blanked, "[0-9]+", "")).otherwise(bare))
+    return F.lower(F.when(_is_ascii(col), F.regexp_replace(blanked, "[0-9]+", "")).otherwise(composed(bare, col)))
 
 
 def normalize_text(col: Column | str) -> Column:

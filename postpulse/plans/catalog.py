@@ -585,6 +585,18 @@ def strip_accents(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.strip_accents("tweet").alias("tweet"))
 
 
+# Letters that stand for parts of Hangul syllables, consonants in front, vowels, endings.
+PARTS = ("bcdfgaeiourstnl", "".join(map(chr, [
+    *range(0x1100, 0x1105), *range(0x1161, 0x1166), *range(0x11A8, 0x11AD)])))
+
+
+@query("N1", "N2")
+def composed_hangul(t: Tables) -> DataFrame:
+    """Texts in parts of syllables, with marks between some of them."""
+    parts = F.translate(F.lower("tweet"), *PARTS)
+    return t.documents.select("doc_id", tx.strip_accents(F.regexp_replace(parts, "h", "\u0301")).alias("tweet"))
+
+
 @query("N3")
 def strip_handles_urls(t: Tables) -> DataFrame:
     html = t.table("pages")

@@ -22,6 +22,7 @@ from postpulse.plans.catalog import (
     BOX,
     BROKEN,
     LAG_AT,
+    PARTS,
     PATTERN,
     REFRESH_AT,
     SANTIAGO,
@@ -430,6 +431,8 @@ def oracle_sql() -> dict[str, str]:
     sql["normalize_text"] = f"SELECT doc_id, {normal('text')} AS words FROM documents"
     sql["normalize_conversations"] = f"""SELECT conv_id, turn, {normal('text')} AS words
         FROM conversations"""
+    parts = f"replace(translate(lower(text), {lit(PARTS[0])}, {lit(PARTS[1])}), 'h', chr(769))"
+    sql["composed_hangul"] = f"SELECT doc_id, strip_accents({parts}) AS tweet FROM documents"
     sql["strip_accents"] = "SELECT doc_id, strip_accents(text) AS tweet FROM documents"
     sql["strip_handles_urls"] = f"""SELECT page_id, {replaced('html', HANDLE_URL, '')} AS html
         FROM pages"""

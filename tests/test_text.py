@@ -173,3 +173,23 @@ def test_any_keyword_first(spark):
     df = spark.createDataFrame([("uno",), ("dos",), ("tres",)], "tweet string")
     assert rows(df.where(tx.any_keyword("tweet", ["uno", "dos", "tres"], first=2))) == [
         ("dos",), ("uno",)]
+
+
+def test_all_hangul_is_composed(spark):
+    """Every syllable in parts, alone and with parts around that join with nothing."""
+    syllables = [chr(c) for c in range(0xAC00, 0xD7A4)]
+    parts = [unicodedata.normalize("NFD", c) for c in syllables]
+    half = [c + p[2:] for c, p in zip(
+        [unicodedata.normalize("NFC", p[:2]) for p in parts], parts, strict=True)]
+    df = spark.createDataFrame([("".join(x),) for x in (syllables, parts, half)], "t string")
+    assert [r[0] for r in df.select(tx.strip_accents("t")).collect()] == ["".join(syllables)] * 3
+
+
+def test_composition_of_odd_sequences(spark):
+    rng = random.Random(7)
+    signs = ["\u1100", "\u1112", "\u1161", "\u1175", "\u11a8", "\u11c2", "\u1113", "\u1160", "\u11a7", "\u11c3",
+             "가", "각", "힣", "a", " ", "é", "e\u0301", "\u0301", "😀", "\u09c7", "\u09be", "\u0bc6", "\u0bd7", "\U00011347", "\U0001133e"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(tx.strip_accents("t")).collect()]
+    assert got == [t if t is None else no_marks(t) for t in texts]

@@ -17,12 +17,13 @@ from postpulse.constants import (
 )
 from postpulse.functions import posts as at
 from postpulse.functions import text as tx
-from postpulse.operators import align, filters, keywords, project, series, words
+from postpulse.operators import align, filters, keywords, places, project, series, words
 from postpulse.operators.newest import newest
 from postpulse.plans import report
 from postpulse.plans.tables import Tables, as_posts, feed_text, plain, position
 from postpulse.sources import captures, lists, posts as source, sinks
 from postpulse.streaming.ingest import compact_days, ingest_stream
+from postpulse.streaming.late import close_stream
 from postpulse.streaming.minutes import minute_stream
 from postpulse.streaming.moving import move_counts, moved_counts, moved_weights
 from postpulse.streaming.refresh import refresh_once, refresh_stream, refreshed
@@ -346,6 +347,16 @@ def in_box(t: Tables) -> DataFrame:
     return t.events.where(filters.in_box(lon, lat, *BOX)).select("ingest_id")
 
 
+@query("F4")
+def box_search(t: Tables) -> DataFrame:
+    """The box on a store along the curve of cells: ranges of cells reach the scan."""
+    path = shared_dir(t.spark, "placed")
+    lon, lat = position()
+    rows = t.events.select("ingest_id", lon.alias("lon"), F.when(F.col("user_id") % 7 != 0, lat).alias("lat"))
+    places.write_placed(rows, path)
+    return places.by_box(t.spark.read.parquet(path), *BOX).select("ingest_id", "lon", "lat")
+
+
 @query("F5")
 def ingest_filter(t: Tables) -> DataFrame:
     lon, lat = position()
@@ -383,6 +394,14 @@ def by_author(t: Tables) -> DataFrame:
     return filters.by_author(t.events, "Customer#000000007").select("ingest_id")
 
 
+@query("F10", "K2")
+def author_search(t: Tables) -> DataFrame:
+    """One author's posts from a store whose files are sorted by author and hold Bloom filters."""
+    path = shared_dir(t.spark, "authors")
+    sinks.write_posts(t.events.select("ingest_id", "dateTweet", "screenName"), path, author="screenName")
+    return filters.by_author(t.spark.read.parquet(path), "Customer#000000007").select("ingest_id", "day")
+
+
 @query("F11")
 def newer_than(t: Tables) -> DataFrame:
     counts = series.posts_per_minute(t.events)
@@ -701,6 +720,33 @@ def closed_minutes(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out")
 
 
+LATE_AT = "2024-01-20"
+
+
+def _closed_with_late(t: Tables) -> str:
+    """Three lots of a stream: early events but every 50th, all later ones, then those left out."""
+    base = shared_dir(t.spark, "late")
+    rows = t.events.select("ingest_id", "dateTweet", F.col("event_type").alias("tweet"))
+    early, held = F.col("dateTweet") < F.lit(LATE_AT).cast("timestamp"), F.col("ingest_id") % 50 == 0
+    for lot in (early & ~held, ~early, early & held):
+        rows.where(lot).write.mode("append").parquet(f"{base}/posts")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{base}/posts")
+        close_stream(stream, f"{base}/state", f"{base}/out", f"{base}/late", f"{base}/checkpoint",
+                     ["click", "e"]).awaitTermination()
+    return base
+
+
+@query("R2", "R4")
+def late_posts(t: Tables) -> DataFrame:
+    """Posts that came for minutes closed before."""
+    return t.spark.read.parquet(f"{_closed_with_late(t)}/late").select("ingest_id", "dateTweet", "tweet")
+
+
+@query("R2", "R4")
+def closed_minutes_in_lots(t: Tables) -> DataFrame:
+    return t.spark.read.parquet(f"{_closed_with_late(t)}/out").select("series", "ts", "n")
+
+
 @query("R3", "R4")
 def update_series(t: Tables) -> DataFrame:
     early = filters.between_dates(t.posts, until=REFRESH_AT)

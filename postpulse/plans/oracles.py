@@ -22,6 +22,7 @@ from postpulse.plans.catalog import (
     BOX,
     BROKEN,
     LAG_AT,
+    LATE_AT,
     PARTS,
     PATTERN,
     REFRESH_AT,
@@ -335,6 +336,11 @@ def oracle_sql() -> dict[str, str]:
         WHERE {in_segment('MACHINERY')}"""
     sql["by_language"] = "SELECT doc_id, lang FROM documents WHERE lang = 'es'"
     sql["in_box"] = f"WITH {EVENTS} SELECT ingest_id FROM ev WHERE {IN_BOX}"
+    sql["box_search"] = f"""WITH {EVENTS} SELECT ingest_id,
+          CAST(user_id % 40 - 90 AS DOUBLE) AS lon, CAST(user_id % 60 - 60 AS DOUBLE) AS lat
+        FROM ev WHERE user_id % 7 <> 0 AND {IN_BOX}"""
+    sql["author_search"] = f"""WITH {EVENTS} SELECT ingest_id, CAST("dateTweet" AS DATE) AS day
+        FROM ev WHERE "screenName" = 'Customer#000000007'"""
     sql["ingest_filter"] = f"WITH {POSTS} SELECT ingest_id FROM posts WHERE {LIVE}"
     sql["between_dates"] = f"""WITH {EVENTS} SELECT ingest_id, "dateTweet" FROM ev
         WHERE "dateTweet" >= '{SINCE}' AND "dateTweet" < '{UNTIL}'"""
@@ -474,6 +480,22 @@ def oracle_sql() -> dict[str, str]:
           HAVING date_trunc('minute', "dateTweet") + INTERVAL 1 MINUTE
               <= (SELECT max("dateTweet") FROM posts) - INTERVAL 10 MINUTE)
         {rows}"""
+    lots = f"""{EVENTS}, l AS (
+          SELECT *, date_trunc('minute', "dateTweet") AS minute,
+            CASE WHEN "dateTweet" >= TIMESTAMP '{LATE_AT}' THEN 2 WHEN ingest_id % 50 = 0 THEN 3 ELSE 1 END AS lot
+          FROM ev),
+        u AS (SELECT max("dateTweet") FILTER (lot = 1) - INTERVAL 10 MINUTE AS one,
+                     max("dateTweet") - INTERVAL 10 MINUTE AS two FROM l WHERE lot < 3),
+        p AS (SELECT l.*, lot = 2 AND minute + INTERVAL 1 MINUTE <= one
+                OR lot = 3 AND minute + INTERVAL 1 MINUTE <= two AS late, two AS until FROM l, u)"""
+    sql["late_posts"] = f"""WITH {lots}
+        SELECT ingest_id, "dateTweet", event_type AS tweet FROM p WHERE late"""
+    sql["closed_minutes_in_lots"] = f"""WITH {lots}, w AS (
+          SELECT minute AS ts, count(*) AS n, count(*) FILTER (contains(event_type, 'click')) AS click,
+                 count(*) FILTER (contains(event_type, 'e')) AS e
+          FROM p WHERE NOT late GROUP BY minute HAVING minute + INTERVAL 1 MINUTE <= any_value(until))
+        SELECT 'All' AS series, ts, n FROM w UNION ALL SELECT 'click', ts, click FROM w
+        UNION ALL SELECT 'e', ts, e FROM w"""
     sql["update_series"] = updated(UPDATE)
     sql["refreshed_series"] = updated(UPDATE)
     sql["refreshed_words"] = f"""WITH {POSTS} SELECT * FROM ({frequency('posts', 'tweet')})

@@ -82,6 +82,8 @@ def ingest_stream(
 def compact_days(spark: SparkSession, landing: str, store: str, before, since=None) -> None:
     """Put the ingested posts of the days before ``before`` into the store, one folder per day.
 
+    ``landing`` is where ``ingest_stream`` or ``append_posts`` leave them.
+
     Whole days are overwritten, so repeating it leaves the same store. Only the folders of these
     days are listed and read. Busy days are split over several files.
     """

@@ -15,7 +15,7 @@ from postpulse.sources.posts import read_posts, stream_lines, stream_posts
 from postpulse.sources.sinks import append_posts
 from postpulse.streaming.ingest import compact_days, ingest_stream, refresh_trigger
 from postpulse.streaming.minutes import minute_stream
-from postpulse.streaming import moving
+from postpulse.streaming import late, moving
 from postpulse.streaming.refresh import refresh_once, refresh_stream, refreshed
 from test_filters import raw, without_user
 
@@ -317,3 +317,83 @@ def test_refresh_with_moving_words(spark, tmp_path):
         refresh_once(spark, snapshot, moved, version, ["red"], weights=heavy)
     for part in ("series", "weights"):
         assert rows(refreshed(spark, moved, part, 1)) == rows(refreshed(spark, plain, part, 1))
+
+
+# ---- late posts ----------------------------------------------------------------
+
+def lots():
+    """Batches of (id, minute, text): in order, then late ones, then far ahead, nulls, an empty one."""
+    at = lambda m, s=0: START + timedelta(minutes=m, seconds=s)
+    return [
+        [(i, at(i % 20, i), "red metro" if i % 2 else "x") for i in range(60)],
+        [(100, at(19), "red"), (101, at(25), "x"), (102, at(8), "red"), (103, None, "red")],  # 8 is late
+        [],
+        [(200, at(3), "metro"), (201, at(60), None), (202, at(16), "red")],
+        [(300, at(49, 30), "red"), (301, at(50), "red"), (302, at(10), "x")],
+    ]
+
+
+def lot_frame(spark, lot):
+    return spark.createDataFrame(lot, "id long, dateTweet timestamp, tweet string")
+
+
+@pytest.mark.parametrize("repeat", [1, 2])
+def test_closed_open_and_late_are_all(spark, tmp_path, repeat):
+    paths = [str(tmp_path / n) for n in ("state", "out", "late")]
+    seen, newest_time, closed_until, late_ids = {}, None, None, set()
+    for version, lot in enumerate(lots()):
+        for _ in range(repeat):  # a batch that is repeated leaves the same
+            found = late.close_minutes(lot_frame(spark, lot), version, *paths, ["red", "metro"])
+        missed = {i for i, t, _ in lot if t is not None and closed_until is not None
+                  and t.replace(second=0) + timedelta(minutes=1) <= closed_until}
+        late_ids |= missed
+        assert found == {"posts": len(lot), "late": len(missed), "without_time": sum(t is None for _, t, _ in lot)}
+        times = [t for _, t, _ in lot if t is not None] + ([newest_time] if newest_time else [])
+        newest_time = max(times)
+        closed_until = newest_time - timedelta(minutes=10)
+    everything = [r for lot in lots() for r in lot if r[1] is not None]
+    assert {r.id for r in spark.read.parquet(paths[2]).collect()} == late_ids
+    assert late_ids >= {102, 200, 302}
+    closed = spark.read.parquet(paths[1])
+    open_now = late.open_minutes(spark, paths[0], 4, ["red", "metro"])
+    assert closed.select("series", "ts").intersect(open_now.select("series", "ts")).count() == 0
+    assert closed.count() == closed.select("series", "ts").distinct().count()  # each minute once
+    on_time = [r for r in everything if r[0] not in late_ids]
+    want = unpivot_counts(lot_frame(spark, on_time).groupBy(F.date_trunc("minute", "dateTweet").alias("ts")).agg(
+        count_matches(["red", "metro"]).alias("counts")), ["red", "metro"], "ts").select("series", "ts", "n")
+    assert rows(closed.select("series", "ts", "n").union(open_now)) == rows(want)
+    assert closed.where(F.col("ts") + F.expr("INTERVAL 1 MINUTE") > F.lit(closed_until)).count() == 0
+    assert late.late_counts(spark, paths[0], 4) == {"posts": sum(map(len, lots())), "late": len(late_ids)}
+
+
+def test_close_stream_agrees_with_the_watermark(spark, tmp_path):
+    """Closed minutes are those of the streaming window; what it drops without a word is in ``late``."""
+    feed_path, told = str(tmp_path / "feed"), {}
+    for lot in lots()[:2] + lots()[3:]:
+        lot_frame(spark, lot).coalesce(1).write.mode("append").parquet(feed_path)
+        stream = spark.readStream.schema("id long, dateTweet timestamp, tweet string").parquet(feed_path)
+        late.close_stream(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "late"),
+                          str(tmp_path / "own"), KEYWORDS, seen=told.__setitem__).awaitTermination()
+        run = minute_stream(stream, KEYWORDS).writeStream.format("parquet").option(
+            "path", str(tmp_path / "window")).option("checkpointLocation", str(tmp_path / "check")).outputMode(
+            "append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    closed = spark.read.parquet(str(tmp_path / "out")).select("series", "ts", "n")
+    assert rows(closed) == rows(spark.read.parquet(str(tmp_path / "window")).select("series", "ts", "n"))
+    assert sum(t["late"] for t in told.values()) == spark.read.parquet(str(tmp_path / "late")).count() >= 3
+
+
+def test_appended_posts_can_be_put_together(spark, tmp_path):
+    """Files of many batches become few for each day that is over."""
+    posts = spark.range(0, 300).selectExpr(
+        "id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, id % 3) AS dateTweet")
+    for part in range(3):
+        posts.where(F.col("id") % 3 == part).repartition(4).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = spark.readStream.schema(posts.schema).parquet(str(tmp_path / "feed"))
+        append_posts(stream, str(tmp_path / "landing"), str(tmp_path / "checkpoint")).awaitTermination()
+    for _ in range(2):
+        compact_days(spark, str(tmp_path / "landing"), str(tmp_path / "store"), before="2024-01-03")
+    store = spark.read.parquet(str(tmp_path / "store"))
+    assert rows(store, "id") == rows(posts.where("dateTweet < '2024-01-03'"), "id")
+    files = lambda p: len(list((tmp_path / p).glob("day=2024-01-0[12]/*.parquet")))
+    assert files("store") < files("landing")

@@ -124,13 +124,14 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows that are equal in key, text and length become one. Null keys and null texts count as
     in ``exact_groups``. An empty table gives an empty one; other columns keep their names and values.
     """
-    sha, who, size = fresh(docs, "_sha"), fresh(docs, "_who"), fresh(docs, "_size")
+    sha, who, size, most = (fresh(docs, n) for n in ("_sha", "_who", "_size", "_most"))
     text_key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     stay = text_groups(docs, key, text, limit).select(
-        F.col("text_sha256").alias(sha), text_key(F.col("keep_id")).alias(who), F.col("chars").alias(size))
+        F.col("text_sha256").alias(sha), text_key(F.col("keep_id")).alias(who), F.col("chars").alias(most))
     marked = docs.withColumns({
         sha: F.sha2(normalised(named(text)).cast("binary"), 256), who: text_key(named(key)),
         size: F.coalesce(F.char_length(named(text)), F.lit(0)).cast("long")})
-    # Joined by key and digest: the copies of a hot text go to different tasks.
-    met = marked.join(stay, [who, sha, size])
+    # Joined by key and digest: the copies of a hot text go to different tasks. The length is no key
+    # of the join, so that its partitions serve the last step too.
+    met = marked.join(stay, [who, sha]).where(named(size) == named(most))
     return met.dropDuplicates([who, sha]).select(*map(named, docs.columns))

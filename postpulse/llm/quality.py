@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +16,10 @@ from pyspark.sql.window import Window
 from postpulse.llm.common import in_tasks, joined_bytes, named, slices
 from postpulse.llm.words import Words
 
-TRUSTED, PLAIN = 3000, 6000  # most trusted and unlabelled documents that a model is fitted on
+TRUSTED, PLAIN = 3000, 6000  # most trusted documents, and unlabelled ones of the first fit
+PASSES = 2  # over all unlabelled documents, to bring the first fit to the risk of all
+BINS, REACH = 1 << 14, 64.0  # of the scores of all unlabelled documents, from -REACH to REACH
+SLOTS = 64  # rows to which the sums of all tasks are added up
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 150, 0.05, 1e-4
 TAIL, MARGIN = 0.002, 0.15  # of the trusted below the threshold; of the way from there to the median
@@ -102,12 +106,8 @@ def risk_gradient(w: np.ndarray, trusted: np.ndarray, plain: np.ndarray, prior:
     return positive + negative, to_positive + to_negative
 
 
-def fit(trusted: np.ndarray, plain: np.ndarray, prior: float) -> Model:
-    """Adam on the risk; then scores are shifted so that trusted positives pass the threshold.
-
-    It comes a margin below their lowest scores, but so that at least half of the negatives that
-    the prior expects among the unlabelled stay below.
-    """
+def fit(trusted: np.ndarray, plain: np.ndarray, prior: float) -> np.ndarray:
+    """Adam on the risk: weights of the features."""
     used = np.nonzero((trusted != 0).any(0) | (plain != 0).any(0))[0]
     p, u = trusted[:, used].astype(np.float64), plain[:, used].astype(np.float64)
     w, m, v = (np.zeros(len(used)) for _ in range(3))
@@ -116,12 +116,85 @@ def fit(trusted: np.ndarray, plain: np.ndarray, prior: float) -> Model:
         g = g + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    known = p @ w
-    low = np.quantile(known, TAIL)
-    cut = max(low - MARGIN * (np.median(known) - low), np.quantile(u @ w, (1 - prior) / 2))
     weights = np.zeros(trusted.shape[1])
     weights[used] = w
-    return Model(weights, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
+    return weights
+
+
+def risk_step(w: np.ndarray, trusted: np.ndarray, plain: np.ndarray, prior: float) -> np.ndarray:
+    """Weights after a step against the risk of all documents.
+
+    ``plain`` has the sums over all unlabelled documents, as ``plain_sums`` gives them: number, risk as
+    negatives, gradient and its curvature for each feature. The step is Newton's for each feature by
+    itself, bounded by RATE, so that sums of a few passes suffice.
+    """
+    p = trusted.astype(np.float64)
+    logit = p @ w
+    up = 1 / (1 + np.exp(-logit))
+    n, risk = plain[0], plain[1] / plain[0]
+    grad, bend = plain[2:].reshape(2, -1) / n
+    if risk - prior * np.logaddexp(0, logit).mean() < 0:
+        go = prior * (p.T @ up) / len(p) - grad
+    else:
+        go = prior * (p.T @ (up - 1)) / len(p) + grad - prior * (p.T @ up) / len(p)
+    bend = bend + prior * (p.T ** 2 @ (up * (1 - up))) / len(p) + DECAY
+    return w - np.clip((go + DECAY * w) / bend, -RATE, RATE) * (bend > DECAY)
+
+
+def threshold(known: np.ndarray, low_share: float) -> float:
+    """The score that becomes THRESHOLD: a margin below the lowest of the trusted, but so that at
+    least half of the negatives that the prior expects among the unlabelled stay below
+    (``low_share``: the score up to which they reach)."""
+    low = np.quantile(known, TAIL)
+    return max(low - MARGIN * (np.median(known) - low), low_share)
+
+
+def plain_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number, risk as negatives, its gradient and curvature for each feature, of some documents."""
+    u = x @ w
+    share = 1 / (1 + np.exp(-u))
+    return np.concatenate([[len(u), np.logaddexp(0, u).sum()], x.T @ share,
+                           (x * x).T @ (share * (1 - share))])
+
+
+def score_counts(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How many documents have a score in each of BINS parts."""
+    place = ((x @ w + REACH) * (BINS / (2 * REACH))).clip(0, BINS - 1).astype(np.int64)
+    return np.bincount(place, minlength=BINS).astype(np.float64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], weights, sums) -> Iterator[pa.RecordBatch]:
+    """The task's ``sums`` over its documents, as one row."""
+    total = 0.0
+    for batch in batches:
+        for part in slices([batch], "text", _SLICE):
+            total = total + sums(features(*joined_bytes(part.column(0))).astype(np.float64), weights.value)
+    own = TaskContext.get().partitionId()
+    rows = [] if isinstance(total, float) else [(own % SLOTS, own, total.tobytes())]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+         pa.array([r[2] for r in rows], pa.binary())], ["slot", "task", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each slot, which come in the order of their tasks."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slot, _, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found[slot] = found.get(slot, 0.0) + np.frombuffer(sums)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())],
+        ["slot", "sums"])
+
+
+def over_all(texts: DataFrame, weights: np.ndarray, sums) -> np.ndarray:
+    """``sums`` over all documents (column ``text``): by task, then by slot, then on the driver, which
+    gets SLOTS rows. Added up in one order, so that runs agree."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    parts = in_tasks(texts, partial(_summed, weights=shared, sums=sums), "slot int, task int, sums binary")
+    slots = in_tasks(parts.repartition("slot").sortWithinPartitions("slot", "task"), _added,
+                     "slot int, sums binary").orderBy("slot").collect()
+    return sum((np.frombuffer(r["sums"]) for r in slots), np.zeros(0) if not slots else 0.0)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
           label: str = "quality") -> Model | None:
     """A model from trusted positives, unlabelled documents and the prior, all outside the fold.
 
-    Trusted: label 1 and no other. Unlabelled: no label. At most ``trusted`` and ``plain`` of
-    them, by the smallest hashes of the key. The prior is the share of 1 among all labelled rows
+    Trusted: label 1 and no other, at most ``trusted`` of them, by the smallest hashes of the key.
+    Unlabelled: no label. A first fit takes ``plain`` of them; PASSES over all of them, whose sums are
+    added up by Spark, bring it to the risk over all, and the threshold comes from the scores
+    of all. The prior is the share of 1 among all labelled rows
     outside the fold (0.5 without any), kept within 0.02 and 0.98. None without documents of
     either class. Labels are read for nothing else. Null keys and null labels are not learned from.
     """
@@ -167,10 +242,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     classed = ids.join(told.where((F.col("least") == 1) & (F.col("most") == 1)), "k", "left_semi") \
         .select("k", F.lit(True).alias("trusted")).union(
             ids.join(any_label, "k", "left_anti").select("k", F.lit(False)))
-    order = Window.partitionBy("trusted").orderBy(F.xxhash64("k"), "k")
-    chosen = classed.withColumn("n", F.row_number().over(order)).where(
-        F.col("n") <= F.when(F.col("trusted"), trusted).otherwise(plain))
-    chosen = chosen.where(F.col("n") <= max(trusted, plain)).select("k", "trusted")
+    # In portions first, so that what one task ranks doesn't grow with the corpus.
+    at, most = F.xxhash64("k"), F.when(F.col("trusted"), trusted).otherwise(plain)
+    first = classed.withColumn("s", F.pmod(at, F.lit(16)))
+    first = first.withColumn("n", F.row_number().over(
+        Window.partitionBy("trusted", "s").orderBy(at, "k"))).where(
+        (F.col("n") <= most) & (F.col("n") <= max(trusted, plain)))
+    chosen = first.withColumn("n", F.row_number().over(
+        Window.partitionBy("trusted").orderBy(at, "k"))).where(
+        (F.col("n") <= most) & (F.col("n") <= max(trusted, plain))).select("k", "trusted")
     # At most trusted + plain rows.
     rows = docs.select(named(key).alias("k"), named(text).cast("binary").alias("text")).join(
         F.broadcast(chosen), "k").select("k", "trusted", "text")
@@ -182,7 +262,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     by_class = [
         np.frombuffer(b"".join(r.row for r in got if r.trusted == want), "<f2")
         .reshape(-1, N_FEATURES).astype(np.float32) for want in (True, False)]
-    return fit(*by_class, prior) if all(map(len, by_class)) else None
+    if not all(map(len, by_class)):
+        return None
+    w = fit(*by_class, prior)
+    rest = docs.where((_fold(named(key), folds) != fold) & named(key).isNotNull()).select(
+        named(key).alias("k"), named(text).cast("binary").alias("text")).join(any_label, "k", "left_anti")
+    rest = rest.select("text")
+    for _ in range(PASSES):
+        w = risk_step(w, by_class[0], over_all(rest, w, plain_sums), prior)
+    counts = over_all(rest, w, score_counts)
+    place = np.searchsorted(np.cumsum(counts), counts.sum() * (1 - prior) / 2)
+    cut = threshold(by_class[0].astype(np.float64) @ w, (place + 0.5) * 2 * REACH / BINS - REACH)
+    return Model(w, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,

@@ -178,6 +178,30 @@ def test_quality_on_the_held_out_fold(spark):
     assert all(r.predicted == (r.score >= 0.7) for r in rows)
 
 
+def test_sums_over_all_documents(spark):
+    """Sums of tasks and slots are those of all documents at once, in several partitionings."""
+    texts = [f"Some text {i}. " * (i % 7) for i in range(300)] + [None, "", "x" * 50_000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").cast("binary").alias("text"))
+    data, ends = joined_bytes(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    x = quality.features(data, ends).astype(float)
+    w = np.random.default_rng(1).normal(0, 1, quality.N_FEATURES)
+    for parts in (1, 7, 100):
+        for sums in (quality.plain_sums, quality.score_counts):
+            assert np.allclose(quality.over_all(docs.repartition(parts), w, sums), sums(x, w))
+    assert len(quality.over_all(docs.limit(0), w, quality.score_counts)) == 0
+
+
+def test_steps_over_all_lower_the_risk():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (200, 6)), np.concatenate([rng.normal(1, 1, (900, 6)), rng.normal(-1, 1, (600, 6))])
+    prior, w = 0.3, quality.fit(p, u[::50], 0.3)
+    risk = lambda w: quality.risk_gradient(w, p, u, prior)[0]
+    before = risk(w)
+    for _ in range(20):
+        w = quality.risk_step(w, p, quality.plain_sums(u, w), prior)
+    assert risk(w) <= before + 1e-9
+
+
 def test_quality_edge_cases(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -428,4 +428,4 @@ def top_phrases(docs: DataFrame, least: int = LEAST, cover: int = 100, top: int
         Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "left")
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "left")

@@ -224,9 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     """A model from trusted positives, unlabelled documents and the prior, all outside the fold.
 
     Trusted: label 1 and no other, at most ``trusted`` of them, by the smallest hashes of the key.
-    Unlabelled: no label. A first fit takes ``plain`` of them; PASSES over all of them, whose sums are
-    added up by Spark, bring it to the risk over all, and the threshold comes from the scores
-    of all. The prior is the share of 1 among all labelled rows
+    A first fit takes ``plain`` documents without any label as unlabelled ones. Then all documents
+    outside the fold are the unlabelled text, their labels not looked at: PASSES over them, whose
+    sums are added up by Spark, bring the fit to the risk over all, and the threshold comes
+    from the scores of all. The prior is the share of 1 among all labelled rows
     outside the fold (0.5 without any), kept within 0.02 and 0.98. None without documents of
     either class. Labels are read for nothing else. Null keys and null labels are not learned from.
     """
@@ -265,9 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     if not all(map(len, by_class)):
         return None
     w = fit(*by_class, prior)
-    rest = docs.where((_fold(named(key), folds) != fold) & named(key).isNotNull()).select(
-        named(key).alias("k"), named(text).cast("binary").alias("text")).join(any_label, "k", "left_anti")
-    rest = rest.select("text")
+    # What text is like as a whole: labels play no part, so nothing is joined and no text shuffled.
+    rest = docs.where(_fold(named(key), folds) != fold).select(named(text).cast("binary").alias("text"))
     for _ in range(PASSES):
         w = risk_step(w, by_class[0], over_all(rest, w, plain_sums), prior)
     counts = over_all(rest, w, score_counts)

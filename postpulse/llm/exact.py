@@ -131,7 +131,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text",
     marked = docs.withColumns({
         sha: F.sha2(normalised(named(text)).cast("binary"), 256), who: text_key(named(key)),
         size: F.coalesce(F.char_length(named(text)), F.lit(0)).cast("long")})
-    # Joined by key and digest: the copies of a hot text go to different tasks. The length is no key
-    # of the join, so that its partitions serve the last step too.
-    met = marked.join(stay, [who, sha]).where(named(size) == named(most))
+    # Joined by key and digest: the copies of a hot text go to different tasks. No row is longer than
+    # ``most``; an equality would become a key of the join, whose partitions the last step uses too.
+    met = marked.join(stay, [who, sha]).where(named(size) >= named(most))
     return met.dropDuplicates([who, sha]).select(*map(named, docs.columns))

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import rows
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from postpulse.operators.project import capture_row, flatten_post, parse_posts_json
@@ -124,6 +125,23 @@ def test_ingest_with_live_filter(spark, tmp_path):
         ("red",), ("x",)]
 
 
+def test_a_batch_is_held_on_disk_and_without_what_is_not_written(spark, tmp_path, monkeypatch):
+    frame = type(spark.range(1))
+    held, whole = [], frame.persist
+
+    def persist(self, level=StorageLevel.MEMORY_AND_DISK_DESER):
+        held.append((level, self.toJSON().collect()))
+        return whole(self, level)
+
+    monkeypatch.setattr(frame, "persist", persist)
+    feed(tmp_path / "feed", "a", raw(text="x migaja"), raw(text="left out"), "{broken")
+    ingest(spark, tmp_path, live=((0.0, 0.0, 1.0, 1.0), ["es"], ["migaja"]))
+    (level, lines), = held
+    assert level.useDisk and not level.useMemory
+    text = "".join(lines)
+    assert "left out" not in text and text.count("x migaja") == 1 and text.count("{broken") == 1
+
+
 def test_days_are_compacted_and_may_be_again(spark, tmp_path):
     days = [raw(id=i, text=f"t{i}", created_at=f"Thu Oct {20 + i % 3} 14:00:{i:02d} +0000 2019") for i in range(30)]
     for k in range(3):

@@ -5,6 +5,7 @@ import unicodedata
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from postpulse.constants import KEYWORDS
 from postpulse.functions import text as tx
@@ -193,3 +194,12 @@ def test_composition_of_odd_sequences(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(tx.strip_accents("t")).collect()]
     assert got == [t if t is None else no_marks(t) for t in texts]
+
+
+def test_hangul_costs_no_more_than_its_accents(spark):
+    """Parts are cut out in one pass, and what ``strip_accents`` is given is worked out once."""
+    plan = spark.range(1).select(tx.strip_accents(F.reverse(F.lit("a") + F.col("id").cast("string")).alias("t")))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.count("reverse(") == 1 and "arrays_zip" not in text and "hex(" not in text
+    pattern, every = tx._syllable_signs()
+    assert len(every) == 11_172 and len(pattern) < 60

@@ -205,7 +205,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = DOCS, key: str = "
     made by tasks and added up by Spark. What reaches the driver is bounded by those texts.
     """
     rows = training_rows(docs, learn, per_language, key, text, lang).select("l", "text")
-    counts = in_tasks(rows, _grams, "lang string, gram long, n long")
+    # A language's texts lie together, so a run counts once for each piece and not for each task.
+    counts = in_tasks(rows.repartition("l"), _grams, "lang string, gram long, n long")
     return grow([tuple(r) for r in counts.groupBy("lang", "gram").agg(F.sum("n")).collect()])
 
 

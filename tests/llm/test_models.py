@@ -258,3 +258,25 @@ def test_long_texts_are_worked_on_in_pieces(monkeypatch):
     assert np.array_equal(quality.features(data, ends), whole[0])
     assert words.Words(data, ends).hashes().tolist() == whole[1].tolist()
     assert simhash.fingerprint(texts[0], 3) == whole[2]
+
+
+def test_runs_of_a_language_are_counted_together(spark, monkeypatch):
+    """However many tasks hold the texts, a run of bytes is counted once for each language."""
+    seen = []
+    plain = language.in_tasks
+
+    def in_tasks(df, function, schema):
+        seen.append(plain(df, function, schema).select("lang", "gram").collect())
+        return plain(df, function, schema)
+
+    monkeypatch.setattr(language, "in_tasks", in_tasks)
+    docs = spark.createDataFrame(
+        [(i, f"the same words {i % 3}", "en" if i % 2 else "es") for i in range(200)],
+        "doc_id long, text string, lang string").repartition(16, "doc_id")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert language.train(docs, F.lit(True)).langs == ["en", "es"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert len(seen[0]) == len(set(seen[0]))

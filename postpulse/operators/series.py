@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from postpulse.functions.posts import minute
-from postpulse.functions.text import keyword_sql, sql_text
+from postpulse.functions.text import held_keywords, keyword_sql, long_keywords, sql_text
 from postpulse.operators.filters import by_roster, newer_than
 
 ALL = "All"
@@ -55,22 +55,36 @@ def count_matches(keywords: Sequence[str], text="tweet", among: str = "TRUE") ->
 BITS = 62  # keywords in one column of hits
 
 
-def hit_bits(keywords: Sequence[str], text="tweet") -> list[Column]:
-    """Columns ``_hits0``, ...: bit i tells whether the text contains keyword i of its column."""
-    tests = [keyword_sql(text, k) for k in series_names(keywords)[1:]]
-    parts = [tests[i: i + BITS] for i in range(0, len(tests), BITS)]
-    return [
-        F.expr(" + ".join(f"CASE WHEN {t} THEN {1 << i}L ELSE 0L END" for i, t in enumerate(p)))
-        .alias(f"_hits{k}")
-        for k, p in enumerate(parts)
-    ]
+def hit_bits(keywords: Sequence[str], text="tweet", held: str | None = None) -> list[Column]:
+    """Columns ``_hits0``, ...: bit i tells whether the text contains keyword i of its column.
+
+    ``held`` names the column of the text's ``held_keywords``, in which the long ones are looked for.
+    """
+    names = series_names(keywords)[1:]
+    long = set(long_keywords(names)) if held else set()
+
+    def total(bits: list[str]) -> str:
+        return " + ".join(bits) if bits else "0L"
+
+    def column(part: list[str]) -> Column:
+        bits = {k: f"CASE WHEN {keyword_sql(held if k in long else text, k)} THEN {1 << i}L ELSE 0L END"
+                for i, k in enumerate(part)}
+        apart = total([b for k, b in bits.items() if k not in long])
+        if not long.intersection(part):
+            return F.expr(apart)
+        among = total([b for k, b in bits.items() if k in long])
+        return F.expr(f"{apart} + CASE WHEN `{held}` != '' THEN {among} ELSE 0L END")
+
+    parts = [names[i: i + BITS] for i in range(0, len(names), BITS)]
+    return [column(part).alias(f"_hits{k}") for k, part in enumerate(parts)]
 
 
 def count_bits(keywords: Sequence[str]) -> Column:
     """``count_matches`` from the columns of ``hit_bits``."""
     counts = ["count(1)"]
+    # Not count_if, which makes a column of each test: too many for counts in methods small enough to be compiled.
     counts += [
-        f"count_if(_hits{i // BITS} & {1 << i % BITS}L != 0)"
+        f"count(CASE WHEN _hits{i // BITS} & {1 << i % BITS}L != 0 THEN 1 END)"
         for i in range(len(series_names(keywords)) - 1)
     ]
     return F.expr(f"array({', '.join(counts)})")
@@ -152,9 +166,12 @@ def keyword_series(
     # shuffle, so a busy minute arrives as one row per partition and audience.
     groups = [F.when(cond, F.lit(name)) for name, cond in (audiences or {}).items()]
     member_of = F.array_compact(F.array(*groups)) if audiences else F.array(F.lit(EVERYONE))
+    long = long_keywords(series_names(keywords)[1:])
     posts = df.where(F.col(ts).isNotNull()).select(
-        minute(ts).alias("ts"), member_of.alias("_in"), *hit_bits(keywords, text)
+        minute(ts).alias("ts"), member_of.alias("_in"), F.col(text).alias("_text"),
+        *([held_keywords(text, long).alias("_held")] if long else []),
     )
+    posts = posts.select("ts", "_in", *hit_bits(keywords, "_text", "_held" if long else None))
     posts = posts.select(F.explode("_in").alias("audience"), *[c for c in posts.columns if c != "_in"])
     minutes = posts.groupBy("audience", "ts").agg(count_bits(keywords).alias("counts"))
     cells = unpivot_counts(minutes, keywords, "audience", "ts")

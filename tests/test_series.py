@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -202,3 +203,33 @@ def test_series_change(spark, posts):
     assert rows(S.series_change(new, new)) == [(False, newest)]
     assert rows(S.series_change(old.limit(0), new)) == [(True, newest)]
     assert rows(S.series_change(new, old.limit(0))) == [(False, newest)]
+
+
+def test_many_long_keywords_are_found_in_one_pass(spark):
+    rng = random.Random(5)
+    keywords = ["red", "redes", "", "b.d", "año", "años", "señal", "señales", "\n\tx y", "one-two", "#tag&", "😀😀😀😀",
+                *{"".join(rng.choices("abc", k=rng.randint(3, 7))) for _ in range(60)}]
+    keywords += [k[:-1] for k in keywords if len(k) > 4] + [k + "\x01" for k in keywords[-9:]]
+    keywords = list(dict.fromkeys(keywords))
+    texts = ["".join(rng.choices(["a", "b", "c", "ab", "cab", " ", "\n", "\x01", *keywords[:20]], k=rng.randint(0, 40)))
+             for _ in range(300)] + [None, "", "señale", "xx señales\naños", "\n\tx y😀😀😀😀😀"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, tweet string")
+    long = S.long_keywords(keywords)
+    assert len(long) >= 24
+    found = df.withColumn("_held", S.held_keywords("tweet", long)).select(
+        "id", *S.hit_bits(keywords, "tweet", "_held")).collect()
+    for row in found:
+        bits = [row[f"_hits{i // S.BITS}"] >> i % S.BITS & 1 for i in range(len(keywords))]
+        text = texts[row["id"]]
+        assert bits == [int(text is not None and bool(re.search(k, text))) for k in keywords], text
+    timed = df.withColumn("dateTweet", F.current_timestamp())
+    plan = S.keyword_series(timed, keywords)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_counts_of_many_keywords_need_no_column_each(spark):
+    keywords = [f"k{i}" for i in range(50)]
+    bits = spark.range(9).select(F.col("id").alias("_hits0"))
+    counted = bits.groupBy().agg(S.count_bits(keywords).alias("counts"))
+    assert counted.first()["counts"][:5] == [9, 4, 4, 4, 1]
+    assert "_common_expr" not in counted._jdf.queryExecution().optimizedPlan().toString()

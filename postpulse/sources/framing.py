@@ -8,6 +8,7 @@ as many tasks as it has splits. A split's pieces meet once, by file and split.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,17 +16,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 FILE, SPLIT, AT, PIECE = "_file", "_split", "_at", "_piece"
+TASK = 16 << 20  # bytes of small splits that one task reads, one split after the other
 
 
 def pieces(spark: SparkSession, paths: str | list[str], separator: str, **options) -> DataFrame:
     """(file, split, place, piece) of text files cut at ``separator``, which the pieces don't hold.
 
-    A split is known by the byte at which it starts. Places rise within a split.
+    A split is known by the byte at which it starts. Places rise within a split. Splits far smaller
+    than TASK are read several in a task, which costs more to start than such a split to read.
     """
-    return spark.read.options(lineSep=separator, **options).text(paths).select(
+    cut = spark.read.options(lineSep=separator, **options).text(paths).select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(SPLIT),
         F.monotonically_increasing_id().alias(AT), F.col("value").alias(PIECE))
+    together = TASK // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if together <= 1:
+        return cut
+    splits = cut.rdd.getNumPartitions()
+    tasks = max(-(-splits // together), 3 * spark.sparkContext.defaultParallelism)
+    return cut.coalesce(tasks) if tasks < splits else cut
+
+
+def _bytes(size: str) -> int:
+    """A size as settings write it: a number, perhaps with a unit."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * "_kmgtp".index(unit or "_")
 
 
 def running(amount: Column) -> Column:

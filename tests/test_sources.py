@@ -12,6 +12,7 @@ from postpulse.operators.project import capture_row, parse_posts_json, post_time
 from postpulse.operators.series import first_keywords
 from postpulse.schemas import CAPTURE, capture_header
 from postpulse.sources import captures as C
+from postpulse.sources import framing
 from postpulse.sources import lists as L
 from postpulse.sources import posts as R
 from postpulse.sources import sinks as K
@@ -151,6 +152,18 @@ def plain_csv(rng, n):
             for i in range(n)]
 
 
+def test_many_small_splits_are_read_by_few_tasks(spark, tmp_path):
+    with open(tmp_path / "a.csv", "w") as file:
+        file.writelines(f"{i},{'x' * (i % 90)}\n" for i in range(500))
+    cut = framing.pieces(split_session(spark, "64b"), str(tmp_path), "\n")
+    assert cut.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    found = cut.collect()
+    assert len({r[framing.SPLIT] for r in found}) > 100
+    in_order = sorted(found, key=lambda r: (r[framing.SPLIT], r[framing.AT]))
+    assert [r[framing.PIECE] for r in in_order] == [f"{i},{'x' * (i % 90)}" for i in range(500)]
+    assert [framing._bytes(s) for s in ("7", "64k", "2MB", "134217728b")] == [7, 65536, 2 << 20, 128 << 20]
+
+
 @pytest.mark.parametrize("size", [7, 64, 501, 10**6])
 @pytest.mark.parametrize("end", ["\r\n", "\n"])
 def test_foreign_captures_in_splits(spark, tmp_path, size, end):

@@ -26,3 +26,31 @@ def test_texts_are_met_without_one_key_for_most_posts(spark, tmp_path):
     assert len(texts) == 220
     assert [texts[i] for i in (0, 10, 210)] == ["d0", "d1", "d21"]
     assert [texts[i] for i in (1, 101, 219)] == ["c1", "c101", "c219"]
+
+
+def test_a_stream_meets_many_texts_in_more_tasks(spark, tmp_path):
+    """Spark's number of tasks for a stream is fixed; each would hold more with more texts."""
+    spark.range(0, 100, 1, 4).selectExpr("id doc_id", "'d' || id text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 300, 1, 4).selectExpr("id % 100 conv_id", "id div 100 turn", "'c' || id text").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    spark.range(400).withColumnRenamed("id", "ingest_id").write.parquet(f"{tmp_path}/posts")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.openCostInBytes")}
+    met = []
+
+    def meet(batch, _):
+        met.append((batch.rdd.getNumPartitions(), {r["ingest_id"]: r["tweet"] for r in batch.collect()}))
+
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a split for each file
+        stream = spark.readStream.schema("ingest_id long").parquet(f"{tmp_path}/posts")
+        run = Tables(spark, str(tmp_path)).with_text(stream).writeStream.foreachBatch(meet).option(
+            "checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    (tasks, texts), = met
+    assert tasks == 32
+    assert len(texts) == 400
+    assert [texts[i] for i in (0, 10, 1, 101, 219)] == ["d0", "d1", "c1", "c101", "c219"]

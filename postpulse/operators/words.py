@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.functions.text import is_counted, split_words, words_of
+from postpulse.functions.text import distinct_words, is_counted, plain_text, split_words
 
 
 def count_words(words: DataFrame, word="word") -> DataFrame:
@@ -23,9 +23,11 @@ def document_frequency(
 
     ``stopwords`` is a list, or a table with the column ``word`` of any size.
     """
+    # Texts are cleaned in a step of its own, whose lambda would keep the words out of compiled code.
     # Exploding the expression itself: on a column, the optimiser would add a test for
     # empty arrays at the scan and so clean every text twice.
-    words = df.select(F.explode(words_of(text)).alias("word"))
+    cleaned = df.select(plain_text(text).alias("_plain"))
+    words = cleaned.select(F.explode(distinct_words("_plain")).alias("word"))
     if isinstance(stopwords, DataFrame):
         counts = count_words(words.where(is_counted(F.col("word"))))
         # Counted words are far fewer than word occurrences, so stop words leave here.

@@ -203,3 +203,16 @@ def test_hangul_costs_no_more_than_its_accents(spark):
     assert text.count("reverse(") == 1 and "arrays_zip" not in text and "hex(" not in text
     pattern, every = tx._syllable_signs()
     assert len(every) == 11_172 and len(pattern) < 60
+
+
+def test_signs_that_are_kept_are_never_blanked(spark):
+    """Cleaning passes over them without a look at the patterns."""
+    every = "".join(chr(c) for c in range(0x100))
+    blanked = F.regexp_replace("t", f"{tx.HANDLE_OR_TAG}|{tx._MARKS}", " ")
+    quick = F.regexp_replace("t", f"(?!{tx._KEPT})(?:{tx.HANDLE_OR_TAG}|{tx._MARKS})", " ")
+    texts = [f"a{c}b @{c}x !{c}@y {c}{c}1" for c in every]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", blanked.alias("a"), quick.alias("b"))
+    assert all(r["a"] == r["b"] for r in found.collect())
+    assert spark.createDataFrame([(every,)], "t string").select(
+        F.regexp_extract_all("t", F.lit(tx._KEPT), F.lit(0)).alias("k")).first()["k"] == [
+            c for c in every if c.isalnum() or c == " "]

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from conftest import rows
@@ -22,6 +23,17 @@ def test_document_frequency(spark):
     assert dict(rows(W.document_frequency(df, stops))) == dict(wanted)
 
 
+def test_words_are_dealt_out_in_compiled_code(spark):
+    df = spark.range(2).selectExpr("concat('hot año ', id) tweet")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = W.document_frequency(df, ["de"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert re.search(r"\*\(\d+\) Generate explode", plan)
+
+
 def test_term_frequency_and_merge(spark):
     df = spark.createDataFrame([(t,) for t in texts()], "tweet string")
     whole = Counter(w for t in texts() if t for w in t.split())

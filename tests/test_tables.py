@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postpulse.plans import catalog
 from postpulse.plans.tables import Tables
 
 
@@ -54,3 +55,22 @@ def test_a_stream_meets_many_texts_in_more_tasks(spark, tmp_path):
     assert tasks == 32
     assert len(texts) == 400
     assert [texts[i] for i in (0, 10, 1, 101, 219)] == ["d0", "d1", "c1", "c101", "c219"]
+
+
+def test_the_feed_is_packed_and_whole(spark, tmp_path, monkeypatch):
+    spark.range(10).selectExpr("id doc_id", "'migaja ' || id text", "'es' lang", "'s' source").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.range(10).selectExpr("id conv_id", "0L turn", "'user' role", "'c' || id text").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    spark.range(0, 40, 1, 2).selectExpr(
+        "id event_id", "timestamp'2024-01-02 03:04:05' ts", "0L user_id", "'{}' props", "1d value",
+        "if(id % 4 = 0, 'error', 'view') event_type").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalog, "shared_dir", lambda _, label: f"{tmp_path}/{label}")
+    monkeypatch.setattr(catalog, "FEED_LINES", 7, raising=False)
+    stored = catalog.queries()["ingest_posts"](spark, str(tmp_path))
+    # Tenth posts have a document; of these every second one is an error.
+    assert sorted(r["tweet"] for r in stored.collect()) == ["#view migaja 1", "#view migaja 3"]
+    files = [p for p in (tmp_path / "ingest" / "feed").iterdir() if p.name.startswith("part-")]
+    assert files and all(p.name.endswith(".txt.gz") for p in files)
+    lines = [spark.read.text(str(p)).count() for p in files]
+    assert sum(lines) == 50 and max(lines) <= 7

@@ -142,6 +142,17 @@ def test_a_batch_is_held_on_disk_and_without_what_is_not_written(spark, tmp_path
     assert "left out" not in text and text.count("x migaja") == 1 and text.count("{broken") == 1
 
 
+def test_rejects_are_packed_and_whole(spark, tmp_path):
+    lines = [raw(text=f"r{i}", created_at="never") for i in range(20)]
+    feed(tmp_path / "feed", "1.json", raw(text="uno"), "{broken", *lines)
+    ingest(spark, tmp_path)
+    files = list((tmp_path / "rejects").rglob("part-*"))
+    assert files and all(p.name.endswith(".json.gz") for p in files)
+    found = spark.read.schema("value string, missing array<string>").json(str(tmp_path / "rejects"))
+    texts = [json.loads(r["value"])["text"] for r in found.where("value <> '{broken'").collect()]
+    assert sorted(texts) == sorted(f"r{i}" for i in range(20)) and found.count() == 21
+
+
 def test_days_are_compacted_and_may_be_again(spark, tmp_path):
     days = [raw(id=i, text=f"t{i}", created_at=f"Thu Oct {20 + i % 3} 14:00:{i:02d} +0000 2019") for i in range(30)]
     for k in range(3):

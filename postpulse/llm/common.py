@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.session import shared_dir
+from postpulse.session import in_tasks, shared_dir  # noqa: F401
 
 SPACES = b" \t\n\x0b\x0c\r"
-_shipped: set[str] = set()
-
-
-def in_tasks(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with this package sent to the executors, once for each application."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="postpulse-code-")) / "postpulse.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for source in sorted(root.rglob("*.py")):
-                out.write(source, source.relative_to(root.parent))
-        context.addPyFile(str(path))
-        _shipped.add(context.applicationId)
-    return df.mapInArrow(function, schema)
 
 
 def named(name: str) -> Column:
